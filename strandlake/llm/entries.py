@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op1(_documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4(_documents(spark, sf_dir))
 
@@ -22,7 +26,7 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_source_mix, op10_uniform_shards]
+    found = [op1_bpe_round_trip, op4_source_mix, op10_uniform_shards]
     return {f.__name__: f for f in found}
 
 
