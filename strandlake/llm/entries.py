@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, sharding
+from . import bpe, mixing, sharding, suffix, superkmer
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,20 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4(_documents(spark, sf_dir))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.op7(_documents(spark, sf_dir))
+
+
+def op9_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.op9(_documents(spark, sf_dir))
+
+
 def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op4_source_mix, op10_uniform_shards]
+    found = [op1_bpe_round_trip, op4_source_mix, op7_suffix_array_dedup, op9_super_kmer_dedup, op10_uniform_shards]
     return {f.__name__: f for f in found}
 
 
