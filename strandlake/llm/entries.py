@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, sharding, suffix, superkmer
+from . import bpe, minhash, mixing, sharding, suffix, superkmer
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op1(_documents(spark, sf_dir))
 
 
+def op3_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op3(_documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4(_documents(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op4_source_mix, op7_suffix_array_dedup, op9_super_kmer_dedup, op10_uniform_shards]
+    found = [op1_bpe_round_trip, op3_sketch_near_dedup, op4_source_mix, op7_suffix_array_dedup, op9_super_kmer_dedup, op10_uniform_shards]
     return {f.__name__: f for f in found}
 
 
