@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, sharding, suffix, superkmer
+from . import bpe, langid, minhash, mixing, quality, sharding, suffix, superkmer
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4(_documents(spark, sf_dir))
 
 
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.op7(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op8(_documents(spark, sf_dir))
+
+
 def op9_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.op9(_documents(spark, sf_dir))
 
@@ -38,7 +46,7 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op3_sketch_near_dedup, op4_source_mix, op7_suffix_array_dedup, op9_super_kmer_dedup, op10_uniform_shards]
+    found = [op1_bpe_round_trip, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards]
     return {f.__name__: f for f in found}
 
 
