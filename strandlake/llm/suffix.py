@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import column, covered
-from .windows import Windows, repeated_spans, span_arrays, with_spans
+from .windows import Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
 
 WINDOW = 100
 GRAM = 32
@@ -163,7 +163,7 @@ CONFIG = Windows("byte", WINDOW, GRAM, True)
 
 def repeated_bytes(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
     """Spans (doc_id, start, end) of bytes in strings of WINDOW bytes that also start earlier in the corpus."""
-    return repeated_spans(config, docs, kernel)
+    return repeated_spans(config, docs, kernel)  # docs: rows of keyed
 
 
 def op7(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
@@ -174,8 +174,8 @@ def op7(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
         cols = [column(batch, "doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rest])]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", *[f.name for f in extra]])
 
-    found = with_spans(docs.select("doc_id", "text"), repeated_bytes(docs, config))
-    return digest(found, make, T.StructType([docs.schema["doc_id"], *extra]))
+    docs = keyed(docs)
+    return unkeyed(digest(with_spans(docs, repeated_bytes(docs, config)), make, T.StructType([docs.schema["doc_id"], *extra])))
 
 
 def digest(found: DataFrame, make, schema: T.StructType) -> DataFrame:

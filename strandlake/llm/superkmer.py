@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import column, covered, ranges
-from .windows import Windows, repeated_spans, span_arrays, with_spans
+from .windows import Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
 
 WINDOW = 35
 GRAM = 8
@@ -67,12 +67,12 @@ CONFIG = Windows("word", WINDOW, GRAM, False)
 
 def repeated_words(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
     """Spans (doc_id, start, end) of words in windows whose word sequence also starts elsewhere."""
-    return repeated_spans(config, docs, kernel)
+    return repeated_spans(config, docs, kernel)  # docs: rows of keyed
 
 
 def op9(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
     """The contract's digest. Null texts have no words; with none kept, the hash is that of the empty string."""
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs)
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,4 +93,4 @@ def op9(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
                     sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], names=["doc_id", *[f.name for f in extra]])
 
-    return with_spans(docs, repeated_words(docs, config)).mapInArrow(run, T.StructType([docs.schema["doc_id"], *extra]))
+    return unkeyed(with_spans(docs, repeated_words(docs, config)).mapInArrow(run, T.StructType([docs.schema["doc_id"], *extra])))

@@ -7,10 +7,10 @@ most 2W-K units. The job never ships texts that have nothing in common with othe
 
 A  each batch of texts finds its super-k-mers. Equal ones within the batch are settled on the
    spot; the first of them travels as (anchor, document, place).
-B  rows meet by anchor. An anchor that only one travelling super-k-mer has can't hold a
+B  rows meet by anchor. Equal ones (128 bits of hash) are settled like those of one batch: they
+   are one string with many places. An anchor that only one string has can't hold another
    repeated window and is dropped.
-C  the others' strings are cut out of their texts and travel to their anchor's bucket, again
-   once per batch of texts. Anchors on more than HOT strings (a common line in ever new
+C  the others' strings are cut out of their texts and travel to their anchor's bucket. Anchors on more than HOT strings (a common line in ever new
    surroundings) are split: each of their windows travels by its own hash, so that no bucket
    gathers a large group.
 D  a bucket's kernel finds the windows that occur more than once (suffix array or sorting).
@@ -157,7 +157,7 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 
 SPAN, STRING, WINDOW = 1, 0, 2
-A_SCHEMA = "kind int, key long, doc_id long, start long, units int"
+A_SCHEMA = "kind int, key long, s long, doc_id long, start int, units int"
 B_SCHEMA = "kind int, doc_id long, h long, start long, units int, hot boolean"
 C_SCHEMA = "kind int, key long, h long, doc_id long, start long, units int, body binary"
 SPAN_SCHEMA = "doc_id long, start long, end long"
@@ -190,9 +190,8 @@ def find_anchors(cfg: Windows, docs: DataFrame) -> DataFrame:
             doc, start, length, h, s = (np.concatenate(x) for x in zip(*found, strict=True))
             travels, whole = settle(cfg, doc, start, length, h, s)
             d, a, b = merge_spans(doc[whole], start[whole], (start + length)[whole])
-            yield _batch(A_SCHEMA, kind=_full(len(d), SPAN), key=mix(d.astype(U64)), doc_id=d, start=a, units=b - a)
-            order = np.argsort(h[travels], kind="stable")
-            yield _batch(A_SCHEMA, kind=_full(len(order), STRING), key=h[travels][order], doc_id=doc[travels][order], start=start[travels][order], units=length[travels][order])
+            yield _batch(A_SCHEMA, kind=_full(len(d), SPAN), key=mix(d.astype(U64)), s=_full(len(d), 0), doc_id=d, start=a, units=b - a)
+            yield _batch(A_SCHEMA, kind=_full(int(travels.sum()), STRING), key=h[travels], s=s[travels], doc_id=doc[travels], start=start[travels], units=length[travels])
 
     return docs.select("doc_id", "text").mapInArrow(run, A_SCHEMA)
 
@@ -206,21 +205,30 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def shared_anchors(cfg: Windows, rows: DataFrame) -> DataFrame:
-    """Step B: spans pass; strings pass if another string has their anchor."""
+    """Step B: spans pass, equal strings are settled; a string passes if a different one has its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
         if not t:
             return
+        spans = []
         span = t["kind"] == SPAN
         if span.any():
-            d = t["doc_id"][span]
-            yield _batch(B_SCHEMA, kind=_full(len(d), SPAN), doc_id=d, h=_full(len(d), 0), start=t["start"][span], units=t["units"][span], hot=np.zeros(len(d), bool))
-        key, doc, start, units = (t[n][~span] for n in ("key", "doc_id", "start", "units"))
-        order = np.argsort(key, kind="stable")
+            a = t["start"][span].astype(np.int64)
+            spans.append((t["doc_id"][span], a, a + t["units"][span]))
+        key, s, doc, start, units = (t.pop(n)[~span] for n in ("key", "s", "doc_id", "start", "units"))
+        start, units = start.astype(np.int64), units.astype(np.int64)
+        travels, hit = settle(cfg, doc, start, units, key, s)
+        spans.append((doc[hit], start[hit], (start + units)[hit]))
+        d, a, b = merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+        if len(d):
+            yield _batch(B_SCHEMA, kind=_full(len(d), SPAN), doc_id=d, h=_full(len(d), 0), start=a, units=b - a, hot=np.zeros(len(d), bool))
+        own = np.flatnonzero(travels)
+        order = own[np.argsort(key[own], kind="stable")]
         k = key[order]
         head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        count = np.repeat(np.diff(np.append(head, len(k))), np.diff(np.append(head, len(k))))
+        size = np.diff(np.append(head, len(k)))
+        count = np.repeat(size, size)
         keep = order[count > 1]
         if len(keep):
             hot = count[count > 1] > cfg.hot
@@ -341,25 +349,30 @@ NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone; both joins of the job use these rows and share their exchange."""
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
 
 
 def repeated_spans(cfg: Windows, docs: DataFrame, kernel: Kernel) -> DataFrame:
     """(doc_id, start, end) in units: spans that hold all removable windows (they may overlap).
 
-    ``docs`` needs doc_id (long) and text. A null doc_id counts as the smallest; rows that
-    share a doc_id are taken as one document.
+    ``docs`` are rows of ``keyed``. A null doc_id counts as the smallest; rows that share a
+    doc_id are taken as one document.
     """
-    docs = keyed(docs)
     flagged = shared_anchors(cfg, find_anchors(cfg, docs))
     known = flagged.where(F.col("kind") == SPAN).select("doc_id", "start", (F.col("start") + F.col("units")).alias("end"))
     return bucket_spans(cfg, cut_strings(cfg, docs, flagged), kernel).unionByName(known)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (any columns beside doc_id and text) with column ``spans``, null where nothing was found."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "__key")
-    return docs.drop("spans").join(lists, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__key"), "left").drop("__key")
+    """Rows of ``keyed`` with column ``spans``, null where nothing was found."""
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return docs.join(lists, "doc_id", "left")
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    """Give null ids back."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def span_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
