@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, quality, sharding, suffix, superkmer
+from . import ann, bpe, embdedup, langid, minhash, mixing, quality, sharding, suffix, superkmer
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op1(_documents(spark, sf_dir))
 
 
+def op2_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op2(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op3(_documents(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.op6(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.op7(_documents(spark, sf_dir))
 
@@ -46,7 +54,7 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards]
+    found = [op1_bpe_round_trip, op2_multiprobe_nearest, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op6_nn_descent_dedup, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards]
     return {f.__name__: f for f in found}
 
 
