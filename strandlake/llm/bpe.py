@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import column
 
@@ -251,39 +252,38 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
     """Tokenise column ``text`` of each row.
 
-    Adds n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids (array<int>) and
-    decoded. Null and empty texts have no tokens; texts of any length are taken whole;
-    columns of these names in the input are replaced; an empty table gives no rows.
+    Adds n_tokens, ids_sha256, decoded_sha256 and, as asked for, ids (array<int>) and decoded.
+    Null and empty texts have no tokens; texts of any length are taken whole; columns of
+    these names in the input are replaced; an empty table gives no rows.
     """
     path = path or default_path()
-    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
-    df = docs.drop(*new)
-    kept = [f for f in df.schema.fields if keep_ids or f.name != "text"]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())] if keep_ids else [])])
-    names = [f.name for f in kept]
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    added += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids + [T.StructField("decoded", T.StringType())] * keep_decoded
+    df = docs.drop(*[f.name for f in added])
+    schema = T.StructType([*df.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                texts = column(batch, "text").fill_null("").to_pylist()
-                ids = c.encode_batch(texts)
+                ids = c.encode_batch(column(batch, "text").fill_null("").to_pylist())
                 decoded = [c.decode(x) for x in ids]
                 sha = lambda x: hashlib.sha256(x).hexdigest()
-                cols = [column(batch, n) for n in names]
-                cols += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(x.encode()) for x in decoded])]
+                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                cols = [*batch.columns, pa.array(size), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(x.encode()) for x in decoded], pa.string())]
                 if keep_ids:
-                    cols += [pa.array([array("i", x).tolist() for x in ids], pa.list_(pa.int32())), pa.array(decoded)]
+                    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                if keep_decoded:
+                    cols.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    return encode_documents(docs.select("doc_id", "text"), keep_ids=False)
+    return encode_documents(docs.select("doc_id", "text"), keep_ids=False, keep_decoded=False).drop("text")

@@ -35,6 +35,12 @@ def ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandlake-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as set for checkpoints."""
+    ready(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
     ready(df.sparkSession)

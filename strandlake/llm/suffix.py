@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, covered
-from .windows import Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
+from .windows import NO_ID, Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
 
 WINDOW = 100
 GRAM = 32
@@ -178,6 +179,35 @@ def op7(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
     return unkeyed(digest(with_spans(docs, repeated_bytes(docs, config)), make, T.StructType([docs.schema["doc_id"], *extra])))
 
 
+def without_repeats(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with the repeated bytes taken out of text.
+
+    A character goes only if all its bytes are repeated, so texts stay valid UTF-8. Null texts
+    stay null; no row goes.
+    """
+    spans = repeated_bytes(keyed(docs), config)
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "__key")
+    joined = docs.drop("spans").join(lists, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__key"), "left").drop("__key")
+    names = docs.drop("spans").columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                at, starts, ends = span_arrays(batch)
+                texts = column(batch, "text").to_pylist()
+                for i in np.flatnonzero(np.diff(at)).tolist():
+                    raw = np.frombuffer((texts[i] or "").encode(), np.uint8)
+                    keep = ~covered(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]], len(raw))[0]
+                    char = np.cumsum((raw & 0xC0) != 0x80) - 1  # number of the character of each byte
+                    whole_char = np.zeros(int(char[-1]) + 1 if len(char) else 0, bool)
+                    whole_char[char[keep]] = True
+                    texts[i] = raw[whole_char[char]].tobytes().decode()
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in names], names=names)
+
+    return joined.mapInArrow(run, docs.drop("spans").schema)
+
+
 def digest(found: DataFrame, make, schema: T.StructType) -> DataFrame:
     """Cut the spans out of each text and let ``make`` build the output batch."""
 
