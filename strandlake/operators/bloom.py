@@ -18,6 +18,7 @@ from strandlake.functions import sequence as S
 
 from .graph import degrees as graph_degrees
 from .graph import next_edges, with_parts
+from .lineage import cut
 
 
 def sizes(occurrences: DataFrame, factor: float, num_hash: int, *, color: str = "color_id", sizing: str = "windows", rec: str = "rec_ord") -> DataFrame:
@@ -72,15 +73,16 @@ def chains(edges: DataFrame, k: int, rounds: int = 24) -> DataFrame:
     degree = graph_degrees(edges, k).where((F.col("out_degree") == 1) & (F.col("in_degree") == 1)).select(F.col("edge_id").alias("b"))
     solid = edges.where(~S.is_dummy(F.col("kmer")))
     follow = next_edges(solid, k).where(F.col("next_id").isNotNull()).select(F.col("edge_id").alias("a"), F.col("next_id").alias("b")).join(degree, "b", "left_semi")
-    links = follow.persist()
+    solid, links = cut(solid.select("edge_id")), cut(follow)
 
     def climb(before: DataFrame) -> DataFrame:
         state = solid.select("edge_id").join(before.select(F.col("b").alias("edge_id"), F.col("a").alias("up")), "edge_id", "left")
         state = state.select("edge_id", F.coalesce("up", "edge_id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("place"), F.least("edge_id", F.coalesce("up", "edge_id")).alias("least"))
-        last = None
+        state, last = cut(state), None
         for _ in range(rounds):
             above = state.select(F.col("edge_id").alias("up"), F.col("up").alias("up2"), F.col("place").alias("more"), F.col("least").alias("least2"))
-            state = state.join(above, "up").select("edge_id", F.col("up2").alias("up"), (F.col("place") + F.col("more")).alias("place"), F.least("least", "least2").alias("least")).persist()
+            state = state.join(above, "up").select("edge_id", F.col("up2").alias("up"), (F.col("place") + F.col("more")).alias("place"), F.least("least", "least2").alias("least"))
+            state = cut(state)
             now = state.agg(F.sum("up"), F.max("place")).first()
             if last is not None and now[0] == last[0] and now[1] == last[1]:
                 break
@@ -152,7 +154,8 @@ def corrected_one_way(edges: DataFrame, raw: DataFrame, k: int, cutoff: int) ->
     each step, over the edges that still walk.
     """
     solid = edges.where(~S.is_dummy(F.col("kmer")))
-    sets = solid.select("edge_id").join(raw.groupBy("edge_id").agg(F.array_sort(F.collect_set("color_id")).alias("colors")), "edge_id").persist()
+    sets = solid.select("edge_id").join(raw.groupBy("edge_id").agg(F.array_sort(F.collect_set("color_id")).alias("colors")), "edge_id")
+    solid, sets = cut(solid), cut(sets)
     degree = graph_degrees(edges, k)
     follow = next_edges(solid, k).where(F.col("next_id").isNotNull())
     forward = follow.join(degree.where("out_degree = 1").select(F.col("edge_id").alias("next_id")), "next_id").select(F.col("edge_id").alias("at"), F.col("next_id").alias("to"))
@@ -162,12 +165,14 @@ def corrected_one_way(edges: DataFrame, raw: DataFrame, k: int, cutoff: int) ->
     backward = parts.join(single, "edge_id", "left_semi").join(behind, "src").select(F.col("edge_id").alias("at"), "to")
     state = sets.select("edge_id", F.col("edge_id").alias("at"), "colors", F.lit(0).alias("quiet"))
     for ways in (forward, backward):
-        table = ways.join(sets.select(F.col("edge_id").alias("to"), F.col("colors").alias("there")), "to", "left").persist()
+        table = ways.join(sets.select(F.col("edge_id").alias("to"), F.col("colors").alias("there")), "to", "left")
+        table = cut(table)
         walking, finished = state.select("edge_id", F.col("edge_id").alias("at"), "colors", F.lit(0).alias("quiet")), None
         while True:
             seen = walking.join(table, "at", "left")
             new = F.array_intersect("colors", F.coalesce("there", F.array().cast("array<int>")))
-            seen = seen.withColumn("new", new).withColumn("stop", (F.col("quiet") >= cutoff) | F.col("to").isNull() | (F.size("new") == 0)).persist()
+            seen = seen.withColumn("new", new).withColumn("stop", (F.col("quiet") >= cutoff) | F.col("to").isNull() | (F.size("new") == 0))
+            seen = cut(seen)
             ended = seen.where("stop").select("edge_id", "colors")
             finished = ended if finished is None else finished.unionByName(ended)
             walking = seen.where("not stop").select("edge_id", F.col("to").alias("at"), F.array_sort("new").alias("colors"), F.when(F.size("new") < F.size("colors"), 0).otherwise(F.col("quiet") + 1).alias("quiet"))
