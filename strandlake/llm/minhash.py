@@ -8,9 +8,9 @@ the joint likelihood of the registers' order and equality, given both set sizes,
 the similarity; what may reach the threshold is confirmed on the full sets.
 
 Documents with equal sets are one class from the start. In a band's bucket each class is
-first compared with the least one; only buckets that still hold several components then
-compare classes of different components, so that a group of near copies costs a number of
-comparisons in proportion to its size.
+first compared with the least one; buckets that still hold several components then meet once
+more as a whole, and classes of different components are compared there until one link joins
+them. Pairs are never rows of a table, so a group of near copies is shipped in proportion to its size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, gram_hashes, lower_ascii, mix, ranges, span_hashes, text_slices, word_spans
+from .common import U64, column, cut, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, span_hashes, text_slices, word_spans
 from .components import components
 from .windows import NO_ID
 
@@ -133,34 +133,148 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, members): packed shingle hashes of the wanted documents."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
             for lo, hi, h, offs in shingle_sets(column(batch, "text"), size):
                 packed += [h[offs[i] : offs[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(packed, pa.large_binary()).cast(pa.binary())], names=["id", "members"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(packed, pa.binary())], names=["id", "members"])
+
+    return docs.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(run, "id long, members binary")
+
+
+def similar(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
+    """Whether two sorted sets of distinct hashes reach the threshold."""
+    if 100 * min(len(p), len(q)) < per_cent * max(len(p), len(q)):
+        return False
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= per_cent * (len(p) + len(q) - inter)
 
-    have = docs.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(sets, "id long, members binary")
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+    have = set_rows(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
     side = lambda x: have.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(column(batch, "members_a").to_pylist(), column(batch, "members_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= per_cent * (len(p) + len(q) - inter))
+            keep = [similar(np.frombuffer(x, U64), np.frombuffer(y, U64), per_cent) for x, y in zip(column(batch, "members_a").to_pylist(), column(batch, "members_b").to_pylist(), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(mask) for c in "ab"], names=["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+#: Members of a bucket that are compared with each other in one piece.
+TILE = 2048
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Add ``piece`` to members of buckets (key, ...): a bucket is one piece, or one for each pair of its tiles."""
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = rows.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return each.withColumn("piece", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    piece = table.column("piece").to_numpy()
+    order = np.argsort(piece, kind="stable")
+    head = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1]))
+    for lo, hi in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
+        yield table.take(pa.array(order[lo:hi]))
+
+
+def _likely_across(piece: pa.Table, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a piece's rows in different components that the sketches don't rule out.
+
+    A pair is looked at in the first band that it shares, not in every one.
+    """
+    n = piece.num_rows
+    sketch = np.frombuffer(b"".join(piece.column("sketch").to_pylist()), np.uint8).reshape(n, REGISTERS)
+    comp, tile, other, sizes, ids = (piece.column(c).to_numpy() for c in ("component", "tile", "other", "n_shingles", "id"))
+    band = int(piece.column("band")[0].as_py())
+    width = REGISTERS // BANDS
+    lo, hi = np.minimum(tile, other), np.maximum(tile, other)
+    left = np.flatnonzero(tile == lo)
+    right = np.flatnonzero(tile == hi)
+    same_tile = bool((lo == hi).all())
+    for a in range(0, len(left), 64):
+        i = left[a : a + 64]
+        equal = sketch[i][:, None, :] == sketch[right][None, :, :]
+        want = (comp[i][:, None] != comp[right][None, :]) & (equal.sum(axis=2) >= floor * REGISTERS)
+        if same_tile:
+            want &= ids[i][:, None] < ids[right][None, :]
+        x, y = np.nonzero(want)
+        if not len(x):
+            continue
+        first = equal[x, y].reshape(-1, BANDS, width).all(axis=2).argmax(axis=1)
+        x, y = x[first == band], y[first == band]
+        p, q = i[x], right[y]
+        for at in range(0, len(p), 20_000):
+            r, t = p[at : at + 20_000], q[at : at + 20_000]
+            est = likely_similarity((sketch[r] > sketch[t]).sum(1), (sketch[r] < sketch[t]).sum(1), sizes[r].astype(float), sizes[t].astype(float))
+            yield r[est >= floor], t[est >= floor]
+
+
+def links_across(rest: DataFrame, docs: DataFrame, size: int, per_cent: int) -> DataFrame:
+    """Links (a, b) that join different components within buckets.
+
+    ``rest`` has key, band, id, component, sketch, n_shingles. Rows meet by bucket twice: with
+    their sketches, to find the members that have a likely partner, and then those with their sets. No pair is
+    shipped; a pair whose components are joined already is not compared.
+    """
+    floor = per_cent / 100 - DEVIATIONS * np.sqrt(per_cent / 100 * (1 - per_cent / 100) / REGISTERS)
+    n = shuffle_partitions(rest.sparkSession)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            hit = np.zeros(piece.num_rows, bool)
+            for i, j in _likely_across(piece, floor):
+                hit[i] = hit[j] = True
+            if hit.any():
+                mask = pa.array(hit)
+                yield pa.RecordBatch.from_arrays([piece.column(c).combine_chunks().filter(mask) for c in ("key", "id")], names=["key", "id"])
+
+    fields = ["piece", "key", "band", "id", "component", "tile", "other", "n_shingles", "sketch"]
+    flagged = cut(_tiled(rest).select(*fields).repartition(n, "piece").mapInArrow(likely, "key long, id long").distinct())
+    have = set_rows(docs, flagged.select("id").distinct(), size)
+    full = _tiled(rest.join(flagged, ["key", "id"], "left_semi")).join(have, "id").select(*fields, "members")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            up: dict[int, int] = {}
+
+            def root(c: int, up: dict[int, int] = up) -> int:
+                while up.get(c, c) != c:
+                    up[c] = up.get(up[c], up[c])
+                    c = up[c]
+                return c
+
+            comp, ids = piece.column("component").to_pylist(), piece.column("id").to_pylist()
+            sets = [np.frombuffer(x, U64) for x in piece.column("members").to_pylist()]
+            a, b = [], []
+            for i, j in _likely_across(piece, floor):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = root(comp[x]), root(comp[y])
+                    if p != q and similar(sets[x], sets[y], per_cent):
+                        up[p] = q
+                        a.append(ids[x])
+                        b.append(ids[y])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return full.repartition(n, "piece").mapInArrow(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, per_cent: int = 80) -> DataFrame:
     """(id, n_shingles, component) of each row of ``docs`` (id long, text).
 
@@ -172,22 +286,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, per_cent: int = 80) ->
     full = rows.where("n_shingles > 0")
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")))
     width = REGISTERS // BANDS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))))
-    banded = classes.select(F.explode(keys).alias("key"), "id")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))).alias("key"), b.alias("band")))
+    banded = classes.select(F.inline(keys), "id")
     buckets = banded.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     members = cut(banded.join(buckets, "key"))
     stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(confirmed(cut(likely_pairs(stars, classes, per_cent)), docs, size, per_cent))
     found = components(links)
     # buckets of three or more that aren't one component yet: compare across components
-    named = members.where("n > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = members.where("n > 2").join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     split = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
-    rest = cut(named.join(split, "key").select("key", "id", "component", "least"))
-    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    across = rest.select("key", F.col("id").alias("a"), "component", "least").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & (F.col("a") != F.col("least"))).select("a", "b").distinct()
-    more = cut(likely_pairs(across, classes, per_cent))
+    rest = cut(named.join(split, "key", "left_semi").join(classes.select("id", "n_shingles", "sketch"), "id"))
+    more = cut(links_across(rest, docs, size, per_cent))
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed(more, docs, size, per_cent)))
+        found = components(links.unionByName(more))
     of_class = classes.select("s1", "s2", "n_shingles", F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("class")
     placed = rows.select("id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
     return placed.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
