@@ -75,7 +75,7 @@ def split_tree(units: DataFrame, shards: int, seed: int) -> DataFrame:
     return out.withColumn("shard", F.col("lo").cast("int")).drop("lo", "hi", "node")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, identity: tuple[str, ...] = ("doc_id",), seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, identity: tuple[str, ...] = ("doc_id",), seed: int = SEED, shards: int = SHARDS, size: Column | None = None) -> DataFrame:
     """How often the mix takes each document.
 
     ``docs`` needs source, text and the identity columns. Adds size, source_size, target,
@@ -83,11 +83,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     shards (output shard of each take). Each source's taken words equal its rounded target.
     Null and empty texts have size 0 and are never taken; a null source is a source of its
     own, last in order; equal documents are interchangeable; an empty table gives no rows.
-    Columns of these names in the input are replaced.
+    Columns of these names, and block, block_size and rest, are replaced. ``size`` stands in for
+    counting the words of text.
     """
-    new = ["size", "source_size", "target", "passes", "head_words", "taken", "shards"]
+    new = ["block", "block_size", "rest", "size", "source_size", "target", "passes", "head_words", "taken", "shards"]
     key = F.xxhash64(F.lit(seed), *identity)
-    sized = docs.drop(*new).withColumn("size", word_count(F.col("text"))).withColumn("block", F.pmod(key, F.lit(BLOCKS)).cast("int"))
+    sized = docs.drop(*new).withColumn("size", word_count(F.col("text")) if size is None else size).withColumn("block", F.pmod(key, F.lit(BLOCKS)).cast("int"))
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     sizes = blocks.groupBy("source").agg(F.sum("block_size").alias("source_size"))
     quotas = draw_blocks(blocks, source_targets(sizes, list(weights), share, cap), seed)
@@ -118,8 +119,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A document of which the mix takes only some words comes whole if that is at least half
     of it, and not otherwise. Columns are those of ``docs``.
     """
-    names = docs.columns
-    taken = mix_sources(docs.withColumn("__id", F.struct("doc_id", F.crc32(F.coalesce("text", F.lit(""))))), identity=("__id",))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "source", F.struct("doc_id", F.crc32(F.coalesce("text", F.lit("")))).alias("__id"), word_count(F.col("text")).alias("__size"))
+    taken = mix_sources(rows, identity=("__id",), size=F.col("__size"))
     times = F.col("passes") + F.when((F.col("head_words") > 0) & (F.col("head_words") * 2 >= F.col("size")), 1).otherwise(0)
     copies = F.explode(F.sequence(F.lit(1), times))
-    return taken.where(times > 0).withColumn("__copy", copies).select(*names)
+    return taken.where(times > 0).withColumn("__copy", copies).select("__row.*")
