@@ -63,7 +63,7 @@ def occupancy(meta: DataFrame, bits: DataFrame) -> DataFrame:
     return meta.join(n, "color_id", "left").select("color_id", "n_bits", F.coalesce("n_set", F.lit(0)).alias("n_set"), (F.coalesce("n_set", F.lit(0)) / words).alias("occupancy"))
 
 
-def chains(edges: DataFrame, k: int, rounds: int = 24) -> DataFrame:
+def chains(edges: DataFrame, k: int) -> DataFrame:
     """(edge_id, unitig, place, cyclic): maximal non-branching paths of non-dummy edges.
 
     Links join an edge to the one that follows through a node with one way in and one out.
@@ -74,6 +74,7 @@ def chains(edges: DataFrame, k: int, rounds: int = 24) -> DataFrame:
     solid = edges.where(~S.is_dummy(F.col("kmer")))
     follow = next_edges(solid, k).where(F.col("next_id").isNotNull()).select(F.col("edge_id").alias("a"), F.col("next_id").alias("b")).join(degree, "b", "left_semi")
     solid, links = cut(solid.select("edge_id")), cut(follow)
+    rounds = solid.count().bit_length() + 1
 
     def climb(before: DataFrame) -> DataFrame:
         state = solid.select("edge_id").join(before.select(F.col("b").alias("edge_id"), F.col("a").alias("up")), "edge_id", "left")
@@ -87,8 +88,6 @@ def chains(edges: DataFrame, k: int, rounds: int = 24) -> DataFrame:
             if last is not None and now[0] == last[0] and now[1] == last[1]:
                 break
             last = now
-            if now[1] is not None and now[1] > 1 << 40:
-                break
         return state
 
     first = climb(links)
