@@ -173,8 +173,8 @@ def op8(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` whose language is found with a score of at least ``least``; columns unchanged."""
+def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """``docs`` that have a language: not ``und``, and found with a score of at least ``least``; columns unchanged."""
     model = fit(docs.select("doc_id", "text", "lang"))
     names = docs.columns
     keyed = docs.select(F.struct(*names).alias("row"), "text")
