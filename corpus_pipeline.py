@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those without a letter or without a clear language go."""
+    """Documents whose language is found; those without a letter go."""
     return langid.identified(docs.select(*COLUMNS))
 
 
