@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string"
 
 
 def test_against_plain_version(spark):
-    rows = plain.corpus(2, 120)
+    rows = plain.corpus(2, 100)
     # a group whose members are near the threshold to each other
     rng = np.random.default_rng(3)
     base = [f"t{i}" for i in range(150)]
