@@ -8,7 +8,7 @@ is the one of the highest sum over all its words.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +36,16 @@ def hash_share(docs_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(docs_id.cast("string"), F.lit(""))), F.lit(parts))
 
 
-def grams(word: str) -> Iterator[str]:
-    padded = f"<{word}>"
-    for n in range(1, ORDER + 1):
-        for i in range(len(padded) - n + 1):
-            yield padded[i : i + n]
+def gram_counts(words: Counter) -> dict[str, int]:
+    """How often each n-gram of up to ORDER letters occurs in counted words, < and > marking their ends."""
+    out: dict[str, int] = defaultdict(int)
+    for word, count in words.items():
+        padded = f"<{word}>"
+        size = len(padded)
+        for n in range(1, min(ORDER, size) + 1):
+            for i in range(size - n + 1):
+                out[padded[i : i + n]] += count
+    return out
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
@@ -52,11 +57,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
             for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(_letters(text.lower()))
             for lang, count in words.items():
-                parts: Counter = Counter()
-                for w, n in count.items():
-                    for g in grams(w):
-                        parts[g] += n
-                for kind, c in ((0, count), (1, parts)):
+                for kind, c in ((0, count), (1, gram_counts(count))):
                     if c:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([kind] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "kind", "feature", "n"])
 
@@ -105,35 +106,48 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model["langs"]) + 1), np.float32)  # last: has a letter
 
-    def word(self, w: str) -> np.ndarray:
+    def learn(self, chunks: list[str]) -> None:
+        """Score unseen chunks, all in one pass over the model's rows."""
         m = self.model
-        if (i := m["words"].get(w)) is not None:
-            return m["scores"][i]
-        padded, get = f"<{w}>", m["grams"].get
-        for n in range(min(ORDER, len(padded)), 0, -1):
-            found = [i for j in range(len(padded) - n + 1) if (i := get(padded[j : j + n])) is not None]
-            if found:
-                return m["scores"][found].mean(axis=0)
-        return np.zeros(len(m["langs"]), np.float32)
-
-    def learn(self, chunk: str) -> None:
-        i = len(self.known)
-        if i == len(self.rows):
+        base, n = len(self.known), len(chunks)
+        while base + n > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[i]
-        row[:] = 0
-        for w in _letters(chunk):
-            row[:-1] += self.word(w)
-            row[-1] = 1
-        self.known[chunk] = i
+        word, gram = m["words"].get, m["grams"].get
+        at: list[int] = []
+        owner: list[int] = []
+        weight: list[float] = []
+        has = np.zeros(n, np.float32)
+        for r, chunk in enumerate(chunks):
+            for w in _letters(chunk):
+                has[r] = 1
+                if (i := word(w)) is not None:
+                    at.append(i)
+                    owner.append(r)
+                    weight.append(1.0)
+                    continue
+                padded = f"<{w}>"
+                for size in range(min(ORDER, len(padded)), 0, -1):
+                    found = [i for j in range(len(padded) - size + 1) if (i := gram(padded[j : j + size])) is not None]
+                    if found:
+                        at += found
+                        owner += [r] * len(found)
+                        weight += [1 / len(found)] * len(found)
+                        break
+        rows = self.rows[base : base + n]
+        picked, each, by = m["scores"][np.array(at, np.int64)], np.array(weight), np.array(owner, np.int64)
+        for lang in range(len(m["langs"])):
+            rows[:, lang] = np.bincount(by, picked[:, lang] * each, n)
+        rows[:, -1] = has
+        self.known.update(zip(chunks, range(base, base + n), strict=True))
 
     def batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [(t or "").lower().split() for t in texts]
         known = self.known
-        for chunk in {c for words in split for c in words if c not in known}:
-            self.learn(chunk)
+        fresh = list({c for words in split for c in words if c not in known})
+        if fresh and self.model["langs"]:
+            self.learn(fresh)
         langs = self.model["langs"]
         get = known.__getitem__
         preds, scores = [], np.zeros(len(texts))
