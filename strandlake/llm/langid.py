@@ -76,25 +76,25 @@ def fit(docs: DataFrame) -> dict:
         return {"langs": [], "words": {}, "grams": {}, "scores": np.zeros((0, 0), np.float32)}
     each = max(200, FEATURES // (2 * len(langs)))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "feature")
-    top = feature_counts(sample).withColumn("r", F.row_number().over(best)).where(F.col("r") <= each).drop("r").orderBy("lang", "kind", "feature").collect()
+    top = feature_counts(sample).withColumn("r", F.row_number().over(best)).where(F.col("r") <= each).select("kind", "feature", "lang", "n").orderBy("kind", "feature", "lang").toArrow()
     at = {lang: i for i, lang in enumerate(langs)}
-    tables: tuple[dict, dict] = ({}, {})
-    for r in top:
-        t = tables[r["kind"]]
-        t.setdefault(r["feature"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-    names, rows_ = ({}, {}), []
-    for kind, t in enumerate(tables):
-        if not t:
-            continue
-        by_length: dict[int, list[str]] = {}
-        for f in t:
-            by_length.setdefault(len(f) if kind else 0, []).append(f)
-        for fs in by_length.values():  # n-grams of one length share their total
-            c = np.stack([t[f] for f in fs]) + 0.5
-            for f, row in zip(fs, np.log(c / c.sum(axis=0)), strict=True):
-                names[kind][f] = len(rows_)
-                rows_.append(row)
-    scores = np.array(rows_, np.float32).reshape(-1, len(langs))
+    kind, n = top.column("kind").to_numpy(), top.column("n").to_numpy()
+    lang = np.fromiter(map(at.__getitem__, top.column("lang").to_pylist()), np.int64, len(kind))
+    names: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    row = np.zeros(len(kind), np.int64)
+    length: list[int] = []  # of the n-grams; 0 for words
+    for i, f in enumerate(top.column("feature").to_pylist()):
+        own = names[kind[i]]
+        if f not in own:
+            own[f] = len(length)
+            length.append(len(f) if kind[i] else 0)
+        row[i] = own[f]
+    counts = np.full((len(length), len(langs)), 0.5)
+    counts[row, lang] += n
+    scores = np.zeros(counts.shape, np.float32)
+    for size in set(length):  # n-grams of one length share their total, as words do
+        some = np.array(length) == size
+        scores[some] = np.log(counts[some] / counts[some].sum(axis=0))
     return {"langs": langs, "words": names[0], "grams": names[1], "scores": scores - scores.mean(axis=1, keepdims=True)}
 
 
