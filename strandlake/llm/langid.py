@@ -163,8 +163,11 @@ class Scorer:
         return preds, scores
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """Add lang_pred and score; ``und`` (score 0) for texts that are null or have no letter, or if nothing was learned."""
+def predict(docs: DataFrame, model: dict, within: str | None = None) -> DataFrame:
+    """Add lang_pred and score; ``und`` (score 0) for texts that are null or have no letter, or if nothing was learned.
+
+    The text is column ``text``, or the field of that name in the struct column ``within``.
+    """
     df = docs.drop("lang_pred", "score")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES rows at most
@@ -174,7 +177,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                preds, scores = scorer.batch(column(batch, "text").to_pylist())
+                texts = column(batch, "text") if within is None else column(batch, within).field("text")
+                preds, scores = scorer.batch(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores)], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
@@ -191,5 +195,5 @@ def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """``docs`` that have a language: not ``und``, and found with a score of at least ``least``; columns unchanged."""
     model = fit(docs.select("doc_id", "text", "lang"))
     names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("row"), "text")
-    return predict(keyed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    keyed = docs.select(F.struct(*names).alias("row"))
+    return predict(keyed, model, "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
