@@ -4,7 +4,10 @@ Each vector keeps a list of its nearest known neighbours. Lists start from bucke
 hyperplane codes; then, round by round, the lists of a vector's neighbours are compared with
 each other (a join of the graph with the vectors, and small matrix products at the shared
 neighbour) and better neighbours enter. A list that is full of neighbours above the
-threshold is enlarged. When no round finds more, links above the threshold give components.
+threshold is enlarged. Links above the threshold give components; rounds go on until none joins
+two of them. A group of more links than its lists hold gives a spanning forest of them as well,
+and buckets too large for one piece meet once more in tiles, where members of different
+components are compared exactly: linked vectors that share a bucket always end in one component.
 Groups of near copies are larger than any list, so the number of links is counted exactly
 in the end, by tiles of TILE vectors within each component: no pair is emitted for it.
 
@@ -29,6 +32,7 @@ LIST = 10
 CODES = 24
 #: Neighbours this much nearer than random are kept as stepping stones.
 FLOOR = 0.8
+#: Rounds in which lists are enlarged; more follow while links join components.
 ROUNDS = 4
 TILE = 1024
 SEED = 31
@@ -40,18 +44,41 @@ def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "score"])
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, keep: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``keep`` best pairs of each vector of a small group, above ``floor``."""
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a spanning forest of a symmetric matrix of links."""
+    parent = np.full(len(linked), -1)
+    seen = ~linked.any(axis=1)
+    for root in np.flatnonzero(~seen).tolist():
+        if seen[root]:
+            continue
+        seen[root] = True
+        reached = [root]
+        while reached:
+            v = reached.pop()
+            new = np.flatnonzero(linked[v] & ~seen)
+            seen[new], parent[new] = True, v
+            reached += new.tolist()
+    j = np.flatnonzero(parent >= 0)
+    return parent[j], j
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, keep: int, floor: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` best pairs of each vector of a small group, above ``floor``, and pairs that join all its links."""
     s = x @ x.T
     np.fill_diagonal(s, -2)
     m = min(keep, len(ids) - 1)
     top = np.argpartition(-s, m - 1, axis=1)[:, :m]
     score = np.take_along_axis(s, top, axis=1)
     i, j = np.nonzero(score >= floor)
-    return ids[i], ids[top[i, j]], score[i, j]
+    j = top[i, j]
+    linked = s >= threshold
+    if (linked.sum(axis=1) > m).any():  # links that the lists don't hold
+        p, q = forest(linked)
+        i, j = np.append(i, p), np.append(j, q)
+    return ids[i], ids[j], s[i, j]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keep: int, floor: float) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterator[pa.RecordBatch], keep: int, floor: float, threshold: float) -> Iterator[pa.RecordBatch]:
     """Best pairs within each key of a partition of (key, id, embedding)."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
@@ -59,18 +86,19 @@ def grouped(batches: Iterator[pa.RecordBatch], keep: int, floor: float) -> Itera
     table = pa.Table.from_batches(parts)
     key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
     x = unit(matrix(table.column("embedding")))
-    line = x @ np.random.default_rng(SEED + 1).normal(size=x.shape[1])
-    order = np.lexsort((line, key))
+    order = np.argsort(key, kind="stable")
     key = key[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     out = []
     for lo, hi in zip(head.tolist(), np.append(head[1:], len(key)).tolist(), strict=True):
-        # large groups: overlapping stretches along a random line, near vectors lie together
         step = TILE // 2
+        if hi - lo > TILE:  # overlapping stretches along the group's own random line, near vectors lie together
+            line = np.random.default_rng([SEED + 1, int(key[lo]) & 0xFFFFFFFFFFFFFFFF]).normal(size=x.shape[1])
+            order[lo:hi] = order[lo:hi][np.argsort(x[order[lo:hi]] @ line)]
         for a in range(lo, max(hi - step, lo + 1), step):
             some = order[a : min(hi, a + TILE)]
             if len(some) > 1:
-                out.append(best_of(ids[some], x[some], keep, floor))
+                out.append(best_of(ids[some], x[some], keep, floor, threshold))
     if out:
         a, b, s = (np.concatenate(v) for v in zip(*out, strict=True))
         m = a != b
@@ -81,8 +109,10 @@ def merged(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def seed_edges(nodes: DataFrame, total: int) -> DataFrame:
+def coded(nodes: DataFrame, total: int, vectors: bool) -> DataFrame:
+    """(key, id, and embedding if ``vectors``): each node's bucket in each table."""
     bits = min(24, max(4, math.ceil(math.log2(max(total, 1) / 24 + 1))))
+    names = ["key", "id", "embedding"][: 3 if vectors else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -95,11 +125,65 @@ def seed_edges(nodes: DataFrame, total: int) -> DataFrame:
             for t in range(CODES):
                 code = ((x @ planes[t]) > 0) @ (1 << np.arange(bits))
                 key = mix(code.astype(U64) + U64(t << 32)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), column(batch, "id"), column(batch, "embedding")], names=["key", "id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(column(batch, c) for c in names[1:])], names=names)
 
-    coded = nodes.select("id", "embedding").mapInArrow(run, "key long, id long, embedding array<double>")
+    return nodes.select("id", "embedding").mapInArrow(run, "key long, id long" + ", embedding array<double>" * vectors)
+
+
+def seed_edges(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
     n = shuffle_partitions(nodes.sparkSession)
-    return coded.repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR), EDGE_SCHEMA)
+    return coded(nodes, total, True).repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR, threshold), EDGE_SCHEMA)
+
+
+def large_buckets(nodes: DataFrame, total: int) -> DataFrame:
+    """(key, id) of the buckets that ``grouped`` doesn't compare as wholes."""
+    rows = coded(nodes, total, False)
+    return rows.join(rows.groupBy("key").count().where(F.col("count") > TILE), "key", "left_semi")
+
+
+def across(edges: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Links among ``edges`` that join two components of ``found``."""
+    of = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
+    named = edges.where(F.col("score") >= threshold).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "score")
+
+
+def bucket_links(large: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links that join components of ``found`` within buckets (key, id), exactly.
+
+    Members lie in tiles in order of their components; two tiles meet unless both are of one and the same component.
+    """
+    named = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    split = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split")
+    place = Window.partitionBy("key").orderBy("component", "id")
+    rest = cut(named.join(split, "key", "left_semi").withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int")))
+    tiles = rest.groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    others = tiles.select("key", F.col("tile").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+    meet = tiles.join(others, "key").where((F.col("tile") <= F.col("other")) & (F.least("lo", "other_lo") < F.greatest("hi", "other_hi")))
+    pieces = meet.select("key", F.xxhash64("key", "tile", "other").alias("piece"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"), (F.col("tile") == F.col("other")).alias("same"))
+    rows = rest.join(pieces, ["key", "tile"]).join(nodes.select("id", "embedding"), "id").select("piece", "tile", "same", "id", "component", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        piece, tile, same, ids, comp = (t.column(c).to_numpy() for c in ("piece", "tile", "same", "id", "component"))
+        x = unit(matrix(t.column("embedding")))
+        order = np.argsort(piece, kind="stable")
+        head = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1]))
+        for lo, hi in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
+            some = order[lo:hi]
+            s = x[some] @ x[some].T
+            linked = (s >= threshold) & (comp[some][:, None] != comp[some][None, :])
+            if not same[some[0]]:  # each tile meets itself elsewhere
+                linked &= tile[some][:, None] != tile[some][None, :]
+            i, j = forest(linked)
+            if len(i):
+                yield _edges(ids[some[i]], ids[some[j]], s[i, j])
+
+    n = shuffle_partitions(nodes.sparkSession)
+    return rows.repartition(n, "piece").mapInArrow(run, EDGE_SCHEMA)
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -115,12 +199,15 @@ def lists(edges: DataFrame, threshold: float, size: int) -> DataFrame:
 
 
 def descend(edges: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
-    """One round: at each node the vectors of its list and of those that list it are compared."""
+    """One round: at each node the vectors of its list and of those that list it are compared.
+
+    A node gives each vector's LIST best pairs, and what joins all links there.
+    """
     near = lists(edges, threshold, size)
     at = near.select(F.col("a").alias("key"), F.col("b").alias("id")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("id"))).distinct()
     rows = at.join(nodes.select("id", "embedding"), "id").select("key", "id", "embedding")
     n = shuffle_partitions(nodes.sparkSession)
-    return rows.repartition(n, "key").mapInArrow(lambda it: grouped(it, size, FLOOR), EDGE_SCHEMA)
+    return rows.repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR, threshold), EDGE_SCHEMA)
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -171,16 +258,31 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     rows = usable_rows(table)
     nodes = cut(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("n"), F.any_value("embedding").alias("embedding")))
-    edges = cut(merged(seed_edges(nodes, nodes.count())))
-    known, size = edges.count(), LIST
-    for _ in range(ROUNDS):
-        size *= 2
+    total = nodes.count()
+    edges = cut(merged(seed_edges(nodes, total, threshold)))
+    large = cut(large_buckets(nodes, total))
+    linked = lambda: cut(components(edges.where(F.col("score") >= threshold).select("a", "b")))
+    known, size, turn, found = edges.count(), LIST, 0, None
+    while True:
+        turn += 1
+        size = min(2 * size, LIST << ROUNDS)
         edges = cut(merged(edges.unionByName(descend(edges, nodes, threshold, size))))
         now = edges.count()
-        if now == known:
+        if now > known and turn < ROUNDS:
+            known = now
+            continue
+        # lists have their full length: further links matter only where they join components
+        if found is not None and across(edges, found, threshold).isEmpty():
             break
-        known = now
-    found = components(edges.where(F.col("score") >= threshold).select("a", "b"))
+        found = linked()
+        more = cut(bucket_links(large, found, nodes, threshold))
+        if more.isEmpty():
+            if now == known:
+                break
+        else:
+            edges = cut(merged(edges.unionByName(more)))
+            found = linked()
+        known = edges.count()
     members = cut(found.join(nodes, "id"))
     counts = link_counts(members.select("component", "id", "n", "embedding"), threshold)
     of_node = nodes.select("h1", "h2", "id", "n").join(found, "id", "left").join(counts, "id", "left")

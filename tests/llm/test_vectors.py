@@ -62,3 +62,22 @@ def test_near_duplicates(spark):
     assert all(v == (0, k, True) for k, v in got.items() if k >= 10**6)
     assert embdedup.audit(df.dropDuplicates(["vec_id"]), embdedup.op6(df.dropDuplicates(["vec_id"]))) == 1.0
     assert embdedup.op6(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_bridged_groups(spark):
+    """Two groups of 1050 near copies, 18.6 degrees apart, with one pair at 18.0 degrees."""
+    rng = np.random.default_rng(5)
+    angle = np.radians(np.repeat([0.0, 18.6], 1050))
+    angle[7], angle[1050 + 11] = np.radians([0.3, 18.3])
+    x = np.zeros((2100, 16))
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    x[:, 2:] = rng.normal(size=(2100, 14)) * 1e-4
+    turn = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    x = (x @ turn).astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link[:1050, 1050:].sum() == 1
+    rows = embdedup.op6(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == {i: (int(n), 0) for i, n in enumerate(link.sum(axis=1))}
