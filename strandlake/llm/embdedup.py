@@ -29,7 +29,10 @@ from .components import components
 from .vectors import matrix, unit, usable_rows
 
 LIST = 10
+#: Tables of codes, at least; longer codes take more (see ``shape``).
 CODES = 24
+#: Probability that a pair at the threshold shares no bucket, at most.
+MISS = 1e-4
 #: Neighbours this much nearer than random are kept as stepping stones.
 FLOOR = 0.8
 #: Rounds in which lists are enlarged; more follow while links join components.
@@ -109,9 +112,16 @@ def merged(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def coded(nodes: DataFrame, total: int, vectors: bool) -> DataFrame:
-    """(key, id, and embedding if ``vectors``): each node's bucket in each table."""
+def shape(total: int, threshold: float) -> tuple[int, int]:
+    """Bits of a code and number of tables for ``total`` vectors: the chance to miss a pair stays below MISS at every size."""
     bits = min(24, max(4, math.ceil(math.log2(max(total, 1) / 24 + 1))))
+    met = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, max(CODES, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else CODES
+
+
+def coded(nodes: DataFrame, total: int, threshold: float, vectors: bool) -> DataFrame:
+    """(key, id, and embedding if ``vectors``): each node's bucket in each table."""
+    bits, tables = shape(total, threshold)
     names = ["key", "id", "embedding"][: 3 if vectors else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +131,8 @@ def coded(nodes: DataFrame, total: int, vectors: bool) -> DataFrame:
                 continue
             x = matrix(column(batch, "embedding"))
             if planes is None:
-                planes = np.random.default_rng(SEED).normal(size=(CODES, x.shape[1], bits))
-            for t in range(CODES):
+                planes = np.random.default_rng(SEED).normal(size=(tables, x.shape[1], bits))
+            for t in range(tables):
                 code = ((x @ planes[t]) > 0) @ (1 << np.arange(bits))
                 key = mix(code.astype(U64) + U64(t << 32)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(column(batch, c) for c in names[1:])], names=names)
@@ -132,12 +142,12 @@ def coded(nodes: DataFrame, total: int, vectors: bool) -> DataFrame:
 
 def seed_edges(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
     n = shuffle_partitions(nodes.sparkSession)
-    return coded(nodes, total, True).repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR, threshold), EDGE_SCHEMA)
+    return coded(nodes, total, threshold, True).repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR, threshold), EDGE_SCHEMA)
 
 
-def large_buckets(nodes: DataFrame, total: int) -> DataFrame:
+def large_buckets(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
     """(key, id) of the buckets that ``grouped`` doesn't compare as wholes."""
-    rows = coded(nodes, total, False)
+    rows = coded(nodes, total, threshold, False)
     return rows.join(rows.groupBy("key").count().where(F.col("count") > TILE), "key", "left_semi")
 
 
@@ -260,7 +270,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     nodes = cut(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("n"), F.any_value("embedding").alias("embedding")))
     total = nodes.count()
     edges = cut(merged(seed_edges(nodes, total, threshold)))
-    large = cut(large_buckets(nodes, total))
+    large = cut(large_buckets(nodes, total, threshold))
     linked = lambda: cut(components(edges.where(F.col("score") >= threshold).select("a", "b")))
     known, size, turn, found = edges.count(), LIST, 0, None
     while True:

@@ -81,3 +81,9 @@ def test_bridged_groups(spark):
     assert link[:1050, 1050:].sum() == 1
     rows = embdedup.op6(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == {i: (int(n), 0) for i, n in enumerate(link.sum(axis=1))}
+
+
+def test_tables_follow_the_length_of_codes():
+    for total in (1, 600, 51_000, 10**6, 10**7, 10**8, 10**10):
+        bits, tables = embdedup.shape(total, 0.95)
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 1e-4
