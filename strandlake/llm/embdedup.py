@@ -211,13 +211,13 @@ def lists(edges: DataFrame, threshold: float, size: int) -> DataFrame:
 def descend(edges: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
     """One round: at each node the vectors of its list and of those that list it are compared.
 
-    A node gives each vector's LIST best pairs, and what joins all links there.
+    A node gives each vector's ``size`` best pairs, and what joins all links there.
     """
     near = lists(edges, threshold, size)
     at = near.select(F.col("a").alias("key"), F.col("b").alias("id")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("id"))).distinct()
     rows = at.join(nodes.select("id", "embedding"), "id").select("key", "id", "embedding")
     n = shuffle_partitions(nodes.sparkSession)
-    return rows.repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR, threshold), EDGE_SCHEMA)
+    return rows.repartition(n, "key").mapInArrow(lambda it: grouped(it, size, FLOOR, threshold), EDGE_SCHEMA)
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
