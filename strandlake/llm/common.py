@@ -26,12 +26,14 @@ def ready(spark: SparkSession) -> None:
     """Make sure that checkpoints go to the shared folder which the session names.
 
     ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only
-    where none is configured, as in local tests.
+    where none is configured and driver and executors are one process, as in local tests.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandlake-ckpt-"))
 
 
@@ -64,6 +66,34 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """Tables of ``rows`` rows or more that end where ``keys`` change.
+
+    Batches come sorted by the keys; what is held is ``rows`` rows, a batch and one key's rows.
+    """
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(n, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        ends = np.flatnonzero(change)
+        if len(ends):
+            yield table.slice(0, int(ends[-1]))
+            held = table.slice(int(ends[-1])).to_batches()
+            n -= int(ends[-1])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``limit`` bytes.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, covered
-from .windows import NO_ID, Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
+from .windows import NO_ID, Windows, keyed, repeated_spans, span_arrays, span_lists, unkeyed, with_spans
 
 WINDOW = 100
 GRAM = 32
@@ -138,10 +138,19 @@ def bucket_repeats(bodies: list[bytes], order_key: np.ndarray, least: int, shift
 
 
 def kernel(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    own, spot, reach, _, _ = bucket_repeats(part["bodies"], part["doc_id"], WINDOW, part["start"])
-    hit = reach > 0
-    own, a = own[hit], (part["start"][own] + spot)[hit]
-    return part["doc_id"][own], a, a + reach[hit]
+    """(string, start, end) of what an earlier occurrence covers."""
+    out = []
+    group, sizes = part["group"], np.cumsum([len(b) for b in part["bodies"]])
+    lo = 0
+    while lo < len(group):  # whole anchors of about a megabyte at a time
+        hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 20), side="right"))
+        hi = int(np.searchsorted(group, group[max(hi, lo + 1) - 1], side="right"))
+        own, spot, reach, _, _ = bucket_repeats(part["bodies"][lo:hi], part["doc"][lo:hi], WINDOW, part["start"][lo:hi])
+        hit = reach > 0
+        own, a = own[hit] + lo, (part["start"][lo:hi][own] + spot)[hit]
+        out.append((own, a, a + reach[hit]))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
 def maximal_repeats(strings: list[tuple[int, bytes]], least: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
@@ -168,7 +177,13 @@ def repeated_bytes(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
 
 
 def op7(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
-    """The contract's digest. Null and empty texts have 0 bytes and keep the empty string."""
+    """The contract's digest.
+
+    Null and empty texts have 0 bytes and keep the empty string; texts are taken whole, however long. A null
+    doc_id counts as the smallest; rows that share a doc_id but not the text are ordered by a
+    hash of it; rows that share both are one row repeated, and each gets that row's result. Other columns are
+    not read; an empty table gives no rows.
+    """
     extra = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def make(batch: pa.RecordBatch, size: list, removed: list, runs: list, rest: list) -> pa.RecordBatch:
@@ -183,12 +198,13 @@ def without_repeats(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the repeated bytes taken out of text.
 
     A character goes only if all its bytes are repeated, so texts stay valid UTF-8. Null texts
-    stay null; no row goes.
+    stay null; no row goes. Documents are told apart and ordered as in ``op7``; a column named ``spans`` is dropped,
+    others stay as they are.
     """
-    spans = repeated_bytes(keyed(docs), config)
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "__key")
-    joined = docs.drop("spans").join(lists, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__key"), "left").drop("__key")
-    names = docs.drop("spans").columns
+    lists = span_lists(repeated_bytes(keyed(docs), config)).select(F.col("doc_id").alias("__key"), F.col("uid").alias("__uid"), "spans")
+    rows = docs.drop("spans")
+    joined = rows.join(lists, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__key")) & (F.xxhash64("text") == F.col("__uid")), "left").drop("__key", "__uid")
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -205,7 +221,7 @@ def without_repeats(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
                     texts[i] = raw[whole_char[char]].tobytes().decode()
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in names], names=names)
 
-    return joined.mapInArrow(run, docs.drop("spans").schema)
+    return joined.mapInArrow(run, rows.schema)
 
 
 def digest(found: DataFrame, make, schema: T.StructType) -> DataFrame:

@@ -45,6 +45,7 @@ def window_ranks(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def kernel(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, end) of the windows that occur more than once."""
     numbers: dict[bytes, int] = {}
     words = [[numbers.setdefault(w, len(numbers)) for w in body.split()] for body in part["bodies"]]
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -53,13 +54,13 @@ def kernel(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rank = window_ranks(flat, WINDOW)
     at = ranges(first, size - WINDOW + 1)
     own = np.repeat(np.arange(len(words)), size - WINDOW + 1)
-    doc, start, r = part["doc_id"][own], part["start"][own] + at - first[own], rank[at]
+    doc, start, r = part["doc"][own], part["start"][own] + at - first[own], rank[at]
     order = np.lexsort((start, doc, r))
     same = (r[order][1:] == r[order][:-1]) & ((doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1]))
     hit = np.zeros(len(order), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
-    return doc[hit], start[hit], start[hit] + WINDOW
+    return own[hit], start[hit], start[hit] + WINDOW
 
 
 CONFIG = Windows("word", WINDOW, GRAM, False)
@@ -71,7 +72,13 @@ def repeated_words(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
 
 
 def op9(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
-    """The contract's digest. Null texts have no words; with none kept, the hash is that of the empty string."""
+    """The contract's digest.
+
+    Null texts have no words; with none kept, the hash is that of the empty string; texts are taken whole,
+    however long. Rows that share a doc_id but not the text are different documents, null ids among
+    them; rows that share both are one row repeated and count once as an occurrence. Other columns are not read;
+    an empty table gives no rows.
+    """
     docs = keyed(docs)
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 

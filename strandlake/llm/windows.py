@@ -5,23 +5,29 @@ in it whose hash is smallest (the leftmost of equals), so equal windows have equ
 equal places. Consecutive windows that share an anchor form a super-k-mer: one string of at
 most 2W-K units. The job never ships texts that have nothing in common with others:
 
-A  each batch of texts finds its super-k-mers. Equal ones within the batch are settled on the
+A  each slice of texts finds its super-k-mers. Equal ones within the slice are settled on the
    spot; the first of them travels as (anchor, document, place).
-B  rows meet by anchor. Equal ones (128 bits of hash) are settled like those of one batch: they
-   are one string with many places. An anchor that only one string has can't hold another
-   repeated window and is dropped.
-C  the others' strings are cut out of their texts and travel to their anchor's bucket. Anchors on more than HOT strings (a common line in ever new
-   surroundings) are split: each of their windows travels by its own hash, so that no bucket
-   gathers a large group.
+B  rows meet by anchor, in order. Equal ones (128 bits of hash) are settled like those of one
+   slice: they are one string with many places. An anchor that only one string has can't hold
+   another repeated window and is dropped.
+C  the others' strings are cut out of their texts and travel to their anchor's bucket. Anchors
+   on more than HOT strings (a common line in ever new surroundings) are split by the longest
+   prefix there is: each of their windows is a string of its own, with a bucket of its own.
 D  a bucket's kernel finds the windows that occur more than once (suffix array or sorting).
 E  the spans found meet their texts again.
 
-What crosses the network per occurrence of a repeated string is one row per batch of texts, so
-a group of copies that is a third of the corpus doesn't land in one task.
+What crosses the network per occurrence of a repeated string is one row per slice of texts, and
+Spark sorts what meets (spilling where it must); tasks read it in order and hold one batch and
+at most HOT strings of one anchor, however many rows an anchor has.
+
+A document is a row's doc_id and text: rows that have both in common are one row repeated and
+are treated alike; rows that share only the doc_id (or have none) are different documents,
+in order of a hash of their texts. A null doc_id counts as the smallest.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, span_hashes, text_slices, word_spans
+from .common import U64, column, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, span_hashes, text_slices, whole_runs, word_spans
 
 #: Anchors with more travelling strings than this are split into single windows.
 HOT = 256
@@ -38,8 +44,12 @@ HOT = 256
 PLACE_BITS = 24
 #: Units of one text that are looked at together.
 SEGMENT = 1 << 22
+#: Super-k-mers that are settled together before they travel.
+SETTLED = 1 << 18
 
 Kernel = Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (doc_id, text hash) of each row: the document it belongs to.
+Docs = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -103,245 +113,280 @@ def sequence_hashes(cfg: Windows, data: np.ndarray, units: np.ndarray, start: np
     return mix((total[start + length] - total[start]) * down[start] + length.astype(U64))
 
 
-def same_groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that brings equal key tuples together, and the first row of each group in it."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, np.flatnonzero(new)
+def places(docs: Docs, start: np.ndarray) -> np.ndarray:
+    """A number for each (document, start) that orders them; within one call."""
+    order = np.lexsort((start, docs[1], docs[0]))
+    new = np.zeros(len(order), bool)
+    for c in (*docs, start):
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def settle(cfg: Windows, doc: np.ndarray, start: np.ndarray, length: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal strings of one batch: which of them travels on, and which are known to be covered whole.
+def settle(keep_first: bool, place: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal strings (hash ``s``): which of them travels on, and which are known to be covered whole.
 
-    Rows of one document at one place (a repeated row of the table) count once.
+    Rows of one place (a repeated row of the table) count once.
     """
-    n = len(doc)
+    n = len(place)
     travels, hit = np.zeros(n, bool), np.zeros(n, bool)
     if not n:
         return travels, hit
-    order = np.lexsort((start, doc, *keys[::-1]))
-    new = np.ones(n, bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    again = np.zeros(n, bool)
-    again[1:] = ~new[1:] & (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1])
+    order = np.lexsort((place, s))
+    new = np.append(True, s[order][1:] != s[order][:-1])
+    head = order[new][np.cumsum(new) - 1]
+    later = place[order] != place[head]
     travels[order[new]] = True
-    if cfg.keep_first:
-        # a repeated row of the first occurrence is the first occurrence itself
-        group = np.cumsum(new) - 1
-        head = order[new][group]
-        hit[order] = ~new & ~((doc[order] == doc[head]) & (start[order] == start[head]))
-    else:
-        head = np.flatnonzero(new)
-        many = np.add.reduceat((~again).astype(np.int64), head) > 1
-        hit[order] = np.repeat(many, np.diff(np.append(head, n)))
+    hit[order[later]] = True
+    if not keep_first:
+        hit[head[later]] = True
     return travels, hit
 
 
-def merge_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_spans(docs: Docs, start: np.ndarray, end: np.ndarray) -> tuple[Docs, np.ndarray, np.ndarray]:
     """Union of spans per document as maximal runs."""
-    if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    group = np.zeros(len(doc), np.int64)
-    group[1:] = np.cumsum(doc[1:] != doc[:-1])
+    if not len(start):
+        return docs, start, end
+    order = np.lexsort((start, docs[1], docs[0]))
+    d, u, start, end = docs[0][order], docs[1][order], start[order], end[order]
+    new_doc = np.append(True, (d[1:] != d[:-1]) | (u[1:] != u[:-1]))
+    group = np.cumsum(new_doc)
     step = int(end.max()) + 1
     reach = np.maximum.accumulate(end + group * step)
-    new = np.ones(len(doc), bool)
-    new[1:] = start[1:] + group[1:] * step > reach[:-1]
-    new[1:] |= group[1:] != group[:-1]
+    new = new_doc.copy()
+    new[1:] |= start[1:] + group[1:] * step > reach[:-1]
     head = np.flatnonzero(new)
-    return doc[head], start[head], reach[np.append(head[1:], len(doc)) - 1] - group[head] * step
+    return (d[head], u[head]), start[head], reach[np.append(head[1:], len(d)) - 1] - group[head] * step
 
 
 SPAN, STRING, WINDOW = 1, 0, 2
-A_SCHEMA = "kind int, key long, s long, doc_id long, start int, units int"
-B_SCHEMA = "kind int, doc_id long, h long, start long, units int, hot boolean"
-C_SCHEMA = "kind int, key long, h long, doc_id long, start long, units int, body binary"
-SPAN_SCHEMA = "doc_id long, start long, end long"
+A_SCHEMA = "key long, s long, doc_id long, uid long, start int, units int"
+B_SCHEMA = "kind int, doc_id long, uid long, h long, start int, units int, hot boolean"
+C_SCHEMA = "kind int, key long, h long, doc_id long, uid long, start int, units int, body binary"
+SPAN_SCHEMA = "doc_id long, uid long, start int, end int"
 
 
 def _batch(schema: str, **cols) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     names = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([c if isinstance(c := cols[n], (pa.Array, pa.ChunkedArray)) else pa.array(c.view(np.int64) if c.dtype == U64 else c, type=kinds[k]) for n, k in names], names=[n for n, _ in names])
+    return pa.RecordBatch.from_arrays([c if isinstance(c := cols[n], (pa.Array, pa.ChunkedArray)) else pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int32) if k == "int" else c, type=kinds[k]) for n, k in names], names=[n for n, _ in names])
 
 
 def _full(n: int, value: int) -> np.ndarray:
     return np.full(n, value, np.int64)
 
 
+def _longs(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [column(batch, n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
 def find_anchors(cfg: Windows, docs: DataFrame) -> DataFrame:
-    """Step A."""
+    """Step A; a string that is known to be covered whole (and doesn't travel) has key and s 0 and units below 0."""
+
+    def settled(found: list) -> Iterator[pa.RecordBatch]:
+        d, u, start, length, h, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        travels, whole = settle(cfg.keep_first, places((d, u), start), s)
+        docs_, a, b = merge_spans((d[whole], u[whole]), start[whole], (start + length)[whole])
+        if len(a):
+            yield _batch(A_SCHEMA, key=mix(docs_[1].astype(U64)), s=_full(len(a), 0), doc_id=docs_[0], uid=docs_[1], start=a, units=a - b)
+        yield _batch(A_SCHEMA, key=h[travels], s=s[travels], doc_id=d[travels], uid=u[travels], start=start[travels], units=length[travels])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            found = []
+            ids, uids = _longs(batch, "doc_id", "uid")
+            found, held = [], 0
             for lo, _, data, offs in text_slices(column(batch, "text")):
                 units, first, _, _ = units_of(cfg, data, offs)
                 text, start, length, h = super_kmers(cfg, units, first)
                 if len(text):
-                    found.append((ids[lo + text], start, length, h, sequence_hashes(cfg, data, units, first[text] + start, length)))
-            if not found:
-                continue
-            doc, start, length, h, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            travels, whole = settle(cfg, doc, start, length, h, s)
-            d, a, b = merge_spans(doc[whole], start[whole], (start + length)[whole])
-            yield _batch(A_SCHEMA, kind=_full(len(d), SPAN), key=mix(d.astype(U64)), s=_full(len(d), 0), doc_id=d, start=a, units=b - a)
-            yield _batch(A_SCHEMA, kind=_full(int(travels.sum()), STRING), key=h[travels], s=s[travels], doc_id=doc[travels], start=start[travels], units=length[travels])
-
-    return docs.select("doc_id", "text").mapInArrow(run, A_SCHEMA)
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return {}
-    table = pa.Table.from_batches(parts)
-    return {n: table.column(n) if pa.types.is_binary(table.schema.field(n).type) else table.column(n).to_numpy() for n in table.column_names}
+                    found.append((ids[lo + text], uids[lo + text], start, length, h, sequence_hashes(cfg, data, units, first[text] + start, length)))
+                    held += len(text)
+                if held >= SETTLED:
+                    yield from settled(found)
+                    found, held = [], 0
+            if found:
+                yield from settled(found)
+
+    return docs.select("doc_id", "uid", "text").mapInArrow(run, A_SCHEMA)
+
+
+class _Equal:
+    """Rows in order of (key, s, document, start), batch by batch: firsts of equal strings, and what is covered."""
+
+    def __init__(self, keep_first: bool) -> None:
+        self.keep_first = keep_first
+        self.head: tuple | None = None  # key, s, doc_id, uid, start, units of the string that the last row has
+        self.told = True  # the head is covered, and that has been told
+
+    def take(self, key: np.ndarray, s: np.ndarray, doc: np.ndarray, uid: np.ndarray, start: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Rows that are the first of their string, and (doc_id, uid, start, units) of what is covered whole."""
+        rows = (key, s, doc, uid, start, units)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1])
+        if self.head is not None:
+            new[0] = (key[0], s[0]) != self.head[:2]
+        own = np.where(new, np.arange(len(key)), -1)
+        own = np.maximum.accumulate(own)  # each row's head; -1: the one from before
+        later = ~new
+        heads = [np.where(own >= 0, c[own], 0 if self.head is None else h) for c, h in zip((doc, uid, start), (0, 0, 0) if self.head is None else self.head[2:5], strict=True)]
+        later &= (doc != heads[0]) | (uid != heads[1]) | (start != heads[2])
+        covered = [c[later] for c in rows[2:]]
+        if not self.keep_first:
+            firsts = np.unique(own[later])
+            if len(firsts) and firsts[0] < 0:
+                if not self.told:
+                    covered = [np.append(c, h) for c, h in zip(covered, self.head[2:], strict=True)]
+                    self.told = True
+                firsts = firsts[1:]
+            covered = [np.append(c, r[firsts]) for c, r in zip(covered, rows[2:], strict=True)]
+        if own[-1] >= 0:
+            self.head = tuple(int(c[own[-1]]) for c in rows)
+            self.told = bool(later[own[-1] :].any())
+        return np.flatnonzero(new), tuple(covered)
 
 
 def shared_anchors(cfg: Windows, rows: DataFrame) -> DataFrame:
-    """Step B: spans pass, equal strings are settled; a string passes if a different one has its anchor."""
+    """Step B: equal strings are settled; a string passes if a different one has its anchor."""
+
+    def strings(key: np.ndarray, held: tuple, hot: np.ndarray) -> pa.RecordBatch:
+        doc, uid, start, units = held
+        return _batch(B_SCHEMA, kind=_full(len(key), STRING), doc_id=doc, uid=uid, h=key, start=start, units=units, hot=hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gather(batches)
-        if not t:
-            return
-        spans = []
-        span = t["kind"] == SPAN
-        if span.any():
-            a = t["start"][span].astype(np.int64)
-            spans.append((t["doc_id"][span], a, a + t["units"][span]))
-        key, s, doc, start, units = (t.pop(n)[~span] for n in ("key", "s", "doc_id", "start", "units"))
-        start, units = start.astype(np.int64), units.astype(np.int64)
-        travels, hit = settle(cfg, doc, start, units, key, s)
-        spans.append((doc[hit], start[hit], (start + units)[hit]))
-        d, a, b = merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        if len(d):
-            yield _batch(B_SCHEMA, kind=_full(len(d), SPAN), doc_id=d, h=_full(len(d), 0), start=a, units=b - a, hot=np.zeros(len(d), bool))
-        own = np.flatnonzero(travels)
-        order = own[np.argsort(key[own], kind="stable")]
-        k = key[order]
-        head = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(k)))
-        count = np.repeat(size, size)
-        keep = order[count > 1]
-        if len(keep):
-            hot = count[count > 1] > cfg.hot
-            by_doc = np.lexsort((start[keep], doc[keep]))
-            keep, hot = keep[by_doc], hot[by_doc]
-            yield _batch(B_SCHEMA, kind=_full(len(keep), STRING), doc_id=doc[keep], h=key[keep], start=start[keep], units=units[keep], hot=hot)
+        equal, waiting, hot_key = _Equal(cfg.keep_first), None, None  # waiting: strings of the last anchor, HOT at most
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, s, doc, uid, start, units = _longs(batch, "key", "s", "doc_id", "uid", "start", "units")
+            span = units < 0
+            spans = [(doc[span], uid[span], start[span], -units[span])]
+            if not span.all():
+                own = [c[~span] for c in (key, s, doc, uid, start, units)]
+                first, covered = equal.take(*own)
+                spans.append(covered)
+                key, *rest = (c[first] for c in (own[0], *own[2:]))
+                if waiting is not None:
+                    key, *rest = (np.append(w, c) for w, c in zip(waiting, (key, *rest), strict=True))
+                    waiting = None
+                if len(key):
+                    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    size = np.diff(np.append(head, len(key)))
+                    last, count = int(head[-1]), np.repeat(size, size)
+                    hot = (count > cfg.hot) | (False if hot_key is None else key == hot_key)
+                    ready = (count > 1) | hot
+                    if not hot[-1]:  # more strings of the last anchor may follow
+                        ready[last:] = False
+                        waiting = tuple(c[last:] for c in (key, *rest))
+                    else:
+                        hot_key = key[-1]
+                    if ready.any():
+                        yield strings(key[ready], tuple(c[ready] for c in rest), hot[ready])
+            d, u, a, n = (np.concatenate(x) for x in zip(*spans, strict=True))
+            if len(d):
+                (d, u), a, b = merge_spans((d, u), a, a + n)
+                yield _batch(B_SCHEMA, kind=_full(len(d), SPAN), doc_id=d, uid=u, h=_full(len(d), 0), start=a, units=b - a, hot=np.zeros(len(d), bool))
+        if waiting is not None and len(waiting[0]) > 1:
+            yield strings(waiting[0], waiting[1:], np.zeros(len(waiting[0]), bool))
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").mapInArrow(run, B_SCHEMA)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "s", "doc_id", "uid", "start").mapInArrow(run, B_SCHEMA)
 
 
 def cut_strings(cfg: Windows, docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Step C: the flagged super-k-mers' strings, or the windows of hot ones."""
-    wanted = flagged.where(F.col("kind") == STRING).groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "units", "hot")).alias("wanted"))
+    """Step C: the flagged super-k-mers' strings, or the windows of hot ones, and the spans known so far."""
+    wanted = flagged.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("kind", "h", "start", "units", "hot")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                yield from one(whole.slice(lo, 2048))
+            for lo in range(0, whole.num_rows, 1024):
+                yield from one(whole.slice(lo, 1024))
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = column(batch, "doc_id").to_numpy(zero_copy_only=False)
+        ids, uids = _longs(batch, "doc_id", "uid")
         lists = column(batch, "wanted")
         rows = lists.flatten()
         counts = np.diff(lists.offsets.to_numpy())
         owner = np.repeat(np.arange(batch.num_rows), counts)
-        h, start, units = (rows.field(n).to_numpy().astype(np.int64) for n in ("h", "start", "units"))
+        kind, h, start, units = (rows.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("kind", "h", "start", "units"))
         hot = rows.field("hot").to_numpy(zero_copy_only=False)
-        strings, windows = [], []
+        known = kind == SPAN
+        if known.any():
+            o, a, n = owner[known], start[known], units[known]
+            yield _batch(C_SCHEMA, kind=_full(len(o), SPAN), key=mix(uids[o].astype(U64)), h=_full(len(o), 0), doc_id=ids[o], uid=uids[o], start=a, units=n, body=pa.nulls(len(o), pa.binary()))
+        owner, h, start, units, hot = (c[~known] for c in (owner, h, start, units, hot))
         for first_row, last_row, data, offs in text_slices(column(batch, "text")):
             lo, hi = np.searchsorted(owner, [first_row, last_row])
             if lo == hi:
                 continue
             u, first, byte_a, byte_b = units_of(cfg, data, offs)
-            o, c = owner[lo:hi] - first_row, ~hot[lo:hi]
-            at = first[o] + start[lo:hi]
-            size = units[lo:hi]
-            if c.any():
-                s = sequence_hashes(cfg, data, u, at[c], size[c])
-                a, b = byte_a[at[c]], byte_b[at[c] + size[c] - 1]
+            o, cold, size = owner[lo:hi], ~hot[lo:hi], units[lo:hi]
+            at = first[o - first_row] + start[lo:hi]
+            if cold.any():
+                s = sequence_hashes(cfg, data, u, at[cold], size[cold])
+                a, b = byte_a[at[cold]], byte_b[at[cold] + size[cold] - 1]
                 raw = data.tobytes()
-                strings.append((ids[first_row + o[c]], start[lo:hi][c], size[c], h[lo:hi][c], s, np.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=object)))
-            if not c.all():
-                w = size[~c] - cfg.size + 1
-                each = ranges(at[~c], w)
-                i = np.repeat(np.flatnonzero(~c), w)
+                body = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+                yield _batch(C_SCHEMA, kind=_full(len(s), STRING), key=h[lo:hi][cold], h=s, doc_id=ids[o[cold]], uid=uids[o[cold]], start=start[lo:hi][cold], units=size[cold], body=body)
+            if not cold.all():
+                w = size[~cold] - cfg.size + 1
+                each, i = ranges(at[~cold], w), np.repeat(np.flatnonzero(~cold), w)
                 s = sequence_hashes(cfg, data, u, each, _full(len(each), cfg.size))
-                windows.append((ids[first_row + o[i]], each - first[o[i]], h[lo:hi][i], s))
-        spans = []
-        if strings:
-            doc, a, size, key, s, body = (np.concatenate(x) for x in zip(*strings, strict=True))
-            travels, covered = settle(cfg, doc, a, size, key, s)
-            spans.append((doc[covered], a[covered], (a + size)[covered]))
-            yield _batch(C_SCHEMA, kind=_full(int(travels.sum()), STRING), key=key[travels], h=s[travels], doc_id=doc[travels], start=a[travels], units=size[travels], body=pa.array(body[travels].tolist(), pa.binary()))
-        if windows:
-            doc, a, key, s = (np.concatenate(x) for x in zip(*windows, strict=True))
-            travels, covered = settle(cfg, doc, a, _full(len(a), cfg.size), key, s)
-            spans.append((doc[covered], a[covered], a[covered] + cfg.size))
-            n = int(travels.sum())
-            yield _batch(C_SCHEMA, kind=_full(n, WINDOW), key=s[travels], h=key[travels], doc_id=doc[travels], start=a[travels], units=_full(n, cfg.size), body=pa.nulls(n, pa.binary()))
-        if spans:
-            d, a, b = merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-            if len(d):
-                yield _batch(C_SCHEMA, kind=_full(len(d), SPAN), key=mix(d.astype(U64)), h=_full(len(d), 0), doc_id=d, start=a, units=b - a, body=pa.nulls(len(d), pa.binary()))
+                d, a = (ids[o[i]], uids[o[i]]), each - first[o[i] - first_row]
+                travels, covered = settle(cfg.keep_first, places(d, a), s)
+                n = int(travels.sum())
+                yield _batch(C_SCHEMA, kind=_full(n, WINDOW), key=s[travels], h=h[lo:hi][i[travels]], doc_id=d[0][travels], uid=d[1][travels], start=a[travels], units=_full(n, cfg.size), body=pa.nulls(n, pa.binary()))
+                (dd, du), a, b = merge_spans((d[0][covered], d[1][covered]), a[covered], a[covered] + cfg.size)
+                if len(a):
+                    yield _batch(C_SCHEMA, kind=_full(len(a), SPAN), key=mix(du.astype(U64)), h=_full(len(a), 0), doc_id=dd, uid=du, start=a, units=b - a, body=pa.nulls(len(a), pa.binary()))
 
-    joined = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return joined.mapInArrow(run, C_SCHEMA)
+    return docs.select("doc_id", "uid", "text").join(wanted, ["doc_id", "uid"]).mapInArrow(run, C_SCHEMA)
 
 
 def bucket_spans(cfg: Windows, rows: DataFrame, kernel: Kernel) -> DataFrame:
     """Step D: spans that the buckets' kernels find, and those already known."""
 
+    def spans(docs: Docs, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (d, u), a, b = merge_spans(docs, start, end)
+        if len(a):
+            yield _batch(SPAN_SCHEMA, doc_id=d, uid=u, start=a, end=b)
+
+    def buckets(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole anchors, each with HOT different strings at most."""
+        key, doc, uid, start = (table.column(n).to_numpy() for n in ("key", "doc_id", "uid", "start"))
+        new = np.append(True, key[1:] != key[:-1])
+        group = np.cumsum(new) - 1
+        if len(key) > 1:
+            bodies = table.column("body").to_pylist()
+            own, a, b = kernel({"doc": places((doc, uid), np.zeros(len(doc), np.int64)), "start": start.astype(np.int64), "group": group, "bodies": bodies})
+            yield from spans((doc[own], uid[own]), a, b)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _gather(batches)
-        if not t:
-            return
-        spans = []
-        for kind in (SPAN, WINDOW):
-            m = t["kind"] == kind
-            if not m.any():
-                continue
-            doc, a, size = t["doc_id"][m], t["start"][m], t["units"][m].astype(np.int64)
-            if kind == WINDOW:
-                travels, hit = settle(cfg, doc, a, size, t["key"][m], t["h"][m])
-                doc, a, size = doc[hit], a[hit], size[hit]
-            spans.append((doc, a, a + size))
-        m = np.flatnonzero(t["kind"] == STRING)
-        if len(m):
-            own = {n: t[n][m] for n in ("key", "h", "doc_id", "start")} | {"units": t["units"][m].astype(np.int64)}
-            travels, hit = settle(cfg, own["doc_id"], own["start"], own["units"], own["key"], own["h"])
-            spans.append((own["doc_id"][hit], own["start"][hit], (own["start"] + own["units"])[hit]))
-            keep = np.flatnonzero(travels)
-            order, head = same_groups(own["key"][keep])
-            count = np.diff(np.append(head, len(order)))
-            group = np.repeat(np.arange(len(head)), count)
-            many = np.repeat(count > 1, count)
-            order, group = keep[order[many]], group[many]
-            bodies = t["body"].take(pa.array(m[order])).to_pylist()
-            size = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)))
-            lo = 0
-            while lo < len(order):  # whole groups of about a megabyte at a time
-                hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 20), side="right"))
-                hi = max(hi, lo + 1)
-                hi = int(np.searchsorted(group, group[hi - 1], side="right"))
-                part = {n: own[n][order[lo:hi]] for n in own} | {"group": group[lo:hi], "bodies": bodies[lo:hi]}
-                spans.append(kernel(part))
-                lo = hi
-        d, a, b = merge_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
-        if len(d):
-            yield _batch(SPAN_SCHEMA, doc_id=d, start=a, end=b)
+        batches = iter(batches)
+        rest: list[pa.RecordBatch] = []
+
+        def strings() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                string = column(batch, "kind").to_numpy() == STRING
+                yield batch.filter(pa.array(string))
+                if not string.all():
+                    rest.append(batch.filter(pa.array(~string)))
+                    return
+
+        for table in whole_runs(strings(), ("key",), 8192):
+            yield from buckets(table)
+        equal = _Equal(cfg.keep_first)
+        for batch in itertools.chain(rest, batches):
+            known = column(batch, "kind").to_numpy() == SPAN
+            if known.any():
+                d, u, a, n = (c[known] for c in _longs(batch, "doc_id", "uid", "start", "units"))
+                yield from spans((d, u), a, a + n)
+            if not known.all():
+                _, (d, u, a, n) = equal.take(*(c[~known] for c in _longs(batch, "key", "h", "doc_id", "uid", "start", "units")))
+                yield from spans((d, u), a, a + n)
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").mapInArrow(run, SPAN_SCHEMA)
+    return rows.repartition(n, "key").sortWithinPartitions("kind", "key", "h", "doc_id", "uid", "start").mapInArrow(run, SPAN_SCHEMA)
 
 
 #: Stands for a null doc_id.
@@ -349,25 +394,22 @@ NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone; both joins of the job use these rows and share their exchange."""
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
+    """doc_id (NO_ID for null), uid (hash of the text) and text; both joins of the job use these rows and share their exchange."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64("text").alias("uid"), "text")
 
 
 def repeated_spans(cfg: Windows, docs: DataFrame, kernel: Kernel) -> DataFrame:
-    """(doc_id, start, end) in units: spans that hold all removable windows (they may overlap).
+    """(doc_id, uid, start, end) in units: spans that hold all removable windows (they may overlap). ``docs`` are rows of ``keyed``."""
+    return bucket_spans(cfg, cut_strings(cfg, docs, shared_anchors(cfg, find_anchors(cfg, docs))), kernel)
 
-    ``docs`` are rows of ``keyed``. A null doc_id counts as the smallest; rows that share a
-    doc_id are taken as one document.
-    """
-    flagged = shared_anchors(cfg, find_anchors(cfg, docs))
-    known = flagged.where(F.col("kind") == SPAN).select("doc_id", "start", (F.col("start") + F.col("units")).alias("end"))
-    return bucket_spans(cfg, cut_strings(cfg, docs, flagged), kernel).unionByName(known)
+
+def span_lists(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows of ``keyed`` with column ``spans``, null where nothing was found."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return docs.join(lists, "doc_id", "left")
+    return docs.join(span_lists(spans), ["doc_id", "uid"], "left").drop("uid")
 
 
 def unkeyed(df: DataFrame) -> DataFrame:

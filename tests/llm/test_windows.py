@@ -1,8 +1,10 @@
 from dataclasses import replace
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.llm import suffix, superkmer
+from strandlake.llm import suffix, superkmer, windows
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string"
@@ -33,6 +35,64 @@ def test_empty_tables_null_ids_and_repeated_rows(spark):
     assert [r["n_removed"] for r in superkmer.op9(twice).collect()] == [0, 0]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Different texts under one id, or under none, are different documents in order of their hash."""
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared = text(60)
+    rows = [(None, shared + " " + text(300)), (None, text(3) + " " + shared), (None, text(9)), (5, text(20) + " " + shared), (5, shared), (5, shared), (6, text(50)), (None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    order = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    named = {i: t for i, (_, _, t) in enumerate(sorted({(-1 if d is None else d, order[t], t or "") for d, t in rows}))}
+    want = {(len(t.encode()), *x[1:]) for t, x in ((named[i], v) for i, v in plain.bytes_digest(named.items()).items())}
+    got = suffix.op7(docs).collect()
+    assert len(got) == len(rows)
+    assert {tuple(r[1:]) for r in got} == want
+    want = set(plain.words_digest(named.items()).values())
+    got = superkmer.op9(docs).collect()
+    assert len(got) == len(rows)
+    assert {tuple(r[1:]) for r in got} == want
+    kept = {r["text"] for r in suffix.without_repeats(docs).collect()}
+    assert kept - {None} == {np.frombuffer(named[i].encode(), np.uint8)[~m].tobytes().decode() for i, m in plain.repeated_bytes(named.items()).items() if named[i]}
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Texts longer than a segment, settled in small groups, buckets of a few strings."""
+    rows = plain.corpus(3, 40)
+    units = {t: (t or "").encode() for _, t in rows}
+    for name, cfg in (("byte", suffix.CONFIG), ("word", superkmer.CONFIG)):
+        data = np.frombuffer(b"".join(units.values()), np.uint8)
+        offs = np.append(0, np.cumsum([len(u) for u in units.values()]))
+        u, first, _, _ = windows.units_of(cfg, data, offs)
+        whole = windows.super_kmers(cfg, u, first)
+        monkeypatch.setattr(windows, "SEGMENT", 500)
+        parts = windows.super_kmers(cfg, u, first)
+        monkeypatch.undo()
+        spread = lambda x, n=cfg.size: {(t, s + i, h) for t, s, k, h in zip(*(c.tolist() for c in x), strict=True) for i in range(k - n + 1)}
+        assert spread(whole) == spread(parts), name
+
+
+def test_equal_strings_over_batches():
+    """Reading in order, batch by batch, says the same for every cut into batches."""
+    rng = np.random.default_rng(8)
+    rows = np.stack([rng.integers(0, 4, 200), rng.integers(0, 3, 200), rng.integers(0, 5, 200), np.zeros(200, int), rng.integers(0, 4, 200), np.full(200, 9)])
+    rows = rows[:, np.lexsort(rows[[4, 3, 2, 1, 0]])]
+    for keep_first in (True, False):
+        for step in (1, 3, 7, 200):
+            equal, firsts, covered = windows._Equal(keep_first), [], set()
+            for lo in range(0, 200, step):
+                first, told = equal.take(*rows[:, lo : lo + step])
+                firsts += (first + lo).tolist()
+                covered |= set(zip(*(c.tolist() for c in told), strict=True))
+            groups = {}
+            for r in rows.T.tolist():
+                groups.setdefault((r[0], r[1]), []).append(tuple(r[2:]))
+            want = {p for g in groups.values() for p in g if p != min(g) or (not keep_first and len(set(g)) > 1)}
+            told_places = {(k, p) for k, g in groups.items() for p in g}
+            assert covered == want
+            assert len(firsts) == len(groups) and told_places
+
+
 def test_other_columns_stay(spark):
     long = " ".join(f"é{i}" for i in range(60))
     docs = spark.createDataFrame([(1, long, "a"), (2, "y" + long, "b"), (3, None, "c")], "doc_id long, text string, spans string").withColumnRenamed("spans", "key")
