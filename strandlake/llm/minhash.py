@@ -9,8 +9,12 @@ the similarity; what may reach the threshold is confirmed on the full sets.
 
 Documents with equal sets are one class from the start. In a band's bucket each class is
 first compared with the least one; buckets that still hold several components then meet once
-more as a whole, and classes of different components are compared there until one link joins
-them. Pairs are never rows of a table, so a group of near copies is shipped in proportion to its size.
+more: what lies outside a bucket's largest component is compared with all of it, in tiles, until one
+link joins two components. Pairs are never rows of a table, so a group of near copies is
+shipped in proportion to its size.
+
+A row's identity is a hash of doc_id and text, so rows that share a doc_id (or have none) are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -19,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, column, cut, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, span_hashes, text_slices, word_spans
-from .components import components
-from .windows import NO_ID
+from .components import components, pieces, tiled_apart
 
 SHINGLE = 4
 REGISTERS = 160
@@ -92,7 +95,7 @@ def likely_similarity(greater: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_
     return grid[np.arange(len(u)), score.argmax(axis=1)]
 
 
-SKETCH_SCHEMA = "id long, n_shingles long, s1 long, s2 long, sketch binary"
+SKETCH_SCHEMA = "id long, doc_id long, n_shingles long, s1 long, s2 long, sketch binary"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -110,9 +113,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 n_all.append(n)
                 sig += [registers(h[offs[i] : offs[i + 1]]).tobytes() if n[i] else None for i in range(hi - lo)]
             if n_all:
-                yield pa.RecordBatch.from_arrays([column(batch, "id"), *(pa.array(np.concatenate(x), pa.int64()) for x in (n_all, s1, s2)), pa.array(sig, pa.binary())], names=["id", "n_shingles", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "doc_id"), *(pa.array(np.concatenate(x), pa.int64()) for x in (n_all, s1, s2)), pa.array(sig, pa.binary())], names=["id", "doc_id", "n_shingles", "s1", "s2", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select("id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
@@ -169,28 +172,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-#: Members of a bucket that are compared with each other in one piece.
-TILE = 2048
+#: Members of a bucket, and shingles in their sets, that one tile has; two tiles are compared with each other at a time.
+TILE = 1024
+TILE_SHINGLES = 1 << 21
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """Add ``piece`` to members of buckets (key, ...): a bucket is one piece, or one for each pair of its tiles."""
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = rows.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return each.withColumn("piece", F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")))
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    piece = table.column("piece").to_numpy()
-    order = np.argsort(piece, kind="stable")
-    head = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1]))
-    for lo, hi in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
-        yield table.take(pa.array(order[lo:hi]))
+    return tiled_apart(rows.withColumn("weight", F.col("n_shingles")), F.ceil(F.greatest(F.col("n") / TILE, F.col("m") / TILE_SHINGLES)).cast("int"))
 
 
 def _likely_across(piece: pa.Table, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -236,7 +224,7 @@ def links_across(rest: DataFrame, docs: DataFrame, size: int, per_cent: int) ->
     n = shuffle_partitions(rest.sparkSession)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             hit = np.zeros(piece.num_rows, bool)
             for i, j in _likely_across(piece, floor):
                 hit[i] = hit[j] = True
@@ -245,12 +233,12 @@ def links_across(rest: DataFrame, docs: DataFrame, size: int, per_cent: int) ->
                 yield pa.RecordBatch.from_arrays([piece.column(c).combine_chunks().filter(mask) for c in ("key", "id")], names=["key", "id"])
 
     fields = ["piece", "key", "band", "id", "component", "tile", "other", "n_shingles", "sketch"]
-    flagged = cut(_tiled(rest).select(*fields).repartition(n, "piece").mapInArrow(likely, "key long, id long").distinct())
+    flagged = cut(_tiled(rest).select(*fields).repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(likely, "key long, id long").distinct())
     have = set_rows(docs, flagged.select("id").distinct(), size)
     full = _tiled(rest.join(flagged, ["key", "id"], "left_semi")).join(have, "id").select(*fields, "members")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _pieces(batches):
+        for piece in pieces(batches):
             up: dict[int, int] = {}
 
             def root(c: int, up: dict[int, int] = up) -> int:
@@ -272,19 +260,20 @@ def links_across(rest: DataFrame, docs: DataFrame, size: int, per_cent: int) ->
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return full.repartition(n, "piece").mapInArrow(link, "a long, b long")
+    return full.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, per_cent: int = 80) -> DataFrame:
-    """(id, n_shingles, component) of each row of ``docs`` (id long, text).
+    """(id, doc_id, n_shingles, lead): each row of ``keyed`` with the least (doc_id, id) that links reach, itself included.
 
     Documents are linked if 100 * |A & B| >= per_cent * |A | B|. Documents without words or
-    text have n_shingles 0 and are linked with nothing. Rows that share an id count as linked.
-    An empty table gives no rows.
+    text have n_shingles 0 and are linked with nothing; a null doc_id is the least; whole texts
+    count, however long; rows repeated in full share a line; an empty table gives no rows.
     """
     rows = cut(sketches(docs, size))
     full = rows.where("n_shingles > 0")
-    classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")))
+    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "id")).alias("first"), F.any_value("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("id", F.col("first.id")))
     width = REGISTERS // BANDS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))).alias("key"), b.alias("band")))
     banded = classes.select(F.inline(keys), "id")
@@ -300,23 +289,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, per_cent: int = 80) ->
     more = cut(links_across(rest, docs, size, per_cent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    of_class = classes.select("s1", "s2", "n_shingles", F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("class")
-    placed = rows.select("id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
-    return placed.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    of_class = classes.select("s1", "s2", "n_shingles", "first", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
+    leads = of_class.groupBy("component").agg(F.min("first").alias("lead"))
+    of_class = of_class.drop("first").join(leads, "component")
+    placed = rows.select("id", "doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
+    return placed.select("id", "doc_id", "n_shingles", F.coalesce("lead", F.struct("doc_id", "id")).alias("lead"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), "text")
+    """id (of doc_id and text), doc_id and text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", "text")
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """The contract's digest; a null doc_id counts as the smallest."""
+    """The contract's digest. Other columns are not read; of the rest see ``near_duplicates``."""
     out = near_duplicates(keyed(docs))
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(shown("id").alias("doc_id"), "n_shingles", shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    first = F.col("lead.doc_id")
+    return out.select("doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
-    """``docs`` without the rows that have a near duplicate of smaller doc_id (by reachability)."""
-    gone = near_duplicates(keyed(docs), size, per_cent).where("id <> component").select(F.col("id").alias("__id"))
-    return docs.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id"), "left_anti")
+    """One row of ``docs`` for each group of near duplicates (by reachability), that of the least doc_id.
+
+    Of rows that are alike in doc_id and text one stays; rows that share only the doc_id, or have
+    none, are compared like any others. Null and empty texts have no near duplicates. Columns, whatever their
+    names, stay as they are.
+    """
+    gone = near_duplicates(keyed(docs), size, per_cent).where("id <> lead.id").select(F.col("id").alias("__id")).distinct()
+    left = docs.withColumn("__id", F.xxhash64("doc_id", "text")).join(gone, "__id", "left_anti")
+    return left.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("__id"))).where("__n = 1").drop("__id", "__n")

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandlake.llm import minhash
 from strandlake.llm.components import components
@@ -31,10 +32,8 @@ def test_buckets_as_wholes(spark):
         for _ in range(int(rng.integers(0, 6))):
             w[int(rng.integers(100))] = f"x{rng.integers(10**6)}"
         rows.append((i, " ".join(w)))
-    docs = minhash.keyed(spark.createDataFrame(rows, SCHEMA))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.col("doc_id"))
     sk = minhash.sketches(docs, 4)
-    from pyspark.sql import functions as F
-
     width = minhash.REGISTERS // minhash.BANDS
     keys = F.transform(F.sequence(F.lit(0), F.lit(minhash.BANDS - 1)), lambda b: F.struct(F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))).alias("key"), b.alias("band")))
     rest = sk.select(F.inline(keys), "id", F.col("id").alias("component"), "sketch", "n_shingles")
@@ -43,6 +42,30 @@ def test_buckets_as_wholes(spark):
     assert {d: comp.get(d, d) for d, _ in rows} == {d: c for d, (_, c, _) in want.items()}
 
 
+def test_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 3)
+    test_buckets_as_wholes(spark)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "TILE", 1024)
+    test_buckets_as_wholes(spark)
+
+
+def test_one_of_each(spark):
+    """Repeated and null ids, repeated rows, clashing columns, a long text."""
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    a, b, long = text(80), text(80), text(40_000)
+    rows = [(None, a, 1), (None, a + " x", 2), (7, a, 3), (7, b, 4), (7, b, 4), (9, b + " y", 5), (10, None, 6), (11, "", 7), (12, long, 8), (13, long + " z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long").withColumn("lead", F.lit("clash")).withColumn("component", F.lit("clash"))
+    out = minhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(r["id"] for r in out.collect())
+    assert got in ([1, 4, 6, 7, 8], [2, 4, 6, 7, 8])
+    assert minhash.one_of_each(docs.limit(0)).collect() == []
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.op3(docs).collect()}
+    assert {(None, 77, None, True), (None, 78, None, True), (7, 77, None, False), (7, 77, 7, True), (9, 78, 7, False), (12, 39_997, 12, True), (13, 39_998, 12, False)} <= got
+
+
 def test_edges_of_the_table(spark):
     assert minhash.op3(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, "A b\tC d e"), (5, "a b"), (6, "a b c"), (6, "a b c")]
