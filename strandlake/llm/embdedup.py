@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, mix, shuffle_partitions
-from .components import components
+from .common import U64, column, cut, mix, shuffle_partitions, whole_runs
+from .components import components, pieces, tiled_apart
 from .vectors import matrix, unit, usable_rows
 
 LIST = 10
@@ -37,7 +37,9 @@ MISS = 1e-4
 FLOOR = 0.8
 #: Rounds in which lists are enlarged; more follow while links join components.
 ROUNDS = 4
+#: Rows that are compared with each other in one piece, and in a tile of the exact counts.
 TILE = 1024
+COUNT_TILE = 4096
 SEED = 31
 
 EDGE_SCHEMA = "a long, b long, score double"
@@ -81,31 +83,25 @@ def best_of(ids: np.ndarray, x: np.ndarray, keep: int, floor: float, threshold:
     return ids[i], ids[j], s[i, j]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keep: int, floor: float, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Best pairs within each key of a partition of (key, id, embedding)."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    key, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
-    x = unit(matrix(table.column("embedding")))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    out = []
-    for lo, hi in zip(head.tolist(), np.append(head[1:], len(key)).tolist(), strict=True):
-        step = TILE // 2
-        if hi - lo > TILE:  # overlapping stretches along the group's own random line, near vectors lie together
-            line = np.random.default_rng([SEED + 1, int(key[lo]) & 0xFFFFFFFFFFFFFFFF]).normal(size=x.shape[1])
-            order[lo:hi] = order[lo:hi][np.argsort(x[order[lo:hi]] @ line)]
-        for a in range(lo, max(hi - step, lo + 1), step):
-            some = order[a : min(hi, a + TILE)]
-            if len(some) > 1:
-                out.append(best_of(ids[some], x[some], keep, floor, threshold))
-    if out:
-        a, b, s = (np.concatenate(v) for v in zip(*out, strict=True))
-        m = a != b
-        yield _edges(a[m], b[m], s[m])
+def grouped(rows: DataFrame, keep: int, threshold: float) -> DataFrame:
+    """Best pairs above FLOOR within each key of (key, id, embedding); keys of over TILE rows are split by a hash of the id."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select(F.col("key").alias("__k"), F.ceil(F.col("n") / TILE).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))
+    split = rows.join(sizes, F.col("key") == F.col("__k"), "left").select(F.xxhash64("key", part).alias("piece"), "id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, ("piece",), 4096):
+            piece, ids = table.column("piece").to_numpy(), table.column("id").to_numpy()
+            x = unit(matrix(table.column("embedding")))
+            head = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+            out = [best_of(ids[lo:hi], x[lo:hi], keep, FLOOR, threshold) for lo, hi in zip(head.tolist(), np.append(head[1:], len(piece)).tolist(), strict=True) if hi - lo > 1]
+            if out:
+                a, b, s = (np.concatenate(v) for v in zip(*out, strict=True))
+                m = a != b
+                yield _edges(a[m], b[m], s[m])
+
+    n = shuffle_partitions(rows.sparkSession)
+    return split.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(run, EDGE_SCHEMA)
 
 
 def merged(edges: DataFrame) -> DataFrame:
@@ -141,8 +137,7 @@ def coded(nodes: DataFrame, total: int, threshold: float, vectors: bool) -> Data
 
 
 def seed_edges(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
-    n = shuffle_partitions(nodes.sparkSession)
-    return coded(nodes, total, threshold, True).repartition(n, "key").mapInArrow(lambda it: grouped(it, LIST, FLOOR, threshold), EDGE_SCHEMA)
+    return grouped(coded(nodes, total, threshold, True), LIST, threshold)
 
 
 def large_buckets(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
@@ -159,41 +154,28 @@ def across(edges: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
 
 
 def bucket_links(large: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links that join components of ``found`` within buckets (key, id), exactly.
-
-    Members lie in tiles in order of their components; two tiles meet unless both are of one and the same component.
-    """
+    """Links that join components of ``found`` within buckets (key, id), exactly: what lies outside a bucket's
+    largest component meets all of it, in tiles."""
     named = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     split = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split")
-    place = Window.partitionBy("key").orderBy("component", "id")
-    rest = cut(named.join(split, "key", "left_semi").withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int")))
-    tiles = rest.groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    others = tiles.select("key", F.col("tile").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
-    meet = tiles.join(others, "key").where((F.col("tile") <= F.col("other")) & (F.least("lo", "other_lo") < F.greatest("hi", "other_hi")))
-    pieces = meet.select("key", F.xxhash64("key", "tile", "other").alias("piece"), F.explode(F.array_distinct(F.array("tile", "other"))).alias("tile"), (F.col("tile") == F.col("other")).alias("same"))
-    rows = rest.join(pieces, ["key", "tile"]).join(nodes.select("id", "embedding"), "id").select("piece", "tile", "same", "id", "component", "embedding")
+    rest = cut(named.join(split.select("key"), "key", "left_semi").withColumn("weight", F.lit(1)))
+    placed = tiled_apart(rest, F.ceil(F.col("n") / TILE).cast("int")).select("piece", "tile", "other", "id", "component")
+    rows = placed.join(nodes.select("id", "embedding"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        piece, tile, same, ids, comp = (t.column(c).to_numpy() for c in ("piece", "tile", "same", "id", "component"))
-        x = unit(matrix(t.column("embedding")))
-        order = np.argsort(piece, kind="stable")
-        head = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1]))
-        for lo, hi in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
-            some = order[lo:hi]
-            s = x[some] @ x[some].T
-            linked = (s >= threshold) & (comp[some][:, None] != comp[some][None, :])
-            if not same[some[0]]:  # each tile meets itself elsewhere
-                linked &= tile[some][:, None] != tile[some][None, :]
+        for t in pieces(batches):
+            tile, other, ids, comp = (t.column(c).to_numpy() for c in ("tile", "other", "id", "component"))
+            x = unit(matrix(t.column("embedding")))
+            s = x @ x.T
+            linked = (s >= threshold) & (comp[:, None] != comp[None, :])
+            if tile.min() != tile.max():  # each tile meets itself elsewhere
+                linked &= tile[:, None] != tile[None, :]
             i, j = forest(linked)
             if len(i):
-                yield _edges(ids[some[i]], ids[some[j]], s[i, j])
+                yield _edges(ids[i], ids[j], s[i, j])
 
     n = shuffle_partitions(nodes.sparkSession)
-    return rows.repartition(n, "piece").mapInArrow(run, EDGE_SCHEMA)
+    return rows.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(run, EDGE_SCHEMA)
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -216,47 +198,38 @@ def descend(edges: DataFrame, nodes: DataFrame, threshold: float, size: int) ->
     near = lists(edges, threshold, size)
     at = near.select(F.col("a").alias("key"), F.col("b").alias("id")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("id"))).distinct()
     rows = at.join(nodes.select("id", "embedding"), "id").select("key", "id", "embedding")
-    n = shuffle_partitions(nodes.sparkSession)
-    return rows.repartition(n, "key").mapInArrow(lambda it: grouped(it, size, FLOOR, threshold), EDGE_SCHEMA)
+    return grouped(rows, size, threshold)
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(id, links) of members (component, id, n, embedding): exact, by tiles within components."""
-    place = Window.partitionBy("component").orderBy("id")
-    size = members.groupBy("component").agg(F.count("*").alias("size"))
-    tiled = members.withColumn("tile", F.floor((F.row_number().over(place) - 1) / TILE).cast("int")).join(size, "component").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
+    """(id, links) of members (component, id, n, embedding): exact, by pairs of tiles within components."""
+    size = members.groupBy("component").agg(F.ceil(F.count("*") / COUNT_TILE).cast("int").alias("tiles"))
+    tiled = members.join(size, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     placed = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keyed = placed.select(F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "component", "tile", "other", "id", "n", "embedding")
+    keyed = placed.select(F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other")).alias("piece"), "tile", "other", "id", "n", "embedding")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        comp, tile, other, ids, n = (t.column(c).to_numpy() for c in ("component", "tile", "other", "id", "n"))
-        x = unit(matrix(t.column("embedding")))
-        lo, hi = np.minimum(tile, other), np.maximum(tile, other)
-        order = np.lexsort((tile, hi, lo, comp))
-        new = np.ones(len(order), bool)
-        for c in (comp, lo, hi):
-            new[1:] &= c[order][1:] == c[order][:-1]
-        new[1:] = ~new[1:]
-        new[0] = True
-        head = np.flatnonzero(new)
-        for a, b in zip(head.tolist(), np.append(head[1:], len(order)).tolist(), strict=True):
-            rows = order[a:b]
-            left = rows[tile[rows] == lo[rows[0]]]
-            right = rows[tile[rows] == hi[rows[0]]]
-            linked = (x[left] @ x[right].T) >= threshold
-            same = lo[rows[0]] == hi[rows[0]]
+    def counts(ids: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(ids), 512):
+            linked = (x[lo : lo + 512] @ y.T) >= threshold
             if same:
-                np.fill_diagonal(linked, False)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(linked @ n[right], pa.int64())], names=["id", "links"])
-            if not same:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[right]), pa.array(linked.T @ n[left], pa.int64())], names=["id", "links"])
+                linked[np.arange(len(linked)), lo + np.arange(len(linked))] = False
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 512]), pa.array(linked @ n, pa.int64())], names=["id", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in pieces(batches):
+            tile, ids, n = (t.column(c).to_numpy() for c in ("tile", "id", "n"))
+            x = unit(matrix(t.column("embedding")))
+            first = tile == tile.min()
+            if first.all():
+                other = int(t.column("other")[0].as_py())
+                if other == tile[0]:
+                    yield from counts(ids, x, x, n, True)
+                continue
+            yield from counts(ids[first], x[first], x[~first], n[~first], False)
+            yield from counts(ids[~first], x[~first], x[first], n[first], False)
 
     parts = shuffle_partitions(members.sparkSession)
-    return keyed.repartition(parts, "key").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return keyed.repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -264,7 +237,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite
     components link with nothing; nor do rows without vec_id. Equal vectors under several ids
-    are links of each other; repeated rows count once as partners. An empty table gives no rows.
+    are links of each other; repeated rows count once as partners. Where a vec_id has several
+    vectors they are one node, and each of its rows gets the least component and count. Other columns are
+    not read, whatever their names; an empty table gives no rows.
     """
     rows = usable_rows(table)
     nodes = cut(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("n"), F.any_value("embedding").alias("embedding")))
@@ -298,7 +273,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
     of_node = nodes.select("h1", "h2", "id", "n").join(found, "id", "left").join(counts, "id", "left")
     of_node = of_node.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     placed = rows.select("vec_id", "h1", "h2").join(of_node, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    named = table.select("vec_id").join(placed.dropDuplicates(["vec_id"]), "vec_id", "left")
+    named = table.select("vec_id").join(placed.groupBy("vec_id").agg(F.min(F.struct("component_id", "n_links")).alias("x")).select("vec_id", "x.*"), "vec_id", "left")
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
 
 
