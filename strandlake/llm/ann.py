@@ -1,20 +1,26 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables cuts FUNCTIONS Gaussian projections of the unit vector into cells of
-WIDTH. A query visits the PROBES cells of each table in which a neighbour of cosine TARGET is
+Each of TABLES tables cuts a number of Gaussian projections of the unit vector into cells of
+WIDTH. A query visits the cells of each table in which a neighbour at the usual distance is
 likeliest, given where the query lies in its own cell. All candidates met are scored by their
 exact cosine on the original vectors.
 
-Index rows and probes meet in groups of a table and the leading cells of a code; groups with many rows are
-split and their probes repeated, so no task holds more than GROUP_ROWS index rows. Equal vectors
-are one index row with their few smallest ids.
+How many projections and probes a table gets, and what the usual distance is, is fitted: some
+queries (SAMPLE_QUERIES) are searched exactly, and of the settings in a small grid the one with
+the fewest candidates is taken that meets RECALL of their neighbours. So codes grow longer where there are
+more vectors or nearer neighbours; random directions, whose neighbours lie almost as far off as
+anything else, need most of the table at any setting.
+
+Index rows and probes meet in groups of a table and the leading cells of a code; groups are
+split on both sides, so no task holds more than GROUP_ROWS index rows and GROUP_QUERIES
+queries. Equal vectors are one index row with their few smallest ids.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,59 +31,131 @@ from .common import column, cut
 from .vectors import cosines, matrix, unit, usable_rows
 
 TABLES = 6
-FUNCTIONS = 8
 WIDTH = 2.0
-PROBES = 60
-TARGET = 0.45
+#: Settings that are tried: projections, and probes in each table.
+GRID = [(f, p) for f in (6, 8, 10, 12, 14, 16) for p in (30, 60, 120, 240, 480)]
+#: Share of the sample's true neighbours that a setting must meet.
+RECALL = 0.97
+#: Queries searched exactly to choose a setting, and index rows (or components of them) that its candidates are counted on, at most.
+SAMPLE_QUERIES = 64
+SAMPLE_ROWS = 20_000
+SAMPLE_COMPONENTS = 1 << 22
+#: What a probe costs, in candidates.
+PROBE_COST = 8
 #: Cells of one projection are numbered -REACH..REACH, the outer ones being open.
 REACH = 3
 GROUP_ROWS = 20_000
+GROUP_QUERIES = 4096
 #: Queries scored against everything at once where an exact pass is needed.
 BLOCK = 2048
 SEED = 29
 
 _CELLS = 2 * REACH + 1
-_normal = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
+_normal = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), otypes=[float])
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Projections of a table, probes in it, and the cosine that neighbours usually have."""
+
+    functions: int = 8
+    probes: int = 60
+    target: float = 0.45
 
 
-def family(dims: int) -> tuple[np.ndarray, np.ndarray]:
+def family(dims: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.normal(size=(TABLES, FUNCTIONS, dims)), rng.uniform(0, WIDTH, (TABLES, FUNCTIONS))
+    return rng.normal(size=(TABLES, functions, dims)), rng.uniform(0, WIDTH, (TABLES, functions))
 
 
-def codes(x: np.ndarray) -> np.ndarray:
+def codes(x: np.ndarray, functions: int) -> np.ndarray:
     """Cell of each unit vector in each table: [tables, rows, functions]."""
-    a, b = family(x.shape[1])
+    a, b = family(x.shape[1], functions)
     return np.stack([np.clip(np.floor((x @ a[t].T + b[t]) / WIDTH), -REACH, REACH).astype(np.int64) + REACH for t in range(TABLES)])
 
 
 def packed(cells: np.ndarray) -> np.ndarray:
-    return cells @ (_CELLS ** np.arange(cells.shape[-1]))
+    return cells @ (_CELLS ** np.arange(cells.shape[-1], dtype=np.int64))
 
 
-_COMBOS = np.array(list(itertools.product(range(3), repeat=FUNCTIONS)))
+def probes(x: np.ndarray, setting: Setting) -> np.ndarray:
+    """Packed cells to visit for each unit vector, likeliest first: [tables, rows, probes].
 
-
-def probes(x: np.ndarray, n_probes: int) -> np.ndarray:
-    """Cells to visit for each unit vector, likeliest first: [tables, rows, probes, functions]."""
-    a, b = family(x.shape[1])
-    spread = math.sqrt(1 - TARGET * TARGET)
-    out = np.zeros((TABLES, len(x), n_probes, FUNCTIONS), np.int64)
-    at = np.arange(FUNCTIONS)[None, :]
+    Of each projection the three likeliest cells are combined, one projection after the other; the best ``probes``
+    combinations of the first ones are all that the best of more can be made of.
+    """
+    a, b = family(x.shape[1], setting.functions)
+    spread = math.sqrt(max(1 - setting.target**2, 1e-4))
+    out = []
+    rows = np.arange(len(x))[:, None]
     for t in range(TABLES):
         here = x @ a[t].T
         edges = np.arange(-REACH, REACH + 2)[None, None, :] * WIDTH - b[t][None, :, None]
-        edges = np.broadcast_to(edges, (len(x), FUNCTIONS, _CELLS + 1)).copy()
+        edges = np.broadcast_to(edges, (len(x), setting.functions, _CELLS + 1)).copy()
         edges[..., 0], edges[..., -1] = -1e9, 1e9
-        p = np.diff(_normal((edges - TARGET * here[:, :, None]) / spread), axis=2)
-        best = np.argsort(-p, axis=2)[:, :, :3]
+        p = np.diff(_normal((edges - setting.target * here[:, :, None]) / spread), axis=2)
+        best = np.argsort(-p, axis=2, kind="stable")[:, :, :3]
         log = np.log(np.take_along_axis(p, best, axis=2) + 1e-300)
-        for i in range(len(x)):
-            success = log[i][at, _COMBOS].sum(axis=1)
-            top = np.argpartition(-success, n_probes - 1)[:n_probes]
-            top = top[np.argsort(-success[top], kind="stable")]
-            out[t, i] = best[i][at, _COMBOS[top]]
-    return out
+        score, cell = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+        for f in range(setting.functions):
+            score = (score[:, :, None] + log[:, f, None, :]).reshape(len(x), -1)
+            cell = (cell[:, :, None] + best[:, f, None, :] * _CELLS**f).reshape(len(x), -1)
+            if score.shape[1] > setting.probes:
+                top = np.argpartition(-score, setting.probes - 1, axis=1)[:, : setting.probes]
+                score, cell = score[rows, top], cell[rows, top]
+        order = np.argsort(-score, axis=1, kind="stable")
+        got = cell[rows, order]
+        if got.shape[1] < setting.probes:  # fewer combinations than probes
+            got = np.concatenate([got, np.full((len(x), setting.probes - got.shape[1]), -1)], axis=1)
+        out.append(got)
+    return np.stack(out)
+
+
+def met(q: np.ndarray, x: np.ndarray, owner: np.ndarray | None, functions: int, target: float, counts: list[int]) -> list[float]:
+    """For each number of probes the share of rows ``x`` that queries ``q`` meet: of their own rows (``owner``), or of all."""
+    visited, index = probes(q, Setting(functions, max(counts), target)), codes(x, functions)
+    keys = np.stack([packed(index[t]) for t in range(TABLES)])
+    shares = []
+    for n in counts:
+        hits = 0
+        for i in range(len(q)):
+            some = slice(None) if owner is None else np.flatnonzero(owner == i)
+            hit = np.zeros(len(x[some]), bool)
+            for t in range(TABLES):
+                hit |= np.isin(keys[t][some], visited[t, i, :n])
+            hits += int(hit.sum())
+        shares.append(hits / max(1, len(x) * (len(q) if owner is None else 1)))
+    return shares
+
+
+def fitted(queries: DataFrame, classes: DataFrame, k: int, total: int) -> Setting:
+    """The cheapest setting of GRID that meets RECALL of a sample's true neighbours; where none does, the one that meets most."""
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()
+    if not some:
+        return Setting()
+    truth = ranked(exact_candidates(some, classes, k), k).select("query_id", "vec_id", "score")
+    # vectors of SAMPLE_QUERIES * k neighbours
+    near = classes.select(F.explode("ids").alias("vec_id"), "embedding").join(F.broadcast(truth), "vec_id").select("query_id", "score", "embedding").collect()
+    if not near:
+        return Setting()
+    q = unit(np.array([r["embedding"] for r in some], np.float64))
+    at = {r["vec_id"]: i for i, r in enumerate(some)}
+    y = unit(np.array([r["embedding"] for r in near], np.float64))
+    owner = np.array([at[r["query_id"]] for r in near])
+    target = float(np.clip(np.median([r["score"] for r in near]), 0.05, 0.95))
+    rows = max(256, min(SAMPLE_ROWS, SAMPLE_COMPONENTS // q.shape[1]))
+    share = F.pmod(F.xxhash64(F.lit(SEED), F.col("ids")[0]), F.lit(1_000_000)) < math.ceil(1e6 * rows / total)
+    sample = classes.where(share).limit(2 * rows).select("embedding").toArrow().column("embedding")
+    x = unit(matrix(sample)) if len(sample) else y
+    by_functions: dict[int, list[int]] = {}
+    for f, p in GRID:
+        by_functions.setdefault(f, []).append(p)
+    found = []
+    for f, counts in by_functions.items():
+        for p, recall_, cost in zip(counts, met(q, y, owner, f, target, counts), met(q[:16], x, None, f, target, counts), strict=True):
+            found.append((recall_ < RECALL, -recall_ if recall_ < RECALL else cost * total + PROBE_COST * TABLES * p, f, p))
+    _, _, f, p = min(found)
+    return Setting(f, p, target)
 
 
 def vector_classes(rows: DataFrame, k: int) -> DataFrame:
@@ -87,17 +165,33 @@ def vector_classes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.any_value("embedding").alias("embedding")).drop("h1", "h2")
 
 
+#: Scores by matrix products differ from the exact ones by less than this.
+NEAR = 1e-9
+#: Decimals of a score; vectors that point the same way tie whatever their lengths.
+DECIMALS = 12
+
+
 def best_rows(query: np.ndarray, q: np.ndarray, ids: list, x: np.ndarray, at_q: np.ndarray, at_x: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest (query, id, exact cosine) of each query among candidate pairs."""
+    """The k nearest (query, id, cosine to DECIMALS) of each query among candidate pairs, ties by id.
+
+    All candidates that the product's error leaves among the nearest get their exact score; of
+    index rows that score alike those with the smallest ids are enough.
+    """
     order = np.lexsort((-score, at_q))
-    aq = at_q[order]
-    rank = np.arange(len(aq)) - np.searchsorted(aq, aq, side="left")
-    keep = order[rank < k + 2]
-    exact = cosines(q[at_q[keep]], x[at_x[keep]])
+    at_q, at_x, score = at_q[order], at_x[order], score[order]
+    first = np.searchsorted(at_q, at_q, side="left")
+    last = np.searchsorted(at_q, at_q, side="right")
+    floor = score[np.minimum(first + k, last - 1)] - NEAR  # one more than k: a query's own row may be among them
+    keep = score >= floor
+    at_q, at_x = at_q[keep], at_x[keep]
+    exact = np.concatenate([np.zeros(0), *(cosines(q[at_q[lo : lo + 65536]], x[at_x[lo : lo + 65536]]) for lo in range(0, len(at_q), 65536))]).round(DECIMALS)
+    least = np.fromiter((ids[j][0] for j in at_x), np.int64, len(at_x))
+    order = np.lexsort((least, -exact, at_q))
+    rank = np.arange(len(order)) - np.searchsorted(at_q[order], at_q[order], side="left")
     found: dict[int, list] = {}
-    for i, j, s in zip(at_q[keep].tolist(), at_x[keep].tolist(), exact.tolist(), strict=True):
-        own = int(query[i])
-        found.setdefault(i, []).extend((-s, v, own) for v in ids[j] if v != own)
+    for r in order[rank <= k].tolist():
+        own = int(query[at_q[r]])
+        found.setdefault(int(at_q[r]), []).extend((-float(exact[r]), v, own) for v in ids[at_x[r]] if v != own)
     return [(own, v, -s) for rows in found.values() for s, v, own in sorted(set(rows))[:k]]
 
 
@@ -109,17 +203,16 @@ def _pairs(rows: list[tuple[int, int, float]]) -> pa.Table:
     return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
-def hashed_candidates(queries: DataFrame, classes: DataFrame, k: int, n_probes: int = PROBES) -> DataFrame:
+def hashed_candidates(queries: DataFrame, classes: DataFrame, k: int, setting: Setting, total: int) -> DataFrame:
     """Best candidates of each query in each group that it probes."""
-    total = classes.count()
-    lead = min(FUNCTIONS, max(1, math.ceil(math.log(max(total, 1) / GROUP_ROWS + 1, 2.5))))
+    lead = min(setting.functions, max(1, math.ceil(math.log(max(total, 1) / GROUP_ROWS + 1, 2.5))))
     groups = _CELLS**lead
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = codes(unit(matrix(column(batch, "embedding"))))
+            c = codes(unit(matrix(column(batch, "embedding"))), setting.functions)
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([pa.array(packed(c[t][:, :lead]) + t * groups), pa.array(packed(c[t])), column(batch, "ids"), column(batch, "embedding")], names=["g", "key", "ids", "embedding"])
 
@@ -127,23 +220,26 @@ def hashed_candidates(queries: DataFrame, classes: DataFrame, k: int, n_probes:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                cells = probes(unit(matrix(column(batch, "embedding"))), n_probes)
+                cells = probes(unit(matrix(column(batch, "embedding"))), setting)
                 g, row, keys = [], [], []
                 for t in range(TABLES):
-                    first, full = packed(cells[t][..., :lead]) + t * groups, packed(cells[t])
                     for i in range(batch.num_rows):
-                        for one in np.unique(first[i]):
+                        full = cells[t, i][cells[t, i] >= 0]
+                        first = full % groups + t * groups
+                        for one in np.unique(first):
                             g.append(int(one))
                             row.append(i)
-                            keys.append(full[i][first[i] == one].astype("<i8").tobytes())
+                            keys.append(full[first == one].astype("<i8").tobytes())
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), column(batch, "vec_id").take(take), column(batch, "embedding").take(take), pa.array(keys, pa.binary())], names=["g", "query_id", "embedding", "keys"])
 
     indexed = classes.mapInArrow(index, "g long, key long, ids array<long>, embedding array<double>")
     visits = queries.select("vec_id", "embedding").mapInArrow(visit, "g long, query_id long, embedding array<double>, keys binary")
-    parts = indexed.groupBy("g").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("parts"))
-    left = indexed.join(parts, "g").withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")).drop("parts")
-    right = visits.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    size = lambda rows, most, name: rows.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = size(indexed, GROUP_ROWS, "parts").join(size(visits, GROUP_QUERIES, "blocks"), "g")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = indexed.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")).withColumn("block", each("blocks")).drop("parts", "blocks")
+    right = visits.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("part", each("parts")).drop("parts", "blocks")
 
     def meet(rows: pa.Table, probing: pa.Table) -> pa.Table:
         if not rows.num_rows or not probing.num_rows:
@@ -177,7 +273,7 @@ def hashed_candidates(queries: DataFrame, classes: DataFrame, k: int, n_probes:
             out += best_rows(query, q, ids, x, np.concatenate(qs), np.concatenate(xs), np.concatenate(ss), k)
         return _pairs(out)
 
-    return left.groupBy("g", "part").cogroup(right.groupBy("g", "part")).applyInArrow(meet, PAIR_SCHEMA)
+    return left.groupBy("g", "part", "block").cogroup(right.groupBy("g", "part", "block")).applyInArrow(meet, PAIR_SCHEMA)
 
 
 def exact_candidates(queries: list, classes: DataFrame, k: int) -> DataFrame:
@@ -203,17 +299,20 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(table: DataFrame, k: int = 5, every: int = 50, n_probes: int = PROBES) -> DataFrame:
+def nearest(table: DataFrame, k: int = 5, every: int = 50, setting: Setting | None = None) -> DataFrame:
     """The k nearest found of each vector whose vec_id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; rows
-    without vec_id neither. Ties go to the smaller vec_id; equal rows count once; an empty
+    without vec_id neither. Ties go to the smaller vec_id; equal rows count once; where a vec_id has several vectors each
+    is a query and the answers are merged; other columns are not read; an empty
     table gives no rows. A query that finds fewer than k is scored against everything.
     """
     rows = usable_rows(table)
     classes = cut(vector_classes(rows, k))
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "h1", "h2").dropDuplicates(["vec_id", "h1", "h2"]).drop("h1", "h2")
-    found = cut(hashed_candidates(queries, classes, k, n_probes))
+    total = classes.count()
+    setting = setting or fitted(queries, classes, k, total)
+    found = cut(hashed_candidates(queries, classes, k, setting, total))
     enough = found.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"))
     short = queries.join(enough, "vec_id", "left_anti").orderBy("vec_id")
     while block := short.limit(BLOCK).collect():

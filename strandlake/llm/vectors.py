@@ -30,10 +30,18 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1).astype(np.float64)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two (which is exact) that bring their largest component near 1, so that squares neither overflow nor vanish."""
+    _, e = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -e[:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosine of x[i] and y[i] in double precision, always summed in the same order."""
+    x, y = _scaled(x), _scaled(y)
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandlake.llm import ann, embdedup
 
@@ -38,6 +39,40 @@ def test_nearest(spark):
     assert hits >= 0.9 * 5 * len(queries)
 
 
+def test_ties_scale_and_clashing_columns(spark):
+    """Many equal cosines go by id; huge and tiny vectors keep their direction; other columns don't matter."""
+    base = np.array([1.0, 2.0, -3.0, 0.5])
+    scaled = [(i, (base * (i * 0.37 + 0.1)).tolist()) for i in range(60)]
+    far = [(1000 + i, [1.0, float(i), 2.0, 1.0]) for i in range(20)]
+    huge = [(5000, [1e200, 0.0, 1e200, 0.0]), (5001, [1e-200, 0.0, 1e-200, 0.0]), (5002, [3.0, 0.0, 3.0, 0.0])]
+    df = spark.createDataFrame(scaled + far + huge, "vec_id long, embedding array<double>")
+    for clash in ("ids", "key", "score", "h1"):
+        df = df.withColumn(clash, F.lit("x"))
+    got = {}
+    for r in ann.op2(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5]
+    assert [v for v, _ in got[50]] == [0, 1, 2, 3, 4]
+    assert [v for v, _ in got[5000]][:2] == [5001, 5002]
+    assert abs(got[5000][0][1] - 1) < 1e-12
+    rows = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.op6(df).collect()}
+    assert [rows[i] for i in (5000, 5001, 5002)] == [(2, 5000)] * 3
+    assert all(rows[i] == (59, 0) for i in range(60))
+
+
+def test_split_groups_and_recall(spark, monkeypatch):
+    """Groups split on both sides give what whole ones give; recall on the driver's table."""
+    df, _, _ = table(spark, 400)
+    setting = ann.Setting(1, 3, 0.5)
+    want = sorted(map(tuple, ann.nearest(df, setting=setting).collect()))
+    monkeypatch.setattr(ann, "GROUP_ROWS", 37)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 3)
+    assert sorted(map(tuple, ann.nearest(df, setting=setting).collect())) == want
+    monkeypatch.undo()
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert ann.recall(vectors, ann.op2(vectors)) >= 0.95
+
+
 def test_few_or_no_vectors(spark):
     assert ann.op2(spark.createDataFrame([], SCHEMA)).collect() == []
     few = spark.createDataFrame([(50, [1.0, 0.0], 1), (3, [0.5, 0.5], 1), (7, [-1.0, 0.0], 1)], SCHEMA)
