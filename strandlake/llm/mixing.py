@@ -1,13 +1,16 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-DataFrame operators only. Each source is cut into BLOCKS blocks of permuted documents. The
-source's target gives a number of whole passes over it and a rest; the rest is filled with
-whole blocks in permuted order and a part of one last block. These block quotas (exact
-integers, at most BLOCKS + 1 for each pass and source) are then split among output shards down a
-binary tree: at each node the units are permuted and the first half of the node's capacity goes left,
-which draws the per-source counts of the two sides from the multivariate hypergeometric law
-without evaluating it. Blocks are disjoint, so shards are too, and rows are ordered by a hash
-inside their block.
+DataFrame operators only. Documents' words are counted once; all that follows works on narrow rows.
+Each source is cut into blocks of permuted documents, BLOCKS of them or as many as leave about
+BLOCK_WORDS words in each. The source's target gives its block quota: how many blocks, in
+permuted order and pass after pass, fill it (the last one in part).
+
+The tree starts with the quotas of all sources and ends with those of each output shard: at
+each node the units of all quotas are permuted and the left half of the shards gets the first of them,
+which draws the sources' counts on both sides from the multivariate hypergeometric law. Each
+shard then draws its quota of a source as the next blocks in that source's permuted order:
+blocks of one pass are disjoint, so shards are too. What the shards drew is what documents are
+taken for; within a shard they come in order of a hash.
 """
 
 from __future__ import annotations
@@ -15,15 +18,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+from .common import cut
+
+#: Blocks of a source, at least, and words of a block, about, where that gives more.
+BLOCKS = 128
+BLOCK_WORDS = 1_000_000
 SHARDS = 16
+#: Parts of a shard that are permuted side by side.
+PARTS = 16
 SEED = 5
 
 
 def word_count(text: Column) -> Column:
     """Number of runs outside space and \\t to \\r; null has none."""
-    squeezed = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.size(F.split(squeezed, " +"))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
@@ -44,83 +52,116 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, cap: floa
     return levelled.withColumn("target", F.when(F.col("__full"), F.col("__cap")).otherwise(F.col("__w") * final.getField("__level"))).select("source", "source_size", "target")
 
 
-def draw_blocks(blocks: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """Quota in words of each (source, block): ``passes`` whole takes and ``rest`` more words."""
-    named = targets.withColumnRenamed("source", "__s")
-    joined = blocks.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    quota = F.round("target").cast("long")
-    return (
-        joined.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("__over", F.when(F.col("source_size") > 0, quota - F.col("passes") * F.col("source_size")).otherwise(F.lit(0)))
-        .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("block_size"), F.col("__over") - F.coalesce(F.sum("block_size").over(permuted), F.lit(0)))))
-        .drop("__over")
-    )
-
-
-def split_tree(units: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Assign each drawn unit (source, block, pass) a shard by splitting the multiset level by level."""
-    out = units.withColumn("node", F.lit(0)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
+def permuted_blocks(placed: DataFrame, seed: int) -> DataFrame:
+    """Non-empty blocks (source, block, block_size, source_size, target) with their place ``at`` in the source's permuted order,
+    the source's number of blocks ``n``, its block quota and ``rest``, the words wanted of the quota's last block."""
+    blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")).where("block_size > 0")
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
+    words = F.round("target").cast("long")
+    ordered = blocks.withColumn("at", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ordered = ordered.withColumn("passes", F.floor(words / F.col("source_size")).cast("long")).withColumn("over", words - F.col("passes") * F.col("source_size"))
+    own = Window.partitionBy("source")
+    counted = ordered.withColumn("n", F.count("*").over(own)).withColumn("more", F.count_if(F.col("before") < F.col("over")).over(own))
+    counted = counted.withColumn("quota", F.col("passes") * F.col("n") + F.col("more"))
+    return counted.withColumn("rest", F.least("block_size", F.col("over") - F.col("before"))).drop("passes", "over", "before", "more")
+
+
+def _ranks(units: DataFrame, node: list[str], h: Column) -> DataFrame:
+    """Add ``i``, each unit's rank (from 0) in its node by ``h``: ranks in 64 ranges of the hash and the ranges' counts."""
+    placed = units.withColumn("h", h).withColumn("range", F.shiftrightunsigned("h", 58))
+    before = Window.partitionBy(*node).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*node, "range").agg(F.count("*").alias("c")).withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    within = Window.partitionBy(*node, "range").orderBy("h", "source", "unit")
+    return placed.withColumn("i", F.row_number().over(within) - 1).join(offsets, [*node, "range"]).withColumn("i", F.col("i") + F.col("off")).drop("h", "range", "off")
+
+
+def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source, shard, quota): source quotas (source, quota) split among shards, level by level."""
+    units = quotas.where("quota > 0").select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("unit"))
+    out = units.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
     depth = 0
     while (1 << depth) < shards:
-        node = Window.partitionBy("lo", "hi")
-        order = Window.partitionBy("lo", "hi").orderBy(F.xxhash64(F.lit(seed + 100 + depth), "source", "block", "pass"), "source", "block", "pass")
-        half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        out = out.withColumn("__n", F.count("*").over(node)).withColumn("__i", F.row_number().over(order)).withColumn("__mid", half)
-        goes_left = F.col("__i") <= F.floor(F.col("__n") * (F.col("__mid") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
-        single = F.col("hi") - F.col("lo") <= 1
-        out = out.withColumn("__left", goes_left).withColumn("__lo", F.when(single | F.col("__left"), F.col("lo")).otherwise(F.col("__mid"))).withColumn("hi", F.when(single | ~F.col("__left"), F.col("hi")).otherwise(F.col("__mid"))).withColumn("lo", F.col("__lo"))
-        out = out.drop("__n", "__i", "__mid", "__left", "__lo")
+        sizes = out.groupBy("lo", "hi").agg(F.count("*").alias("all"))
+        ranked = _ranks(out, ["lo", "hi"], F.xxhash64(F.lit(seed + 100 + depth), "source", "unit")).join(sizes, ["lo", "hi"])
+        mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
+        left = F.col("i") < F.round(F.col("all") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        out = ranked.select("source", "unit", F.when(left, F.col("lo")).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(F.col("hi")).alias("hi"))
         depth += 1
-    return out.withColumn("shard", F.col("lo").cast("int")).drop("lo", "hi", "node")
+    return out.groupBy("source", F.col("lo").alias("shard")).agg(F.count("*").alias("quota"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, identity: tuple[str, ...] = ("doc_id",), seed: int = SEED, shards: int = SHARDS, size: Column | None = None) -> DataFrame:
-    """How often the mix takes each document.
+def drawn_blocks(blocks: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(source, block, takes): for each block the shards that draw it, pass by pass.
 
-    ``docs`` needs source, text and the identity columns. Adds size, source_size, target,
-    passes (whole takes), head_words (words of one further, partial or whole take), taken and
-    shards (output shard of each take). Each source's taken words equal its rounded target.
-    Null and empty texts have size 0 and are never taken; a null source is a source of its
-    own, last in order; equal documents are interchangeable; an empty table gives no rows.
-    Columns of these names, and block, block_size and rest, are replaced. ``size`` stands in for
-    counting the words of text.
+    A source's quotas of the shards, one after the other, cover its permuted order from the
+    beginning, again and again; ``words`` of a take is null where it is the whole block.
+    """
+    upto = Window.partitionBy("source").orderBy("shard")
+    places = leaves.withColumn("end", F.sum("quota").over(upto)).withColumn("begin", F.col("end") - F.col("quota"))
+    units = places.select("source", "shard", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("unit"))
+    facts = blocks.groupBy("source").agg(F.first("n").alias("n"), F.first("quota").alias("all")).withColumnRenamed("source", "__s")
+    met = units.join(facts, F.col("source").eqNullSafe(F.col("__s"))).select(F.col("source").alias("__s"), F.pmod("unit", "n").alias("__at"), F.floor(F.col("unit") / F.col("n")).alias("pass"), "shard", (F.col("unit") == F.col("all") - 1).alias("last"))
+    own = blocks.join(met, F.col("source").eqNullSafe(F.col("__s")) & (F.col("at") == F.col("__at")))
+    part = F.col("last") & (F.col("rest") > 0) & (F.col("rest") < F.col("block_size"))
+    take = F.struct("pass", "shard", F.when(part, F.col("rest")).alias("words"))
+    return own.groupBy("source", "block").agg(F.array_sort(F.collect_list(take)).alias("takes"))  # one take for each pass
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, identity: tuple[str, ...] = ("doc_id",), seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """(identity columns, source, size, source_size, target, passes, head_words, taken, shards): how often the mix takes each document.
+
+    ``docs`` needs source, text and the identity columns, of which size and the order of documents
+    depend on nothing else; other columns are not read, whatever their names. passes counts whole takes, head_words
+    the words of one further take in part (or 0), shards has the output shard of each take. Each source's
+    taken words equal its rounded target. Null and empty texts have size 0 and are never
+    taken; texts are counted whole, however long; a null source is a source of its own, last in
+    order; equal rows are interchangeable; an empty table gives no rows.
     """
-    new = ["block", "block_size", "rest", "size", "source_size", "target", "passes", "head_words", "taken", "shards"]
-    key = F.xxhash64(F.lit(seed), *identity)
-    sized = docs.drop(*new).withColumn("size", word_count(F.col("text")) if size is None else size).withColumn("block", F.pmod(key, F.lit(BLOCKS)).cast("int"))
-    blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
-    sizes = blocks.groupBy("source").agg(F.sum("block_size").alias("source_size"))
-    quotas = draw_blocks(blocks, source_targets(sizes, list(weights), share, cap), seed)
-    units = quotas.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("pass"), "passes", "rest").where((F.col("pass") < F.col("passes")) | (F.col("rest") > 0))
-    homes = split_tree(units.drop("rest", "passes"), shards, seed).groupBy(F.col("source").alias("__s"), F.col("block").alias("__b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards"))
-    placed = quotas.join(homes, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
-    placed = placed.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "source_size", "target", "block_size", "passes", "rest", "shards")
-    joined = sized.join(placed, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
-    # only the one block of a source that is taken in part needs its documents in order
-    partial = (F.col("rest") > 0) & (F.col("rest") < F.col("block_size"))
-    within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), *identity), *identity).rowsBetween(Window.unboundedPreceding, -1)
-    whole = joined.where(~partial).withColumn("head_words", F.when(F.col("rest") > 0, F.col("size")).otherwise(F.lit(0)))
-    cut = joined.where(partial).withColumn("__before", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("head_words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("__before")))).drop("__before")
-    both = whole.unionByName(cut).withColumn("taken", F.col("passes") * F.col("size") + F.col("head_words"))
-    shown = F.slice(F.coalesce("shards", F.array().cast("array<int>")), 1, F.when(F.col("size") == 0, 0).otherwise((F.col("passes") + (F.col("head_words") > 0).cast("int")).cast("int")))
-    return both.withColumn("shards", shown).drop("block", "block_size", "rest")
+    texts = F.xxhash64("text")
+    names = [f"__k{i}" for i in range(len(identity))]
+    sized = cut(docs.select(*[F.col(c).alias(n) for c, n in zip(identity, names, strict=True)], "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), *identity, texts).alias("h")))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    n_blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("int")
+    targets = source_targets(sizes, list(weights), share, cap).select(F.col("source").alias("__s"), "source_size", "target", n_blocks.alias("n_blocks"))
+    placed = sized.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("block", F.pmod("h", "n_blocks").cast("int")).drop("n_blocks")
+    blocks = cut(permuted_blocks(placed, seed))
+    leaves = cut(split_tree(blocks.select("source", "quota").distinct(), shards, seed))
+    drawn = drawn_blocks(blocks, leaves).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "takes")
+    joined = placed.join(drawn, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
+    whole = F.filter("takes", lambda t: t["words"].isNull())
+    part = F.filter("takes", lambda t: t["words"].isNotNull())
+    joined = joined.withColumn("passes", F.coalesce(F.when(F.col("size") > 0, F.size(whole)), F.lit(0)).cast("long")).withColumn("rest", F.get(part, F.lit(0))["words"])
+    # only the one block of a source that is drawn in part needs its documents in order
+    within = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 2), "h"), "h", *names).rowsBetween(Window.unboundedPreceding, -1)
+    full = joined.where("rest is null").withColumn("head_words", F.lit(0).cast("long"))
+    split = joined.where("rest is not null").withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("head_words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))).drop("before")
+    both = full.unionByName(split)
+    used = F.filter("takes", lambda t: (F.col("size") > 0) & (t["words"].isNull() | (F.col("head_words") > 0)))
+    shown = F.coalesce(F.transform(used, lambda t: t["shard"]), F.array().cast("array<int>"))
+    return both.select(*[F.col(n).alias(c) for c, n in zip(identity, names, strict=True)], "source", "size", "source_size", "target", "passes", "head_words", (F.col("passes") * F.col("size") + F.col("head_words")).alias("taken"), shown.alias("shards"))
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    narrow = docs.select("doc_id", "source", "text")
-    out = mix_sources(narrow)
+    """The contract's digest; rows that share a doc_id but not the text are documents of their own."""
+    out = mix_sources(docs)
     return out.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix as documents: each is repeated as often as it is taken.
 
     A document of which the mix takes only some words comes whole if that is at least half
-    of it, and not otherwise. Columns are those of ``docs``.
+    of it, and not otherwise. Columns are those of ``docs``, whatever their names; rows that are alike in all
+    columns (but maps) are interchangeable. Rows lie by shard and by part of a shard (a random deal of its rows to
+    PARTS), and in random order in each; the order depends on the rows and the seed alone.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), "source", F.struct("doc_id", F.crc32(F.coalesce("text", F.lit("")))).alias("__id"), word_count(F.col("text")).alias("__size"))
-    taken = mix_sources(rows, identity=("__id",), size=F.col("__size"))
-    times = F.col("passes") + F.when((F.col("head_words") > 0) & (F.col("head_words") * 2 >= F.col("size")), 1).otherwise(0)
-    copies = F.explode(F.sequence(F.lit(1), times))
-    return taken.where(times > 0).withColumn("__copy", copies).select("__row.*")
+    names = docs.columns
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    rows = docs.select(F.xxhash64(*plain).alias("__id"), "*")
+    taken = mix_sources(rows.select("__id", "source", "text"), identity=("__id",), seed=seed)
+    kept = F.when((F.col("head_words") > 0) & (F.col("head_words") * 2 < F.col("size")), F.slice("shards", F.lit(1), F.size("shards") - 1)).otherwise(F.col("shards"))
+    homes = taken.where("taken > 0").groupBy("__id").agg(F.flatten(F.collect_list(kept)).alias("__shards"))
+    once = rows.join(homes, "__id").withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("__id"))).where("__n = 1")
+    copies = once.select("*", F.posexplode("__shards").alias("__copy", "__shard")).withColumn("__slot", F.xxhash64(F.lit(seed + 3), "__id", "__copy"))
+    dealt = copies.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed + 4), "__slot"), F.lit(PARTS)))
+    return dealt.repartition("__shard", "__part").sortWithinPartitions("__shard", "__part", "__slot").select(*names)
