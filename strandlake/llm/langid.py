@@ -1,176 +1,229 @@
 """Language identification: words first, character n-grams for unseen words.
 
-Per language the model has log frequencies of common words and of character n-grams. A known
-word scores by its frequency in each language; an unseen one falls back to the n-grams of
-length ORDER, and to shorter ones as long as none of that length is known. A text's language
-is the one of the highest sum over all its words.
+Per language the model has log frequencies of words and of character n-grams. A known word
+scores by its frequency in each language; an unseen one falls back to the n-grams of length
+ORDER, and to shorter ones as long as none of that length is known. A text's language is the one
+of the highest sum over all its words. How well the texts that were learned support a text is
+kept beside it (see ``Scorer``), so that a text in none of the languages can be rejected.
+
+Words and n-grams are 64-bit hashes throughout. A slice of texts is one array of code points:
+words are found, hashed, made distinct and looked up (in sorted arrays) by a few passes of numpy.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import U64, column, gram_hashes, mix, ranges, span_hashes
 
-#: Documents that the model is fitted on, at most (about).
-TRAIN_DOCUMENTS = 20_000
-#: Words and n-grams kept for all languages together.
-FEATURES = 240_000
+#: Documents that the model is fitted on for each language, at most.
+TRAIN_DOCUMENTS = 8_000
 ORDER = 5
-#: Words whose scores a worker remembers before it starts anew.
-REMEMBERED = 300_000
-
-_letters = regex.compile(r"\p{L}+").findall
-_has_letter = regex.compile(r"\p{L}").search
+#: Characters of text that one pass takes; longer texts are cut where a word ends.
+SLICE = 1 << 19
+#: Support below which ``identified`` rejects a text.
+LEAST_SUPPORT = 0.45
 
 
 def hash_share(docs_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(docs_id.cast("string"), F.lit(""))), F.lit(parts))
 
 
-def gram_counts(words: Counter) -> dict[str, int]:
-    """How often each n-gram of up to ORDER letters occurs in counted words, < and > marking their ends."""
-    out: dict[str, int] = defaultdict(int)
-    for word, count in words.items():
-        padded = f"<{word}>"
-        size = len(padded)
-        for n in range(1, min(ORDER, size) + 1):
-            for i in range(size - n + 1):
-                out[padded[i : i + n]] += count
-    return out
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
+
+
+def text_pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, lower-case pieces) of about SLICE characters together; a run of more than SLICE letters is cut."""
+    rows: list[int] = []
+    pieces: list[str] = []
+    held = 0
+    for row, text in enumerate(texts):
+        low = (text or "").lower()
+        at = 0
+        while at < len(low):
+            end = min(len(low), at + SLICE)
+            if end < len(low):
+                cut = end
+                while cut > at and low[cut - 1].isalpha():
+                    cut -= 1
+                end = cut if cut > at else end
+            rows.append(row)
+            pieces.append(low[at:end])
+            held += end - at
+            at = end
+            if held >= SLICE:
+                yield rows, pieces
+                rows, pieces, held = [], [], 0
+    if rows:
+        yield rows, pieces
+
+
+class Words:
+    """Runs of letters of some pieces of text: ``row`` of each, and the distinct words by ``hash``, at ``which`` of them each is."""
+
+    def __init__(self, rows: list[int], pieces: list[str]) -> None:
+        data = np.frombuffer("\n".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = np.zeros(len(data) + 2, bool)
+        letter[1:-1] = letter_table()[np.minimum(data, 0x10FFFF)]
+        start, end = np.flatnonzero(letter[1:-1] & ~letter[:-2]), np.flatnonzero(letter[1:-1] & ~letter[2:]) + 1
+        begins = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
+        self.row = np.array(rows, np.int64)[np.searchsorted(begins, start, side="right") - 1]
+        self.hash, first, self.which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        self.data, self.start, self.length = data, start[first], (end - start)[first]
+
+    def grams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words ``some`` with < and > around them, back to back; where each begins, and its length."""
+        size = self.length[some] + 2
+        begin = np.cumsum(size) - size
+        padded = np.empty(int(size.sum()), np.uint32)
+        padded[begin], padded[begin + size - 1] = ord("<"), ord(">")
+        inside = np.ones(len(padded), bool)
+        inside[begin] = inside[begin + size - 1] = False
+        padded[inside] = self.data[ranges(self.start[some], self.length[some])]
+        return padded, begin, size
+
+
+def feature_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Words (size 0) and n-grams of each length keep apart."""
+    return mix(h ^ U64((size + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, kind, feature, n): kind 0 words, 1 n-grams; counted per batch, then summed."""
+    """(lang, size, feature, n): size 0 for words, else the n-gram's length; counted per slice, then summed."""
+
+    def summed(features: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(features, return_inverse=True)
+        return own, np.bincount(at, n, len(own)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: dict[str, Counter] = {}
-            for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(_letters(text.lower()))
-            for lang, count in words.items():
-                for kind, c in ((0, count), (1, gram_counts(count))):
-                    if c:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([kind] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "kind", "feature", "n"])
+            named = column(batch, "lang").to_pylist()
+            texts = column(batch, "text").to_pylist()
+            for lang in sorted(set(named)):
+                for rows, pieces in text_pieces([t for t, x in zip(texts, named, strict=True) if x == lang]):
+                    w = Words(rows, pieces)
+                    n = np.bincount(w.which, minlength=len(w.hash))
+                    found = [(0, *summed(feature_of(w.hash, 0), n))] if len(n) else []
+                    padded, begin, size = w.grams(np.arange(len(w.hash)))
+                    for g in range(1, ORDER + 1):
+                        count = np.maximum(size - g + 1, 0)
+                        at = ranges(begin, count)
+                        if len(at):
+                            found.append((g, *summed(feature_of(gram_hashes(padded, g)[at], g), np.repeat(n, count))))
+                    for g, f, n_f in found:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(f), np.int64))), pa.array(np.full(len(f), g), pa.int32()), pa.array(f.view(np.int64)), pa.array(n_f)], names=["lang", "size", "feature", "n"])
+
+    counted = labelled.select("lang", "text").mapInArrow(run, "lang string, size int, feature long, n long")
+    return counted.groupBy("lang", "size", "feature").agg(F.sum("n").alias("n"))
 
-    counted = labelled.select("lang", "text").mapInArrow(run, "lang string, kind int, feature string, n long")
-    return counted.groupBy("lang", "kind", "feature").agg(F.sum("n").alias("n"))
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """Rows with text and lang: all of a language, or a hash-chosen share that leaves about TRAIN_DOCUMENTS of them."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    share = rows.groupBy("lang").agg((F.lit(TRAIN_DOCUMENTS) / F.count("*")).alias("share"))
+    chosen = F.pmod(F.xxhash64(F.lit(17), "doc_id", F.octet_length("text")), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    return rows.join(F.broadcast(share), "lang").where(chosen)  # a row for each language
 
 
 def fit(docs: DataFrame) -> dict:
-    """Model from rows with text and lang: a bounded, hash-chosen sample of them."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    share = min(1.0, TRAIN_DOCUMENTS / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    """Model from the sample: languages that have a word in it, and scores by sorted features.
+
+    The driver gets the distinct words and n-grams of TRAIN_DOCUMENTS documents a language, as
+    Arrow columns of numbers; how many there are doesn't depend on the size of the corpus.
+    """
+    top = feature_counts(sampled(docs)).orderBy("feature", "lang").toArrow()
+    langs = sorted(set(top.column("lang").unique().to_pylist()))
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "scores": np.zeros((0, 0), np.float32)}
-    each = max(200, FEATURES // (2 * len(langs)))
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "feature")
-    top = feature_counts(sample).withColumn("r", F.row_number().over(best)).where(F.col("r") <= each).select("kind", "feature", "lang", "n").orderBy("kind", "feature", "lang").toArrow()
-    at = {lang: i for i, lang in enumerate(langs)}
-    kind, n = top.column("kind").to_numpy(), top.column("n").to_numpy()
-    lang = np.fromiter(map(at.__getitem__, top.column("lang").to_pylist()), np.int64, len(kind))
-    names: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    row = np.zeros(len(kind), np.int64)
-    length: list[int] = []  # of the n-grams; 0 for words
-    for i, f in enumerate(top.column("feature").to_pylist()):
-        own = names[kind[i]]
-        if f not in own:
-            own[f] = len(length)
-            length.append(len(f) if kind[i] else 0)
-        row[i] = own[f]
-    counts = np.full((len(length), len(langs)), 0.5)
-    counts[row, lang] += n
-    scores = np.zeros(counts.shape, np.float32)
-    for size in set(length):  # n-grams of one length share their total, as words do
-        some = np.array(length) == size
-        scores[some] = np.log(counts[some] / counts[some].sum(axis=0))
-    return {"langs": langs, "words": names[0], "grams": names[1], "scores": scores - scores.mean(axis=1, keepdims=True)}
+        return {"langs": [], "features": np.zeros(0, U64), "scores": np.zeros((0, 0), np.float32)}
+    lang = top.column("lang").combine_chunks().dictionary_encode()
+    place = np.searchsorted(langs, lang.dictionary.to_pylist())[lang.indices.to_numpy()]
+    features, row = np.unique(top.column("feature").to_numpy().view(U64), return_inverse=True)
+    size = np.zeros(len(features), np.int8)
+    size[row] = top.column("size").to_numpy()
+    counts = np.full((len(features), len(langs)), 0.5, np.float32)
+    counts[row, place] += top.column("n").to_numpy()
+    for g in range(ORDER + 1):  # n-grams of one length share their total, as words do
+        some = size == g
+        counts[some] = np.log(counts[some] / counts[some].sum(axis=0, dtype=np.float64))
+    return {"langs": langs, "features": features, "scores": counts - counts.mean(axis=1, keepdims=True)}
 
 
 class Scorer:
-    """Scores of chunks between white space, remembered up to a bound."""
+    """Language, score and support of texts.
+
+    A word's support is 1 where it is known, and else the length of the n-grams that stood in for it
+    over ORDER + 1, times the share of them that is known; a text's is the mean over its words.
+    """
 
     def __init__(self, model: dict) -> None:
-        self.model = model
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model["langs"]) + 1), np.float32)  # last: has a letter
-
-    def learn(self, chunks: list[str]) -> None:
-        """Score unseen chunks, all in one pass over the model's rows."""
-        m = self.model
-        base, n = len(self.known), len(chunks)
-        while base + n > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        word, gram = m["words"].get, m["grams"].get
-        at: list[int] = []
-        owner: list[int] = []
-        weight: list[float] = []
-        has = np.zeros(n, np.float32)
-        for r, chunk in enumerate(chunks):
-            for w in _letters(chunk):
-                has[r] = 1
-                if (i := word(w)) is not None:
-                    at.append(i)
-                    owner.append(r)
-                    weight.append(1.0)
-                    continue
-                padded = f"<{w}>"
-                for size in range(min(ORDER, len(padded)), 0, -1):
-                    found = [i for j in range(len(padded) - size + 1) if (i := gram(padded[j : j + size])) is not None]
-                    if found:
-                        at += found
-                        owner += [r] * len(found)
-                        weight += [1 / len(found)] * len(found)
-                        break
-        rows = self.rows[base : base + n]
-        picked, each, by = m["scores"][np.array(at, np.int64)], np.array(weight), np.array(owner, np.int64)
-        for lang in range(len(m["langs"])):
-            rows[:, lang] = np.bincount(by, picked[:, lang] * each, n)
-        rows[:, -1] = has
-        self.known.update(zip(chunks, range(base, base + n), strict=True))
-
-    def batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [(t or "").lower().split() for t in texts]
-        known = self.known
-        fresh = list({c for words in split for c in words if c not in known})
-        if fresh and self.model["langs"]:
-            self.learn(fresh)
-        langs = self.model["langs"]
-        get = known.__getitem__
-        preds, scores = [], np.zeros(len(texts))
-        for k, words in enumerate(split):
-            pred = "und"
-            if words and langs:
-                total = self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-                if total[-1]:
-                    z = total[:-1] - total[:-1].max()
-                    best = int(z.argmax())
-                    pred, scores[k] = langs[best], 1 / np.exp(z).sum()
-            preds.append(pred)
-        return preds, scores
+        self.langs, self.features, self.scores = model["langs"], model["features"], model["scores"]
+
+    def look_up(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each feature is known, and its row."""
+        at = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        return self.features[at] == features, at
+
+    def words(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and support of the distinct words."""
+        known, at = self.look_up(feature_of(w.hash, 0))
+        out, support = np.zeros((len(known), len(self.langs)), np.float32), known.astype(np.float32)
+        out[known] = self.scores[at[known]]
+        rest = np.flatnonzero(~known)
+        padded, begin, size = w.grams(rest)
+        for g in range(ORDER, 0, -1):
+            count = np.maximum(size - g + 1, 0)
+            places = ranges(begin, count)
+            if not len(places):
+                continue
+            own = np.repeat(np.arange(len(rest)), count)
+            hit, at = self.look_up(feature_of(gram_hashes(padded, g)[places], g))
+            n = np.bincount(own[hit], minlength=len(rest))
+            for lang in range(len(self.langs)):
+                out[rest, lang] += np.bincount(own[hit], self.scores[at[hit], lang], len(rest)) / np.maximum(n, 1)
+            support[rest] += n / np.maximum(count, 1) * g / (ORDER + 1)
+            left = n == 0
+            rest, begin, size = rest[left], begin[left], size[left]
+        return out, support
+
+    def batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n, langs = len(texts), self.langs
+        total, support, seen = np.zeros((n, max(len(langs), 1))), np.zeros(n), np.zeros(n)
+        for rows, pieces in text_pieces(texts) if langs else ():
+            w = Words(rows, pieces)
+            if not len(w.hash):
+                continue
+            scores, of_word = self.words(w)
+            for lang in range(len(langs)):
+                total[:, lang] += np.bincount(w.row, scores[w.which, lang], n)
+            support += np.bincount(w.row, of_word[w.which], n)
+            seen += np.bincount(w.row, minlength=n)
+        z = total - total.max(axis=1, keepdims=True)
+        score = np.where(seen > 0, 1 / np.exp(z).sum(axis=1), 0.0)
+        best = total.argmax(axis=1)
+        return [langs[best[i]] if seen[i] else "und" for i in range(n)], score, support / np.maximum(seen, 1)
 
 
 def predict(docs: DataFrame, model: dict, within: str | None = None) -> DataFrame:
-    """Add lang_pred and score; ``und`` (score 0) for texts that are null or have no letter, or if nothing was learned.
+    """Add lang_pred, score and support; ``und`` (0, 0) for texts that are null or have no letter, or if nothing was learned.
 
     The text is column ``text``, or the field of that name in the struct column ``within``.
+    Columns of the new names are replaced; texts are taken whole, however long; of languages
+    that score alike the first by code point is taken; an empty table gives no rows.
     """
-    df = docs.drop("lang_pred", "score")
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES rows at most
+    df = docs.drop("lang_pred", "score", "support")
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())])
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the features of TRAIN_DOCUMENTS documents a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -178,22 +231,31 @@ def predict(docs: DataFrame, model: dict, within: str | None = None) -> DataFram
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 texts = column(batch, "text") if within is None else column(batch, within).field("text")
-                preds, scores = scorer.batch(texts.to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores)], names=[f.name for f in schema.fields])
+                preds, score, support = scorer.batch(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(score), pa.array(support)], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """The contract's digest: learned from rows whose remainder is not 1."""
+    """The contract's digest: learned from rows whose remainder is not 1 (a null doc_id counts as the empty text).
+
+    Repeated rows are scored alike; other columns are not read.
+    """
     held = hash_share(F.col("doc_id"), 3) == 1
     model = fit(docs.where(~held).select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """``docs`` that have a language: not ``und``, and found with a score of at least ``least``; columns unchanged."""
+def identified(docs: DataFrame, least_support: float = LEAST_SUPPORT) -> DataFrame:
+    """``docs`` in one of the languages that their own labels teach, with ``lang`` set to the one found.
+
+    Rejected are texts without a letter and those whose support is below ``least_support``:
+    noise, and languages that no label names. Other columns, whatever their names, stay as they are; repeated
+    rows stay or go together; where no row has a label nothing can be told apart and an empty table remains.
+    """
     model = fit(docs.select("doc_id", "text", "lang"))
     names = docs.columns
     keyed = docs.select(F.struct(*names).alias("row"))
-    return predict(keyed, model, "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    found = predict(keyed, model, "row").where((F.col("lang_pred") != "und") & (F.col("support") >= least_support))
+    return found.select(*[F.col("lang_pred").alias(n) if n == "lang" else F.col("row")[n].alias(n) for n in names])
