@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column, gram_hashes, mix, ranges, span_hashes
+from .common import U64, column, gram_hashes, mix, ranges, small_batches, span_hashes
 
 #: Documents that the model is fitted on for each language, at most.
-TRAIN_DOCUMENTS = 8_000
+TRAIN_DOCUMENTS = 5_000
 ORDER = 5
 #: Characters of text that one pass takes; longer texts are cut where a word ends.
 SLICE = 1 << 19
@@ -124,7 +124,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
                     for g, f, n_f in found:
                         yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(f), np.int64))), pa.array(np.full(len(f), g), pa.int32()), pa.array(f.view(np.int64)), pa.array(n_f)], names=["lang", "size", "feature", "n"])
 
-    counted = labelled.select("lang", "text").mapInArrow(run, "lang string, size int, feature long, n long")
+    counted = small_batches(labelled).select("lang", "text").mapInArrow(run, "lang string, size int, feature long, n long")
     return counted.groupBy("lang", "size", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -142,7 +142,7 @@ def fit(docs: DataFrame) -> dict:
     The driver gets the distinct words and n-grams of TRAIN_DOCUMENTS documents a language, as
     Arrow columns of numbers; how many there are doesn't depend on the size of the corpus.
     """
-    top = feature_counts(sampled(docs)).orderBy("feature", "lang").toArrow()
+    top = feature_counts(sampled(docs)).toArrow()
     langs = sorted(set(top.column("lang").unique().to_pylist()))
     if not langs:
         return {"langs": [], "features": np.zeros(0, U64), "scores": np.zeros((0, 0), np.float32)}
@@ -156,6 +156,8 @@ def fit(docs: DataFrame) -> dict:
     for g in range(ORDER + 1):  # n-grams of one length share their total, as words do
         some = size == g
         counts[some] = np.log(counts[some] / counts[some].sum(axis=0, dtype=np.float64))
+    del top, lang
+    pa.default_memory_pool().release_unused()
     return {"langs": langs, "features": features, "scores": counts - counts.mean(axis=1, keepdims=True)}
 
 
@@ -221,7 +223,7 @@ def predict(docs: DataFrame, model: dict, within: str | None = None) -> DataFram
     Columns of the new names are replaced; texts are taken whole, however long; of languages
     that score alike the first by code point is taken; an empty table gives no rows.
     """
-    df = docs.drop("lang_pred", "score", "support")
+    df = small_batches(docs).drop("lang_pred", "score", "support")
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # the features of TRAIN_DOCUMENTS documents a language
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, span_hashes, text_slices, word_spans
+from .common import U64, column, cut, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, small_batches, span_hashes, text_slices, word_spans
 from .components import components, pieces, tiled_apart
 
 SHINGLE = 4
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             if n_all:
                 yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "doc_id"), *(pa.array(np.concatenate(x), pa.int64()) for x in (n_all, s1, s2)), pa.array(sig, pa.binary())], names=["id", "doc_id", "n_shingles", "s1", "s2", "sketch"])
 
-    return docs.select("id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH_SCHEMA)
+    return small_batches(docs).select("id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH_SCHEMA)
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:

@@ -66,27 +66,29 @@ def permuted_blocks(placed: DataFrame, seed: int) -> DataFrame:
     return counted.withColumn("rest", F.least("block_size", F.col("over") - F.col("before"))).drop("passes", "over", "before", "more")
 
 
-def _ranks(units: DataFrame, node: list[str], h: Column) -> DataFrame:
-    """Add ``i``, each unit's rank (from 0) in its node by ``h``: ranks in 64 ranges of the hash and the ranges' counts."""
+def _halved(units: DataFrame, h: Column) -> DataFrame:
+    """One level of the tree: each node's (lo, hi) units in order of ``h``, the first to the left half of its shards.
+
+    Ranks are counted within 64 ranges of the hash; a small table has what lies before each range.
+    """
+    node = ["lo", "hi"]
     placed = units.withColumn("h", h).withColumn("range", F.shiftrightunsigned("h", 58))
     before = Window.partitionBy(*node).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*node, "range").agg(F.count("*").alias("c")).withColumn("off", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    sizes = placed.groupBy(*node, "range").agg(F.count("*").alias("c"))
+    sizes = sizes.select(*node, "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"), F.sum("c").over(Window.partitionBy(*node)).alias("all"))
     within = Window.partitionBy(*node, "range").orderBy("h", "source", "unit")
-    return placed.withColumn("i", F.row_number().over(within) - 1).join(offsets, [*node, "range"]).withColumn("i", F.col("i") + F.col("off")).drop("h", "range", "off")
+    ranked = placed.withColumn("i", F.row_number().over(within) - 1).join(sizes, [*node, "range"])
+    mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
+    left = F.col("i") + F.col("off") < F.round(F.col("all") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return ranked.select("source", "unit", F.when(left, F.col("lo")).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(F.col("hi")).alias("hi"))
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, shard, quota): source quotas (source, quota) split among shards, level by level."""
     units = quotas.where("quota > 0").select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("unit"))
-    out = units.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
-    depth = 0
-    while (1 << depth) < shards:
-        sizes = out.groupBy("lo", "hi").agg(F.count("*").alias("all"))
-        ranked = _ranks(out, ["lo", "hi"], F.xxhash64(F.lit(seed + 100 + depth), "source", "unit")).join(sizes, ["lo", "hi"])
-        mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
-        left = F.col("i") < F.round(F.col("all") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        out = ranked.select("source", "unit", F.when(left, F.col("lo")).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(F.col("hi")).alias("hi"))
-        depth += 1
+    out = cut(units.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards)))
+    for depth in range((shards - 1).bit_length()):
+        out = cut(_halved(out, F.xxhash64(F.lit(seed + 100 + depth), "source", "unit")))
     return out.groupBy("source", F.col("lo").alias("shard")).agg(F.count("*").alias("quota"))
 
 
@@ -123,10 +125,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     n_blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("int")
     targets = source_targets(sizes, list(weights), share, cap).select(F.col("source").alias("__s"), "source_size", "target", n_blocks.alias("n_blocks"))
+    targets = cut(targets)  # a row for each source
     placed = sized.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("block", F.pmod("h", "n_blocks").cast("int")).drop("n_blocks")
     blocks = cut(permuted_blocks(placed, seed))
     leaves = cut(split_tree(blocks.select("source", "quota").distinct(), shards, seed))
-    drawn = drawn_blocks(blocks, leaves).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "takes")
+    drawn = cut(drawn_blocks(blocks, leaves).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "takes"))
     joined = placed.join(drawn, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
     whole = F.filter("takes", lambda t: t["words"].isNull())
     part = F.filter("takes", lambda t: t["words"].isNotNull())

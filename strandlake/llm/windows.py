@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, span_hashes, text_slices, whole_runs, word_spans
+from .common import U64, column, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, small_batches, span_hashes, text_slices, whole_runs, word_spans
 
 #: Anchors with more travelling strings than this are split into single windows.
 HOT = 256
@@ -208,7 +208,7 @@ def find_anchors(cfg: Windows, docs: DataFrame) -> DataFrame:
             if found:
                 yield from settled(found)
 
-    return docs.select("doc_id", "uid", "text").mapInArrow(run, A_SCHEMA)
+    return small_batches(docs).select("doc_id", "uid", "text").mapInArrow(run, A_SCHEMA)
 
 
 class _Equal:
