@@ -136,6 +136,16 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
+#: A list of ids that is counted and found shorter than this is broadcast (16 bytes an id); a longer one is shuffled.
+BROADCAST_IDS = 1 << 17
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` written, and marked for a broadcast if there are few of them."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, members): packed shingle hashes of the wanted documents."""
 
@@ -146,7 +156,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 packed += [h[offs[i] : offs[i + 1]].tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(packed, pa.binary())], names=["id", "members"])
 
-    return docs.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(run, "id long, members binary")
+    return docs.select("id", "text").join(few(wanted), "id", "left_semi").mapInArrow(run, "id long, members binary")
 
 
 def similar(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
@@ -315,6 +325,9 @@ def one_of_each(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame
     none, are compared like any others. Null and empty texts have no near duplicates. Columns, whatever their
     names, stay as they are.
     """
-    gone = near_duplicates(keyed(docs), size, per_cent).where("id <> lead.id").select(F.col("id").alias("__id")).distinct()
+    found = cut(near_duplicates(keyed(docs), size, per_cent).select("id", F.col("lead.id").alias("lead")))
+    gone = few(found.where("id <> lead").select(F.col("id").alias("__id")).distinct())
     left = docs.withColumn("__id", F.xxhash64("doc_id", "text")).join(gone, "__id", "left_anti")
-    return left.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("__id"))).where("__n = 1").drop("__id", "__n")
+    if not found.groupBy("id").count().where("count > 1").isEmpty():  # rows repeated in full
+        left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("__id"))).where("__n = 1").drop("__n")
+    return left.drop("__id")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, covered
-from .windows import NO_ID, Windows, keyed, repeated_spans, span_arrays, span_lists, unkeyed, with_spans
+from .windows import NO_ID, Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
 
 WINDOW = 100
 GRAM = 32
@@ -201,10 +201,10 @@ def without_repeats(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
     stay null; no row goes. Documents are told apart and ordered as in ``op7``; a column named ``spans`` is dropped,
     others stay as they are.
     """
-    lists = span_lists(repeated_bytes(keyed(docs), config)).select(F.col("doc_id").alias("__key"), F.col("uid").alias("__uid"), "spans")
-    rows = docs.drop("spans")
-    joined = rows.join(lists, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__key")) & (F.xxhash64("text") == F.col("__uid")), "left").drop("__key", "__uid")
-    names = rows.columns
+    names = [n for n in docs.columns if n != "spans"]
+    others = F.struct(*[n for n in names if n != "text"], F.lit(0).alias("__")).alias("rest")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64("text").alias("uid"), "text", others)
+    joined = with_spans(rows, repeated_bytes(rows, config)).select("text", "rest", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -219,9 +219,10 @@ def without_repeats(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
                     whole_char = np.zeros(int(char[-1]) + 1 if len(char) else 0, bool)
                     whole_char[char[keep]] = True
                     texts[i] = raw[whole_char[char]].tobytes().decode()
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else column(batch, n) for n in names], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), column(batch, "rest")], names=["text", "rest"])
 
-    return joined.mapInArrow(run, rows.schema)
+    whole = joined.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), rows.schema["rest"]]))
+    return whole.select(*[F.col("text") if n == "text" else F.col("rest")[n].alias(n) for n in names])
 
 
 def digest(found: DataFrame, make, schema: T.StructType) -> DataFrame:

@@ -340,7 +340,8 @@ def cut_strings(cfg: Windows, docs: DataFrame, flagged: DataFrame) -> DataFrame:
                 if len(a):
                     yield _batch(C_SCHEMA, kind=_full(len(a), SPAN), key=mix(du.astype(U64)), h=_full(len(a), 0), doc_id=dd, uid=du, start=a, units=b - a, body=pa.nulls(len(a), pa.binary()))
 
-    return docs.select("doc_id", "uid", "text").join(wanted, ["doc_id", "uid"]).mapInArrow(run, C_SCHEMA)
+    # all columns of ``docs``: the join that brings the spans back reads the same exchange
+    return docs.join(wanted, ["doc_id", "uid"]).mapInArrow(run, C_SCHEMA)
 
 
 def bucket_spans(cfg: Windows, rows: DataFrame, kernel: Kernel) -> DataFrame:
@@ -399,7 +400,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(cfg: Windows, docs: DataFrame, kernel: Kernel) -> DataFrame:
-    """(doc_id, uid, start, end) in units: spans that hold all removable windows (they may overlap). ``docs`` are rows of ``keyed``."""
+    """(doc_id, uid, start, end) in units: spans that hold all removable windows (they may overlap).
+
+    ``docs`` are rows of ``keyed``; further columns of theirs are carried where the job's joins share an exchange.
+    """
     return bucket_spans(cfg, cut_strings(cfg, docs, shared_anchors(cfg, find_anchors(cfg, docs))), kernel)
 
 
