@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one pass of a kernel takes; a single longer text is taken alone.
@@ -49,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A narrow table that is counted and found shorter than this is broadcast (some 16 bytes a row); a longer one is shuffled.
+BROADCAST_ROWS = 1 << 17
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of one or two numbers, written, and marked for a broadcast if there are few of them."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 #: Bytes of an Arrow batch, where the session leaves Spark's own bound.
 BATCH_BYTES = "4m"
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, mix, shuffle_partitions, whole_runs
+from .common import U64, column, cut, few, mix, shuffle_partitions, whole_runs
 from .components import components, pieces, tiled_apart
 from .vectors import matrix, unit, usable_rows
 
@@ -83,9 +83,14 @@ def best_of(ids: np.ndarray, x: np.ndarray, keep: int, floor: float, threshold:
     return ids[i], ids[j], s[i, j]
 
 
-def grouped(rows: DataFrame, keep: int, threshold: float) -> DataFrame:
-    """Best pairs above FLOOR within each key of (key, id, embedding); keys of over TILE rows are split by a hash of the id."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select(F.col("key").alias("__k"), F.ceil(F.col("n") / TILE).alias("parts"))
+def large_keys(ids: DataFrame) -> DataFrame:
+    """(key, parts) of keys with over TILE rows; counted before vectors travel."""
+    return few(ids.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).alias("parts")))
+
+
+def grouped(rows: DataFrame, large: DataFrame, keep: int, threshold: float) -> DataFrame:
+    """Best pairs above FLOOR within each key of (key, id, embedding); keys of ``large`` are split by a hash of the id."""
+    sizes = large.withColumnRenamed("key", "__k")
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0))
     split = rows.join(sizes, F.col("key") == F.col("__k"), "left").select(F.xxhash64("key", part).alias("piece"), "id", "embedding")
 
@@ -137,7 +142,7 @@ def coded(nodes: DataFrame, total: int, threshold: float, vectors: bool) -> Data
 
 
 def seed_edges(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
-    return grouped(coded(nodes, total, threshold, True), LIST, threshold)
+    return grouped(coded(nodes, total, threshold, True), large_keys(coded(nodes, total, threshold, False)), LIST, threshold)
 
 
 def large_buckets(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
@@ -197,8 +202,9 @@ def descend(edges: DataFrame, nodes: DataFrame, threshold: float, size: int) ->
     """
     near = lists(edges, threshold, size)
     at = near.select(F.col("a").alias("key"), F.col("b").alias("id")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("id"))).distinct()
+    at = cut(at)
     rows = at.join(nodes.select("id", "embedding"), "id").select("key", "id", "embedding")
-    return grouped(rows, size, threshold)
+    return grouped(rows, large_keys(at), size, threshold)
 
 
 def link_counts(members: DataFrame, threshold: float) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, small_batches, span_hashes, text_slices, word_spans
+from .common import U64, column, cut, few, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, small_batches, span_hashes, text_slices, word_spans
 from .components import components, pieces, tiled_apart
 
 SHINGLE = 4
@@ -136,16 +136,6 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFra
     return joined.mapInArrow(run, "a long, b long")
 
 
-#: A list of ids that is counted and found shorter than this is broadcast (16 bytes an id); a longer one is shuffled.
-BROADCAST_IDS = 1 << 17
-
-
-def few(ids: DataFrame) -> DataFrame:
-    """``ids`` written, and marked for a broadcast if there are few of them."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(id, members): packed shingle hashes of the wanted documents."""
 
