@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from strandlake.functions import colorsets as C
 from strandlake.functions import sequence as S
 
+from .lineage import cut
+
 #: Characters of a sequence that one row carries to the window generator.
 CHUNK = 256
 #: Bits of an occurrence's order that hold its place in the record.
@@ -44,17 +46,31 @@ def occurrence_order(rec_ord: Column, pos: Column) -> Column:
     return rec_ord.cast("long") * PLACE + pos
 
 
+#: Bands that rows are numbered in side by side.
+BANDS = 256
+
+
+def _band(column: str, bounds: list) -> Column:
+    """Number of ``bounds`` (ascending) that are not above the column's value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    return F.when(F.col(column) < bounds[mid], _band(column, bounds[:mid])).otherwise(F.lit(mid + 1) + _band(column, bounds[mid + 1 :]))
+
+
 def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Add dense ids from 0 in the order of a non-negative long column of distinct values.
+    """Add dense ids from 0 in the order of a long column of distinct values.
 
-    Rows are numbered within bands of the order's logarithm and the bands' sizes are added
-    up, so no task numbers them all; a band holds about a hundredth of an evenly filled range.
+    Rows are numbered within bands between sampled quantiles and the bands' sizes are added up,
+    so no task numbers them all, however the values lie. ``df`` is written first, as it is read three times.
     """
-    banded = df.withColumn("__band", F.floor(F.log2(F.col(order) + 1) * 64).cast("int"))
+    df = cut(df)
+    bounds = sorted(set(df.approxQuantile(order, [i / BANDS for i in range(1, BANDS)], 0.25 / BANDS)))
+    banded = df.withColumn("__band", _band(order, [int(b) for b in bounds]))
     before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     offsets = banded.groupBy("__band").agg(F.count("*").alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy("__band").orderBy(order)
-    return banded.withColumn("__i", F.row_number().over(within) - 1).join(F.broadcast(offsets), "__band").withColumn(name, (F.col("__i") + F.col("__off")).cast("long")).drop("__band", "__i", "__off")  # 64 bands an octave: 4096 rows at most
+    return banded.withColumn("__i", F.row_number().over(within) - 1).join(F.broadcast(offsets), "__band").withColumn(name, (F.col("__i") + F.col("__off")).cast("long")).drop("__band", "__i", "__off")  # BANDS rows at most
 
 
 def build_edges(occurrences: DataFrame, order: Column) -> DataFrame:

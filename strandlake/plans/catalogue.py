@@ -247,14 +247,24 @@ def color_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colors(spark, sf_dir)
 
 
+def _pieces_of(text: DataFrame, column: str, n: int) -> DataFrame:
+    """(query): every run of n letters of whole texts, by chunks."""
+    chunk = text.where(F.length(column) >= n).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(column) - n + 1, F.lit(G.CHUNK)), lambda b: F.substring(F.col(column), b, F.lit(G.CHUNK + n - 1)))).alias("c"))
+    return chunk.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - n + 1), lambda p: F.substring(F.col("c"), p, F.lit(n)))).alias("query")).distinct()
+
+
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 8 letters of each text as they stand and encoded, and 7 of them (a wrong length)."""
-    text = records(spark, sf_dir).select("seq")
-    enc = S.encode(F.col("seq"), True)
-    return text.select(F.explode(F.array(F.substring("seq", 1, 8), F.substring(enc, 1, 8), F.substring(enc, 1, 7))).alias("query")).distinct()
+    """All runs of 8 letters of whole texts, as they stand and encoded, and of 7 encoded ones (a wrong length)."""
+    text = records(spark, sf_dir).select("seq", S.encode(F.col("seq"), True).alias("enc"))
+    return _pieces_of(text, "seq", 8).union(_pieces_of(text, "enc", 8)).union(_pieces_of(text, "enc", 7)).distinct()
+
+
+def _pieces_sql(column: str, n: int) -> str:
+    chunks = f"SELECT unnest(list_transform(range(1, length({column}) - {n - 2}, 256), lambda b: substr({column}, b, {255 + n}))) AS c FROM rec JOIN documents USING (doc_id)"
+    return f"SELECT unnest(list_transform(range(1, length(c) - {n - 2}), lambda p: substr(c, p, {n}))) AS query FROM ({chunks})"
 
 
-PROBES_SQL = "probes AS (SELECT DISTINCT unnest([substr(text,1,8), substr(enc,1,8), substr(enc,1,7)]) AS query FROM rec JOIN documents USING (doc_id))"
+PROBES_SQL = f"probes AS (SELECT DISTINCT query FROM ({_pieces_sql('text', 8)} UNION ALL {_pieces_sql('enc', 8)} UNION ALL {_pieces_sql('enc', 7)}))"
 
 
 @query(_with(GRAPH_SQL + ", " + PROBES_SQL, "SELECT query, length(query) = 8 AS valid, edge_id FROM probes LEFT JOIN edges ON kmer = query"))
@@ -349,16 +359,16 @@ def bit_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("row_id", C.text(C.insert_zeros(v, F.lit(3), F.lit(2))).alias("zeros_in"), C.text(C.remove_range(v, F.lit(5), F.lit(9))).alias("range_out"), C.text(C.rearrange_bits(v, F.sequence(F.lit(19), F.lit(0), F.lit(-1)))).alias("turned"))
 
 
-@query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('cs')} AS colors FROM mat UNION ALL SELECT row_id + (SELECT count(*) FROM mat), {TEXT.format('cs')} FROM mat WHERE row_id < 50"))
+@query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('cs')} AS colors FROM mat UNION ALL SELECT row_id + (SELECT count(*) FROM mat), {TEXT.format('cs')} FROM mat"))
 def rows_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir)
-    return shown(R.concat([r, r.where(F.col("row_id") < 50)]))
+    return shown(R.concat([r, r]))
 
 
-@query(_with(GRAPH_SQL, f"SELECT CASE WHEN row_id >= 10 THEN row_id + 50 ELSE row_id END AS row_id, {TEXT.format('cs')} AS colors FROM mat UNION ALL SELECT row_id + 10, {TEXT.format('cs')} FROM mat WHERE row_id < 50"))
+@query(_with(GRAPH_SQL, f"SELECT CASE WHEN row_id >= 10 THEN row_id + (SELECT count(*) FROM mat) ELSE row_id END AS row_id, {TEXT.format('cs')} AS colors FROM mat UNION ALL SELECT row_id + 10, {TEXT.format('cs')} FROM mat"))
 def rows_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir)
-    return shown(R.insert(r, r.where(F.col("row_id") < 50), 10))
+    return shown(R.insert(r, r, 10))
 
 
 @query(_with(GRAPH_SQL, f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, {TEXT.format('cs')} AS colors FROM mat WHERE row_id % 3 <> 0"))

@@ -93,12 +93,31 @@ def k_of(spark: SparkSession, base: str) -> int:
     return ST.load(spark, base, ["graph_meta"])["graph_meta"].first()["k"]
 
 
+def _has(spark: SparkSession, base: str, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{table}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def update(spark: SparkSession, base: str, files: list[str], out: str, **options) -> None:
-    """The graph below ``base`` with more files, written below ``out``."""
+    """The graph below ``base`` with more files, written below ``out``, and its filters and rows where it has them.
+
+    Filters keep their sizes; those of new colours get the bits for each window that suit the same number of functions.
+    """
     k, t = k_of(spark, base), ST.load(spark, base, GRAPH)
     records = coloured_records(spark, files, k=k, **options)
     edges, colors, annotation = U.update(t["edges"], t["colors"], t["annotation"], records, _windows(records, k), _order(), "color", "rec_ord")
     ST.save({"graph_meta": t["graph_meta"], "edges": edges, "colors": colors, "annotation": annotation}, out)
+    saved = ST.load(spark, out, ["colors"])
+    if _has(spark, base, "bloom_meta"):
+        f = ST.load(spark, base, ["bloom_meta", "bloom_bits"])
+        inner = G.windows(records, k, rooted=True, keep=("rec_ord", "color")).join(saved["colors"].select("color_id", F.col("name").alias("color")), "color")
+        known = f["bloom_meta"].select("color_id")
+        hashes = f["bloom_meta"].agg(F.max("num_hash")).first()[0]
+        fresh = BL.sizes(inner.join(known, "color_id", "left_anti"), hashes / 0.6931471805599453, hashes)  # bits for each element that suit so many functions
+        meta = f["bloom_meta"].unionByName(fresh)
+        ST.save({"bloom_meta": meta, "bloom_bits": f["bloom_bits"].unionByName(BL.build(inner, meta)).distinct()}, out)
+    if _has(spark, base, "rows"):
+        compress(spark, out)
 
 
 def map_kmers(spark: SparkSession, base: str, kmers: list[str], *, bloom: bool = False, cutoff: int = 50) -> DataFrame:
@@ -179,7 +198,10 @@ def main(args: list[str] | None = None) -> None:
         compress(spark, a.input)
     else:
         shown = {"map": lambda: map_kmers(spark, a.input, a.inputs, bloom=a.bloom), "permutation": lambda: permutation(spark, a.input, a.num_permutations), "stats": lambda: stats(spark, a.input), "query": lambda: query(spark, a.input, bloom=a.bloom), "evaluate": lambda: evaluate(spark, a.input)}
-        shown[a.command]().show(1000, truncate=False)
+        out = shown[a.command]()
+        print("\t".join(out.columns))
+        for row in out.toLocalIterator():  # every row, a partition at a time
+            print("\t".join("" if v is None else ",".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
 
 
 if __name__ == "__main__":

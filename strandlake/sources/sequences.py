@@ -28,9 +28,9 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file, rec_ord, name, seq); the name is the header up to the first white space."""
-    pieces = _records(spark, paths, ">")
-    lines = F.split("value", r"\r?\n")
+    """(file, rec_ord, name, seq); a header is a line that begins with >, the name what stands up to its first white space."""
+    pieces = _records(spark, paths, "\n>")
+    lines = F.split(F.regexp_replace("value", "^>", ""), r"\r?\n")
     name = F.regexp_extract(lines[0], r"^(\S*)", 1)
     seq = F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")
     return _ordered(pieces.select("file", "__block", "__i", name.alias("name"), seq.alias("seq")))

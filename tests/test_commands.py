@@ -35,3 +35,7 @@ def test_from_files_to_answers(spark, tmp_path):
     assert more == {"ACGTA": "|x,two", "TTTTG": "three"}
     edges = spark.read.parquet(f"{out}/edges")
     assert sorted(r[0] for r in edges.select("edge_id").collect()) == list(range(edges.count()))
+    assert CM.evaluate(spark, out).first()["fn_bits_post"] == 0
+    exact = {r["query"]: set(r["colors"].split(",")) for r in CM.map_kmers(spark, out, ["ACGTA", "TTTTG"], bloom=True).collect()}
+    assert {"|x", "two"} <= exact["ACGTA"] and "three" in exact["TTTTG"]
+    assert CM.query(spark, out).count() == edges.count()

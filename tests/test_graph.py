@@ -62,3 +62,10 @@ def test_scalars(spark):
     pairs = [("ACG", "TCG", 1), ("ACG", "TCG", 0), ("ACG", "CG", 0), ("ACG", "TTT", 3)]
     eq = spark.createDataFrame(pairs, "a string, b string, s int").select(S.suffix_equal(F.col("a"), F.col("b"), F.col("s")), S.colex_greater(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in eq] == [(True, False), (False, False), (False, True), (True, False)]
+
+
+def test_dense_ids_of_clustered_and_negative_values(spark):
+    for values in (range(10**9, 10**9 + 3000), [-5, 7, 2**62, -(2**62), 0], []):
+        df = spark.createDataFrame([(v,) for v in values], "v long").repartition(3)
+        got = [(r["v"], r["i"]) for r in G.dense_ids(df, "v", "i").orderBy("i").collect()]
+        assert got == [(v, i) for i, v in enumerate(sorted(values))]

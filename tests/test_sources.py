@@ -91,3 +91,10 @@ def test_store_and_streamed_growth(spark, tmp_path):
     assert {tuple(r) for r in named.collect()} == {tuple(r) for r in occ.select("kmer", "color").distinct().collect()}
     ST.write_lines(G.wide(tables["edges"], tables["annotation"]), 2, str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == tables["edges"].count()
+
+
+def test_fasta_header_with_a_sign(spark, tmp_path):
+    path = tmp_path / "x.fa"
+    path.write_text(">one maps a->b\nACGT\nAC>GT\n>two\nGG\n")
+    got = [(r["rec_ord"], r["name"], r["seq"]) for r in SQ.read_fasta(spark, str(path)).orderBy("rec_ord").collect()]
+    assert got == [(0, "one", "ACGTAC>GT"), (1, "two", "GG")]
