@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, freed
 
 NONE = 1 << 30
 #: Longest word, in bytes, that is merged in the matrix.
@@ -282,7 +282,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                     cols.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run), schema)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ the slice and never a Python loop over characters or words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(run: Run) -> Run:
+    """``run``, after which the Python worker gives what it no longer holds back to the system.
+
+    Workers serve one task after the other; else each keeps the most that any of its tasks took.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

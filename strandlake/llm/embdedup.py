@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, few, mix, shuffle_partitions, whole_runs
+from .common import U64, column, cut, few, freed, mix, shuffle_partitions, whole_runs
 from .components import components, pieces, tiled_apart
 from .vectors import matrix, unit, usable_rows
 
@@ -106,7 +106,7 @@ def grouped(rows: DataFrame, large: DataFrame, keep: int, threshold: float) -> D
                 yield _edges(a[m], b[m], s[m])
 
     n = shuffle_partitions(rows.sparkSession)
-    return split.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(run, EDGE_SCHEMA)
+    return split.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(freed(run), EDGE_SCHEMA)
 
 
 def merged(edges: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def coded(nodes: DataFrame, total: int, threshold: float, vectors: bool) -> Data
                 key = mix(code.astype(U64) + U64(t << 32)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(column(batch, c) for c in names[1:])], names=names)
 
-    return nodes.select("id", "embedding").mapInArrow(run, "key long, id long" + ", embedding array<double>" * vectors)
+    return nodes.select("id", "embedding").mapInArrow(freed(run), "key long, id long" + ", embedding array<double>" * vectors)
 
 
 def seed_edges(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
@@ -180,7 +180,7 @@ def bucket_links(large: DataFrame, found: DataFrame, nodes: DataFrame, threshold
                 yield _edges(ids[i], ids[j], s[i, j])
 
     n = shuffle_partitions(nodes.sparkSession)
-    return rows.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(run, EDGE_SCHEMA)
+    return rows.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(freed(run), EDGE_SCHEMA)
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
             yield from counts(ids[~first], x[~first], x[first], n[first], False)
 
     parts = shuffle_partitions(members.sparkSession)
-    return keyed.repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return keyed.repartition(parts, "piece").sortWithinPartitions("piece").mapInArrow(freed(run), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -296,7 +296,7 @@ def audit(table: DataFrame, result: DataFrame, threshold: float = 0.95, sample:
             s = q @ unit(matrix(column(batch, "embedding"))).T
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((s >= threshold).sum(axis=1), pa.int64())], names=["vec_id", "n"])
 
-    truth = rows.select("embedding").mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
+    truth = rows.select("embedding").mapInArrow(freed(run), "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
     both = truth.join(result, "vec_id").agg(F.sum("n"), F.sum("n_links")).first()
     return (both[1] or 0) / both[0] if both[0] else 1.0
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, column, gram_hashes, mix, ranges, small_batches, span_hashes
+from .common import U64, column, freed, gram_hashes, mix, ranges, small_batches, span_hashes
 
 #: Documents that the model is fitted on for each language, at most.
 TRAIN_DOCUMENTS = 5_000
@@ -124,7 +124,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
                     for g, f, n_f in found:
                         yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(f), np.int64))), pa.array(np.full(len(f), g), pa.int32()), pa.array(f.view(np.int64)), pa.array(n_f)], names=["lang", "size", "feature", "n"])
 
-    counted = small_batches(labelled).select("lang", "text").mapInArrow(run, "lang string, size int, feature long, n long")
+    counted = small_batches(labelled).select("lang", "text").mapInArrow(freed(run), "lang string, size int, feature long, n long")
     return counted.groupBy("lang", "size", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, model: dict, within: str | None = None) -> DataFram
                 preds, score, support = scorer.batch(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(score), pa.array(support)], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed(run), schema)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, column, cut, few, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, small_batches, span_hashes, text_slices, word_spans
+from .common import U64, column, cut, few, freed, gram_hashes, lower_ascii, mix, ranges, shuffle_partitions, small_batches, span_hashes, text_slices, word_spans
 from .components import components, pieces, tiled_apart
 
 SHINGLE = 4
@@ -79,6 +79,9 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def likely_similarity(greater: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, total: int = REGISTERS) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity from how many registers of a are greater and less than b's."""
+    if len(n_a) > 1024:  # a row has 201 points of the likelihood, several times
+        parts = [likely_similarity(*(x[lo : lo + 1024] for x in (greater, less, n_a, n_b)), total) for lo in range(0, len(n_a), 1024)]
+        return np.concatenate(parts)
     u = n_a / (n_a + n_b)
     v = 1 - u
     most = np.minimum(u / v, v / u)
@@ -115,7 +118,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             if n_all:
                 yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "doc_id"), *(pa.array(np.concatenate(x), pa.int64()) for x in (n_all, s1, s2)), pa.array(sig, pa.binary())], names=["id", "doc_id", "n_shingles", "s1", "s2", "sketch"])
 
-    return small_batches(docs).select("id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH_SCHEMA)
+    return small_batches(docs).select("id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(run), SKETCH_SCHEMA)
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
@@ -133,7 +136,7 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFra
             keep = pa.array(est >= floor)
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in "ab"], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(freed(run), "a long, b long")
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -146,7 +149,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 packed += [h[offs[i] : offs[i + 1]].tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(packed, pa.binary())], names=["id", "members"])
 
-    return docs.select("id", "text").join(few(wanted), "id", "left_semi").mapInArrow(run, "id long, members binary")
+    return docs.select("id", "text").join(few(wanted), "id", "left_semi").mapInArrow(freed(run), "id long, members binary")
 
 
 def similar(p: np.ndarray, q: np.ndarray, per_cent: int) -> bool:
@@ -169,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_cent: int) -> Da
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(mask) for c in "ab"], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(freed(run), "a long, b long")
 
 
 #: Members of a bucket, and shingles in their sets, that one tile has; two tiles are compared with each other at a time.
@@ -233,7 +236,7 @@ def links_across(rest: DataFrame, docs: DataFrame, size: int, per_cent: int) ->
                 yield pa.RecordBatch.from_arrays([piece.column(c).combine_chunks().filter(mask) for c in ("key", "id")], names=["key", "id"])
 
     fields = ["piece", "key", "band", "id", "component", "tile", "other", "n_shingles", "sketch"]
-    flagged = cut(_tiled(rest).select(*fields).repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(likely, "key long, id long").distinct())
+    flagged = cut(_tiled(rest).select(*fields).repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(freed(likely), "key long, id long").distinct())
     have = set_rows(docs, flagged.select("id").distinct(), size)
     full = _tiled(rest.join(flagged, ["key", "id"], "left_semi")).join(have, "id").select(*fields, "members")
 
@@ -260,7 +263,7 @@ def links_across(rest: DataFrame, docs: DataFrame, size: int, per_cent: int) ->
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return full.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(link, "a long, b long")
+    return full.repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(freed(link), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, per_cent: int = 80) -> DataFrame:

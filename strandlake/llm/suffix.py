@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, covered
+from .common import column, covered, freed
 from .windows import NO_ID, Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
 
 WINDOW = 100
@@ -221,7 +221,7 @@ def without_repeats(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
                     texts[i] = raw[whole_char[char]].tobytes().decode()
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), column(batch, "rest")], names=["text", "rest"])
 
-    whole = joined.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), rows.schema["rest"]]))
+    whole = joined.mapInArrow(freed(run), T.StructType([T.StructField("text", T.StringType()), rows.schema["rest"]]))
     return whole.select(*[F.col("text") if n == "text" else F.col("rest")[n].alias(n) for n in names])
 
 
@@ -247,4 +247,4 @@ def digest(found: DataFrame, make, schema: T.StructType) -> DataFrame:
                     rest.append(kept)
                 yield make(batch, size, removed, runs, rest)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(freed(run), schema)

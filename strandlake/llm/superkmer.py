@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column, covered, ranges
+from .common import column, covered, freed, ranges
 from .windows import Windows, keyed, repeated_spans, span_arrays, unkeyed, with_spans
 
 WINDOW = 35
@@ -100,4 +100,4 @@ def op9(docs: DataFrame, config: Windows = CONFIG) -> DataFrame:
                     sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], names=["doc_id", *[f.name for f in extra]])
 
-    return unkeyed(with_spans(docs, repeated_words(docs, config)).mapInArrow(run, T.StructType([docs.schema["doc_id"], *extra])))
+    return unkeyed(with_spans(docs, repeated_words(docs, config)).mapInArrow(freed(run), T.StructType([docs.schema["doc_id"], *extra])))

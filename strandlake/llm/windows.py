@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, small_batches, span_hashes, text_slices, whole_runs, word_spans
+from .common import U64, column, freed, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, small_batches, span_hashes, text_slices, whole_runs, word_spans
 
 #: Anchors with more travelling strings than this are split into single windows.
 HOT = 256
@@ -45,7 +45,7 @@ PLACE_BITS = 24
 #: Units of one text that are looked at together.
 SEGMENT = 1 << 22
 #: Super-k-mers that are settled together before they travel.
-SETTLED = 1 << 18
+SETTLED = 1 << 17
 
 Kernel = Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: (doc_id, text hash) of each row: the document it belongs to.
@@ -208,7 +208,7 @@ def find_anchors(cfg: Windows, docs: DataFrame) -> DataFrame:
             if found:
                 yield from settled(found)
 
-    return small_batches(docs).select("doc_id", "uid", "text").mapInArrow(run, A_SCHEMA)
+    return small_batches(docs).select("doc_id", "uid", "text").mapInArrow(freed(run), A_SCHEMA)
 
 
 class _Equal:
@@ -290,7 +290,7 @@ def shared_anchors(cfg: Windows, rows: DataFrame) -> DataFrame:
             yield strings(waiting[0], waiting[1:], np.zeros(len(waiting[0]), bool))
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "s", "doc_id", "uid", "start").mapInArrow(run, B_SCHEMA)
+    return rows.repartition(n, "key").sortWithinPartitions("key", "s", "doc_id", "uid", "start").mapInArrow(freed(run), B_SCHEMA)
 
 
 def cut_strings(cfg: Windows, docs: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def cut_strings(cfg: Windows, docs: DataFrame, flagged: DataFrame) -> DataFrame:
                     yield _batch(C_SCHEMA, kind=_full(len(a), SPAN), key=mix(du.astype(U64)), h=_full(len(a), 0), doc_id=dd, uid=du, start=a, units=b - a, body=pa.nulls(len(a), pa.binary()))
 
     # all columns of ``docs``: the join that brings the spans back reads the same exchange
-    return docs.join(wanted, ["doc_id", "uid"]).mapInArrow(run, C_SCHEMA)
+    return docs.join(wanted, ["doc_id", "uid"]).mapInArrow(freed(run), C_SCHEMA)
 
 
 def bucket_spans(cfg: Windows, rows: DataFrame, kernel: Kernel) -> DataFrame:
@@ -387,7 +387,7 @@ def bucket_spans(cfg: Windows, rows: DataFrame, kernel: Kernel) -> DataFrame:
                 yield from spans((d, u), a, a + n)
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("kind", "key", "h", "doc_id", "uid", "start").mapInArrow(run, SPAN_SCHEMA)
+    return rows.repartition(n, "key").sortWithinPartitions("kind", "key", "h", "doc_id", "uid", "start").mapInArrow(freed(run), SPAN_SCHEMA)
 
 
 #: Stands for a null doc_id.
