@@ -43,15 +43,16 @@ def build(pairs: DataFrame, meta: DataFrame, hashed=B.portable_hash) -> DataFram
 def probe(kmers: DataFrame, meta: DataFrame, bits: DataFrame, *, num_hash: int | None = None, colors: tuple[int, ...] | None = None, hashed=B.portable_hash) -> DataFrame:
     """(kmer, color_id) for every colour whose filter has all bits of the k-mer.
 
-    Each k-mer is hashed once and meets the filters' sizes; a colour without a filter never
+    Each k-mer is hashed once for each function and then meets every filter's size; a colour without a filter never
     matches. ``num_hash`` probes with another number of functions, ``colors`` with some filters.
     """
     if colors is not None:
         meta = meta.where(F.col("color_id").isin(list(colors)))
     probes = meta if num_hash is None else meta.withColumn("num_hash", F.lit(num_hash))
-    hashes = kmers.select("kmer").distinct()
-    each = hashes.crossJoin(probes).select("kmer", "color_id", "n_bits", "num_hash", F.explode(F.sequence(F.lit(0), F.col("num_hash") - 1)).alias("j"))
-    at = each.select("kmer", "color_id", "num_hash", F.pmod(hashed(F.col("kmer"), F.col("j")), F.col("n_bits")).alias("bit"))
+    most = F.broadcast(probes.agg(F.max("num_hash").alias("most")))  # one row
+    each = kmers.select("kmer").distinct().crossJoin(most).where("most > 0").select("kmer", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("j"))
+    hashes = each.select("kmer", "j", hashed(F.col("kmer"), F.col("j")).alias("h"))
+    at = hashes.join(probes, F.col("j") < F.col("num_hash")).select("kmer", "color_id", "num_hash", F.pmod("h", "n_bits").alias("bit"))
     hits = at.join(bits, ["color_id", "bit"]).groupBy("kmer", "color_id", "num_hash").agg(F.count("*").alias("n"))
     return hits.where(F.col("n") == F.col("num_hash")).select("kmer", "color_id")
 

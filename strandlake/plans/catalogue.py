@@ -19,6 +19,7 @@ from strandlake.operators import graph as G
 from strandlake.operators import permute as PM
 from strandlake.operators import rows as R
 from strandlake.operators import update as U
+from strandlake.operators.lineage import cut
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
 from strandlake.sources import variants as V
@@ -423,7 +424,15 @@ def rows_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.groupBy("edge_id").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
 
 
-@query()
+TRIE_SQL = r"""perms AS (SELECT perm, color_id, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN '' ELSE md5('42:' || perm || ':' || color_id) END, color_id) - 1 AS new_id FROM colors, (SELECT unnest(range(0, 6))::INT AS perm)),
+sets AS MATERIALIZED (SELECT row_number() OVER () AS s, cs, count(*) AS n FROM mat GROUP BY cs),
+bitrows AS MATERIALIZED (SELECT s, perm, any_value(n) AS n, string_agg(CASE WHEN list_contains(cs, color_id) THEN '1' ELSE '0' END, '' ORDER BY new_id) AS b FROM sets, perms GROUP BY s, perm),
+begins AS MATERIALIZED (SELECT s, perm, n, b, d, substr(b, 1, d::INT) AS p FROM (SELECT *, unnest(range(0, length(b))) AS d FROM bitrows)),
+inner_nodes AS MATERIALIZED (SELECT perm, d, p, sum(n) AS n FROM begins GROUP BY perm, d, p HAVING count(DISTINCT substr(b, d::INT + 1, 1)) = 2),
+leaf AS (SELECT perm, s, greatest(max(length(rtrim(b, '0'))), coalesce(max(i.d) + 1, 0)) + 1 AS bits FROM begins LEFT JOIN inner_nodes i USING (perm, d, p) GROUP BY perm, s)"""
+
+
+@query(_with(GRAPH_SQL + ", " + TRIE_SQL, "SELECT l.perm, 2 * l.n - 1 AS n_nodes, (l.bits - i.bits)::BIGINT AS alpha_bits, i.n::BIGINT AS beta_bits FROM (SELECT perm, count(*) AS n, sum(bits) AS bits FROM leaf GROUP BY perm) l JOIN (SELECT perm, sum(d + 1) AS bits, sum(n) AS n FROM inner_nodes GROUP BY perm) i USING (perm)"))
 def perm_trie_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PM.trie_sizes(annotation(spark, sf_dir), PM.random_permutations(colors(spark, sf_dir), 5))
 
@@ -441,8 +450,8 @@ raw AS MATERIALIZED (SELECT edge_id, color_id FROM (SELECT edge_id, m.color_id,
 
 
 def _filters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matrix, bloom_meta, bloom_bits), sized by each colour's distinct k-mers."""
-    m = matrix(spark, sf_dir)
+    """(matrix, bloom_meta, bloom_bits), sized by each colour's distinct k-mers; the matrix is made once."""
+    m = cut(matrix(spark, sf_dir))
     pairs = m.select("kmer", F.explode("colors").alias("color_id"))
     meta = BL.sizes(pairs, FACTOR, HASHES)  # pairs are distinct
     return m, meta, BL.build(pairs, meta)
@@ -452,6 +461,20 @@ def _raw(m: DataFrame, meta: DataFrame, bits: DataFrame) -> DataFrame:
     return BL.probe(m.select("kmer"), meta, bits).join(m.select("edge_id", "kmer"), "kmer").select("edge_id", "color_id")
 
 
+#: What path correction keeps: each edge walks forwards, then backwards, over nodes with one way in and one out.
+WALK_SQL = (
+    PARTS_SQL.replace(GRAPH_SQL, BLOOM_SQL)
+    + f""", degree AS MATERIALIZED ({DEGREES_SQL}),
+solid AS MATERIALIZED (SELECT * FROM parts WHERE NOT contains(kmer, '$')),
+link AS MATERIALIZED (SELECT p.edge_id AS a, f.next_id AS b FROM solid p JOIN (SELECT src, arg_min(edge_id, rank) AS next_id FROM solid GROUP BY src) f ON f.src = p.dst JOIN degree d ON d.edge_id = f.next_id WHERE d.out_degree = 1 AND d.in_degree = 1),
+mask AS MATERIALIZED (SELECT edge_id AS e, bit_or(1::BIGINT << color_id) AS m FROM raw JOIN solid USING (edge_id) GROUP BY edge_id),
+ahead (e, here, m, quiet, i) AS (SELECT e, e, m, 0, 0 FROM mask UNION ALL SELECT w.e, l.b, w.m & o.m, CASE WHEN w.m & o.m = w.m THEN w.quiet + 1 ELSE 0 END, w.i + 1 FROM ahead w JOIN link l ON l.a = w.here JOIN mask o ON o.e = l.b WHERE w.quiet < 50 AND w.m & o.m <> 0),
+turned AS MATERIALIZED (SELECT e, arg_max(m, i) AS m FROM ahead GROUP BY e),
+back (e, here, m, quiet, i) AS (SELECT e, e, m, 0, 0 FROM turned UNION ALL SELECT w.e, l.a, w.m & o.m, CASE WHEN w.m & o.m = w.m THEN w.quiet + 1 ELSE 0 END, w.i + 1 FROM back w JOIN link l ON l.b = w.here JOIN mask o ON o.e = l.a WHERE w.quiet < 50 AND w.m & o.m <> 0),
+fixed AS MATERIALIZED (SELECT e AS edge_id, color_id FROM (SELECT e, arg_max(m, i) AS m FROM back GROUP BY e) x, colors WHERE (m >> color_id) & 1 = 1)"""
+)
+
+
 @query("SELECT p, -log2(p) / ln(2.0::DOUBLE) AS bits, ceil(-log2(p) / ln(2.0::DOUBLE) * ln(2.0::DOUBLE) - 1e-12)::INT AS hashes, exp(p * 10 * -(ln(2.0::DOUBLE) * ln(2.0::DOUBLE))) AS rate_for_10p FROM (SELECT n_nationkey, 1.0::DOUBLE / (n_nationkey + 2) AS p FROM nation)")
 def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.lit(1.0) / (F.col("n_nationkey") + 2)).alias("p"))
@@ -477,20 +500,20 @@ def bloom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(
-        BLOOM_SQL,
-        """SELECT count(*) AS n_edges, sum(bits)::BIGINT AS n_bits_exact, sum(fp)::BIGINT AS fp_bits_pre, sum(fp)::BIGINT AS fp_bits_post, sum(fn)::BIGINT AS fn_bits_post, count(*) FILTER (fp > 0) AS fp_edges_pre, count(*) FILTER (fp > 0) AS fp_edges_post, sum(fp)::BIGINT / count(*)::DOUBLE AS fp_per_edge_pre, sum(fp)::BIGINT / count(*)::DOUBLE AS fp_per_edge_post
-FROM (SELECT e.edge_id, count(x.e) AS bits, count(*) FILTER (x.r = 1 AND x.e IS NULL) AS fp, count(*) FILTER (x.e = 1 AND x.r IS NULL) AS fn FROM edges e LEFT JOIN (SELECT edge_id, color_id, a.e, r.r FROM (SELECT *, 1 AS e FROM anno) a FULL JOIN (SELECT *, 1 AS r FROM raw) r USING (edge_id, color_id)) x USING (edge_id) WHERE NOT contains(e.kmer, '$') GROUP BY e.edge_id)""",
-    )
+    "WITH RECURSIVE "
+    + WALK_SQL
+    + """ SELECT count(*) AS n_edges, sum(bits)::BIGINT AS n_bits_exact, sum(pre)::BIGINT AS fp_bits_pre, sum(post)::BIGINT AS fp_bits_post, sum(fn)::BIGINT AS fn_bits_post, count(*) FILTER (pre > 0) AS fp_edges_pre, count(*) FILTER (post > 0) AS fp_edges_post, sum(pre)::BIGINT / count(*)::DOUBLE AS fp_per_edge_pre, sum(post)::BIGINT / count(*)::DOUBLE AS fp_per_edge_post
+FROM (SELECT edge_id, count(x.e) AS bits, count(*) FILTER (x.r = 1 AND x.e IS NULL) AS pre, count(*) FILTER (x.c = 1 AND x.e IS NULL) AS post, count(*) FILTER (x.e = 1 AND x.c IS NULL) AS fn FROM solid LEFT JOIN (SELECT edge_id, color_id, e, r, c FROM (SELECT *, 1 AS e FROM anno) FULL JOIN (SELECT *, 1 AS r FROM raw) USING (edge_id, color_id) FULL JOIN (SELECT *, 1 AS c FROM fixed) USING (edge_id, color_id)) x USING (edge_id) GROUP BY edge_id)"""
 )
 def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation without correction (cutoff 0)."""
+    """Evaluation before and after path correction."""
     m, meta, bits = _filters(spark, sf_dir)
-    raw = _raw(m, meta, bits)
-    return BL.evaluation(m.select("edge_id", "kmer"), m.select("edge_id", F.explode("colors").alias("color_id")), raw, raw)
+    raw = cut(_raw(m, meta, bits))
+    e = m.select("edge_id", "kmer")
+    return BL.evaluation(e, m.select("edge_id", F.explode("colors").alias("color_id")), raw, BL.corrected(e, raw, K))
 
 
-@query()
+@query("WITH RECURSIVE " + WALK_SQL + " SELECT edge_id, string_agg(color_id::VARCHAR, ',' ORDER BY color_id) AS colors FROM fixed GROUP BY edge_id")
 def bloom_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path-corrected rows, cutoff 50."""
     m, meta, bits = _filters(spark, sf_dir)

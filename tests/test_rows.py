@@ -70,6 +70,25 @@ def test_permutations(spark, data):
     distinct = len({tuple(r) for r in rows if r})
     assert [r["perm"] for r in sizes] == [0, 1, 2, 3]
     assert all(r["n_nodes"] == 2 * distinct - 1 for r in sizes)
+    orders = {}
+    for perm, old, new in PM.random_permutations(colors, 3).collect():
+        orders.setdefault(perm, {})[old] = new
+    assert orders[0] == {i: i for i in range(10)}
+    assert all(sorted(o.values()) == list(range(10)) for o in orders.values())
+    for r in sizes:
+        words = ["".join("1" if i in moved else "0" for i in range(10)) for moved in ({orders[r["perm"]][c] for c in row} for row in rows if row)]
+        assert (r["alpha_bits"], r["beta_bits"]) == plain_trie(words)
+
+
+def plain_trie(words, depth=0):
+    """Label and branching bits of the tree over bit strings, node by node."""
+    if len(set(words)) == 1:
+        return max(len(words[0].rstrip("0")) - depth, 0) + 1, 0
+    d = depth
+    while len({w[d] for w in words}) == 1:
+        d += 1
+    a, b = (plain_trie([w for w in words if w[d] == x], d + 1) for x in "01")
+    return a[0] + b[0] + d - depth + 1, a[1] + b[1] + len(words)
 
 
 def test_cooccurrence(data):
