@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -34,12 +35,14 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
             at += n
         assert r["text"] == "".join(kept)
         assert r["n_chars"] == len(r["text"])
-    want = mixing.mix_sources(spark.read.parquet(str(tmp_path / "2"))).collect()
-    times = {r["doc_id"]: r["passes"] + (r["head_words"] > 0 and 2 * r["head_words"] >= r["size"]) for r in want}
+    keyed = spark.read.parquet(str(tmp_path / "2")).select(F.xxhash64(*cp.COLUMNS).alias("key"), "*")
+    doc_of = {r["key"]: r["doc_id"] for r in keyed.select("key", "doc_id").collect()}
+    want = mixing.mix_sources(keyed, identity=("key",)).collect()
+    times = {doc_of[r["key"]]: r["passes"] + (r["head_words"] > 0 and 2 * r["head_words"] >= r["size"]) for r in want}
     drawn = {}
     for r in mixture:
         drawn[r["doc_id"]] = drawn.get(r["doc_id"], 0) + 1
-    assert sum(abs(drawn.get(d, 0) - n) for d, n in times.items()) <= 2 * len({r["source"] for r in passages}) + len(times) // 2
+    assert drawn == {d: n for d, n in times.items() if n}
     assert all(n <= 2 for n in drawn.values())
     t = Tokenizer.from_file(bpe.default_path())
     texts = {r["doc_id"]: r["text"] for r in passages}
