@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embdedup, langid, minhash, mixing, quality, sharding, suffix, superkmer
+from . import ann, bpe, embdedup, fim, langid, minhash, mixing, quality, sharding, suffix, superkmer
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10(_documents(spark, sf_dir))
 
 
+def op12_lookaround_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op12(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_multiprobe_nearest, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op6_nn_descent_dedup, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards]
+    found = [op1_bpe_round_trip, op2_multiprobe_nearest, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op6_nn_descent_dedup, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards, op12_lookaround_fim]
     return {f.__name__: f for f in found}
 
 
@@ -94,6 +98,13 @@ rest AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM (SELECT doc_id,
 SELECT d.doc_id, len(w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(rest.s, '')) AS kept_sha256 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id) LEFT JOIN rest USING (doc_id)"""
 
 
+OP12_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')) AS n, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h FROM documents),
+r AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a+1:b], '') AS middle, array_to_string(u[b+1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that have one; the others are held against plain versions in tests/llm."""
-    return {"op3_sketch_near_dedup": OP3_SQL, "op6_nn_descent_dedup": OP6_SQL, "op7_suffix_array_dedup": OP7_SQL, "op9_super_kmer_dedup": OP9_SQL}
+    return {"op3_sketch_near_dedup": OP3_SQL, "op6_nn_descent_dedup": OP6_SQL, "op7_suffix_array_dedup": OP7_SQL, "op9_super_kmer_dedup": OP9_SQL, "op12_lookaround_fim": OP12_SQL}
