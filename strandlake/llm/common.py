@@ -241,29 +241,32 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _lower[data]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs outside space and \\t..\\r) of the texts between ``offs``.
+def runs_of(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked bytes in the texts between ``offs``; they never run across texts.
 
-    Returns start and end of each word in ``data`` and the first word of each text (with one
-    entry more at the end). Words never run across texts.
+    Returns start and end of each run and the first run of each text (with one entry more at the end).
     """
-    n = len(data)
+    n = len(inside)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~_space[data]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
     edge = offs[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
-    begins[edge] |= word[edge]
-    ends[edge - 1] |= word[edge - 1]
+    begins[edge] |= inside[edge]
+    ends[edge - 1] |= inside[edge - 1]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(start, offs, side="left")
 
 
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs outside space and \\t..\\r) of the texts between ``offs``, as ``runs_of`` gives them."""
+    return runs_of(~_space[data], offs)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, ... of each range, back to back."""
     total = int(lengths.sum())
