@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, embdedup, fim, langid, lexical, minhash, mixing, quality, sharding, suffix, superkmer
+from . import ann, bpe, embdedup, fim, langid, lexical, minhash, mixing, pii, quality, sharding, suffix, superkmer
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op10(_documents(spark, sf_dir))
 
 
+def op11_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op11(_documents(spark, sf_dir))
+
+
 def op12_lookaround_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.op12(_documents(spark, sf_dir))
 
@@ -62,7 +66,7 @@ def op13_quantised_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_round_trip, op2_multiprobe_nearest, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op6_nn_descent_dedup, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards, op12_lookaround_fim, op13_quantised_search]
+    found = [op1_bpe_round_trip, op2_multiprobe_nearest, op3_sketch_near_dedup, op4_source_mix, op5_quality_fm, op6_nn_descent_dedup, op7_suffix_array_dedup, op8_language_id, op9_super_kmer_dedup, op10_uniform_shards, op11_pii_candidates, op12_lookaround_fim, op13_quantised_search]
     return {f.__name__: f for f in found}
 
 
