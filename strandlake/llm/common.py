@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one pass of a kernel takes; a single longer text is taken alone.
 SLICE_BYTES = 1 << 20
-#: Base of the polynomial hashes (odd, so that it can be inverted modulo 2^64).
+#: Base of the polynomial that picks anchors of windows and n-grams of a few letters (``gram_hashes``).
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
@@ -165,34 +165,46 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-_powers: dict[str, np.ndarray] = {}
+def _sum_mixed(pieces: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, count: np.ndarray, step: int) -> np.ndarray:
+    """Sum over each row's pieces of the piece mixed with a key of its number; ``pieces`` gets places and rows."""
+    keys = mix(np.arange(1, int(count.max(initial=0)) + 2, dtype=U64) * U64(0xD6E8FEB86659FD93))
+    some = np.flatnonzero(count > 0)
+    out = np.zeros(len(start), U64)
+    out[some] = mix(pieces(start[some], some) ^ keys[0])
+    more = np.flatnonzero(count > 1)
+    for lo in range(0, len(more), 1 << 16):
+        rows = more[lo : lo + (1 << 16)]
+        n = count[rows] - 1
+        i = ranges(np.ones(len(rows), np.int64), n)
+        total = np.append(U64(0), np.cumsum(mix(pieces(np.repeat(start[rows], n) + step * i, np.repeat(rows, n)) ^ keys[i])))
+        end = np.cumsum(n)
+        out[rows] += total[end] - total[end - n]
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of BASE and of its inverse modulo 2^64."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            out = np.empty(size, U64)
-            out[0] = 1
-            filled, step = 1, base
-            while filled < size:
-                take = min(filled, size - filled)
-                out[filled : filled + take] = out[:take] * U64(step)
-                filled += take
-                step = step * step & MASK
-            _powers[name] = out
-    return _powers["up"][:n], _powers["down"][:n]
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they lie.
 
+    Eight bytes at a time are mixed with their place before they are added up, so there is no
+    arithmetic relation between bytes that makes different spans meet, as there is between the terms of a
+    polynomial. Spans of one length up to eight bytes never meet.
+    """
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 8,), (1,), writeable=False)
+    stop = start + size
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they lie."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    raw = (total[end] - total[start]) * down[start]
-    return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    def pieces(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        left = np.minimum(stop[rows] - at, 8)
+        return eight[at] & (U64(MASK) >> (U64(64) - (left * 8).astype(U64)))
+
+    return mix(_sum_mixed(pieces, start, (size + 7) >> 3, 8) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def run_hashes(units: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The same for runs of 64-bit units: a hash of each units[start:start+length]."""
+    return mix(_sum_mixed(lambda at, rows: units[at], np.asarray(start, np.int64), np.asarray(length, np.int64), 1) + length.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:

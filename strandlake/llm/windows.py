@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, column, freed, gram_hashes, mix, powers, ranges, shuffle_partitions, sliding_min, small_batches, span_hashes, text_slices, whole_runs, word_spans
+from .common import U64, column, freed, gram_hashes, mix, ranges, run_hashes, shuffle_partitions, sliding_min, small_batches, span_hashes, text_slices, whole_runs, word_spans
 
 #: Anchors with more travelling strings than this are split into single windows.
 HOT = 256
@@ -107,10 +107,7 @@ def sequence_hashes(cfg: Windows, data: np.ndarray, units: np.ndarray, start: np
     """64-bit hash of units[start:start+length] of each row."""
     if cfg.unit == "byte":
         return span_hashes(data, start, start + length)
-    up, down = powers(len(units) + 1)
-    total = np.zeros(len(units) + 1, U64)
-    np.cumsum(units * up[:-1], out=total[1:])
-    return mix((total[start + length] - total[start]) * down[start] + length.astype(U64))
+    return run_hashes(units, start, length)
 
 
 def places(docs: Docs, start: np.ndarray) -> np.ndarray:

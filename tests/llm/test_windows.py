@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import suffix, superkmer, windows
+from strandlake.llm import minhash, suffix, superkmer, windows
+from strandlake.llm.common import run_hashes, span_hashes
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string"
@@ -109,3 +110,41 @@ def test_maximal_repeats():
         for d, p in places:
             assert dict(strings)[d][p : p + len(s)] == s
         assert len(places) == sum(t[i : i + len(s)] == s for _, t in strings for i in range(len(t)))
+
+
+def thue_morse(n):
+    """A word over a and b, and its complement: a pair that polynomial hashes modulo powers of two can't tell apart."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x[:n], x[:n].translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_long_words_are_told_apart(spark, n):
+    x, y = thue_morse(n)
+    rest = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([x, *rest])), (2, " ".join([y, *rest]))], SCHEMA)
+    assert [r["n_removed"] for r in superkmer.op9(docs).collect()] == [0, 0]
+    rows = [(1, f"{x} a b c"), (2, f"{y} a b c"), (3, f"{x} a b c")]
+    found = {r["doc_id"]: r["component_id"] for r in minhash.op3(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+    rows = [(1, f"{x}{y}"), (2, f"{y}{x}"), (3, f"{x}-{y}")]
+    got = {r[0]: tuple(r[1:]) for r in suffix.op7(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == plain.bytes_digest(rows)
+
+
+def test_span_hashes_depend_on_bytes_alone():
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 99, 100_000).astype(np.uint8)
+    start, size = rng.integers(0, len(data) - 40, 20_000), rng.integers(0, 40, 20_000)
+    found = {}
+    for a, n, h in zip(start.tolist(), size.tolist(), span_hashes(data, start, start + size).tolist(), strict=True):
+        assert found.setdefault(data[a : a + n].tobytes(), h) == h
+    assert len(set(found.values())) == len(found)
+    units = rng.integers(0, 3, 5000).astype(np.uint64)
+    start, size = rng.integers(0, 4900, 3000), rng.integers(0, 60, 3000)
+    found = {}
+    for a, n, h in zip(start.tolist(), size.tolist(), run_hashes(units, start, size).tolist(), strict=True):
+        assert found.setdefault(units[a : a + n].tobytes(), h) == h
+    assert len(set(found.values())) == len(found)
