@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import colorsets as C
 from strandlake.functions import sequence as S
 
-from .lineage import cut
+from .lineage import cut, few
 
 #: Characters of a sequence that one row carries to the window generator.
 CHUNK = 256
@@ -21,18 +21,44 @@ CHUNK = 256
 PLACE = 1 << 31
 
 
+def _slide(rows: DataFrame, keep: tuple[str, ...], e: int) -> DataFrame:
+    """(*keep, kmer, pos) of the windows of e characters of ``__s``, places counted from ``__at``.
+
+    Sequences are encoded and so have a byte a letter: they are cut as bytes, where any place is reached at once; cutting
+    characters would count them from the start each time. Chunks overlap by e - 1.
+    """
+    begins = F.sequence(F.lit(0), F.length("__s") - e, F.lit(CHUNK))
+    cut_out = F.transform(begins, lambda b: F.struct(b.alias("b"), F.substring(F.col("__s").cast("binary"), b + 1, F.lit(CHUNK + e - 1)).alias("c")))
+    chunks = rows.where(F.length("__s") >= e).select(*keep, "__at", F.explode(cut_out).alias("__x")).select(*keep, (F.col("__at") + F.col("__x.b")).alias("__b"), F.col("__x.c").alias("__c"))
+    placed = chunks.select(*keep, "__b", "__c", F.explode(F.sequence(F.lit(0), F.octet_length("__c") - e)).alias("__p"))
+    return placed.select(*keep, F.substring("__c", F.col("__p") + 1, F.lit(e)).cast("string").alias("kmer"), (F.col("__b") + F.col("__p")).cast("long").alias("pos"))
+
+
 def windows(records: DataFrame, k: int, *, seq: str = "seq", fold: bool = False, rooted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(kmer, pos, *keep): every window of k+1 characters of the encoded, padded sequences.
 
     Sequences shorter than k+1 give none. Long ones are cut into chunks that overlap by k
-    before the windows are made, so that generating them is linear in their length.
+    before the windows are made: the work is linear in their length. A sequence of many rows goes to ``segment_windows``.
     """
-    e = k + 1
-    ready = records.where(F.length(seq) >= e).select(*keep, S.pad(S.encode(F.col(seq), fold), k, rooted).alias("__s"))
-    begins = F.sequence(F.lit(0), F.length("__s") - e, F.lit(CHUNK))
-    chunks = ready.select(*keep, F.explode(begins).alias("__b"), "__s").select(*keep, "__b", F.substring("__s", F.col("__b") + 1, F.lit(CHUNK + k)).alias("__c"))
-    places = F.sequence(F.lit(0), F.length("__c") - e)
-    return chunks.select(*keep, "__b", "__c", F.explode(places).alias("__p")).select(*keep, F.substring("__c", F.col("__p") + 1, F.lit(e)).alias("kmer"), (F.col("__b") + F.col("__p")).cast("long").alias("pos"))
+    ready = records.where(F.length(seq) > k).select(*keep, S.pad(S.encode(F.col(seq), fold), k, rooted).alias("__s"), F.lit(0).cast("long").alias("__at"))
+    return _slide(ready, keep, k + 1)
+
+
+def segment_windows(segments: DataFrame, k: int, *, fold: bool = False, rooted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same windows of sequences that come as segments (start, seq, halo), each row by itself.
+
+    ``halo`` is the k letters that follow a segment, fewer at the sequence's end, so a window lies in the
+    segment that it begins in, and long sequences are the work of many tasks. Places are those in the whole padded sequence.
+    """
+    text = F.concat("seq", F.substring("halo", 1, k))
+    end = F.octet_length("halo") < k
+    ready = segments.where(F.col("start") + F.length(text) > k).where((F.length("seq") > 0) | (F.col("start") == 0))
+    encoded = S.encode(text, fold)
+    if rooted:
+        return _slide(ready.select(*keep, encoded.alias("__s"), F.col("start").alias("__at")), keep, k + 1)
+    first = F.col("start") == 0
+    padded = F.concat(F.when(first, S.END * (k + 1)).otherwise(""), encoded, F.when(end, S.END).otherwise(""))
+    return _slide(ready.select(*keep, padded.alias("__s"), F.when(first, F.lit(0)).otherwise(F.col("start") + k + 1).cast("long").alias("__at")), keep, k + 1)
 
 
 def with_reverse(records: DataFrame, seq: str = "seq") -> DataFrame:
@@ -41,36 +67,39 @@ def with_reverse(records: DataFrame, seq: str = "seq") -> DataFrame:
     return records.withColumn("__x", F.explode(both)).withColumn("strand", F.col("__x.strand")).withColumn(seq, F.col("__x.s")).drop("__x")
 
 
-def occurrence_order(rec_ord: Column, pos: Column) -> Column:
-    """First-seen order as one long; for files and strands fold them into rec_ord first."""
-    return rec_ord.cast("long") * PLACE + pos
-
+def occurrence_order(rec_ord: Column, pos: Column, wide: bool = False) -> Column:
+    """First-seen order as one number; for files and strands fold them into rec_ord first.
 
-#: Bands that rows are numbered in side by side.
-BANDS = 256
+    A long holds record numbers below 2^32 and places below 2^31; ``wide`` (see ``wide_order``) is a decimal for all others.
+    """
+    if wide:
+        return rec_ord.cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)") + pos.cast("decimal(13,0)")
+    return rec_ord.cast("long") * PLACE + pos
 
 
-def _band(column: str, bounds: list) -> Column:
-    """Number of ``bounds`` (ascending) that are not above the column's value, by halving."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    return F.when(F.col(column) < bounds[mid], _band(column, bounds[:mid])).otherwise(F.lit(mid + 1) + _band(column, bounds[mid + 1 :]))
+def wide_order(records: DataFrame, rec_ord: str = "rec_ord", length: Column | None = None) -> bool:
+    """Whether the record numbers (or lengths, if given) need the wide form of ``occurrence_order``: a look at the narrow columns."""
+    longest = F.lit(0) if length is None else F.max(length)
+    seen = records.agg(F.max(F.abs(F.col(rec_ord).cast("decimal(20,0)"))).alias("most"), longest.alias("longest")).first()
+    return (seen["most"] or 0) >= 1 << 31 or (seen["longest"] or 0) >= PLACE - 1024
 
 
-def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Add dense ids from 0 in the order of a long column of distinct values.
+def dense_ids(df: DataFrame, order: str | list[str], name: str) -> DataFrame:
+    """Add dense ids from 0 in the order of columns whose values are distinct together.
 
-    Rows are numbered within bands between sampled quantiles and the bands' sizes are added up,
-    so no task numbers them all, however the values lie. ``df`` is written first, as it is read three times.
+    One exchange by ranges sorts the rows over all tasks; each row is numbered within its task and the tasks' counts are
+    added up (one number a task comes to the driver).
     """
-    df = cut(df)
-    bounds = sorted(set(df.approxQuantile(order, [i / BANDS for i in range(1, BANDS)], 0.25 / BANDS)))
-    banded = df.withColumn("__band", _band(order, [int(b) for b in bounds]))
-    before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = banded.groupBy("__band").agg(F.count("*").alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy("__band").orderBy(order)
-    return banded.withColumn("__i", F.row_number().over(within) - 1).join(F.broadcast(offsets), "__band").withColumn(name, (F.col("__i") + F.col("__off")).cast("long")).drop("__band", "__i", "__off")  # BANDS rows at most
+    by = [order] if isinstance(order, str) else order
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()))
+    task, inside = F.call_function("shiftright", F.col("__m"), F.lit(33)), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for r in sorted(ranged.groupBy(task.alias("t")).count().collect()):  # a row a task
+        offsets.append((r["t"], before))
+        before += r["count"]
+    table = df.sparkSession.createDataFrame(offsets, "__t long, __off long")
+    return ranged.withColumn("__t", task).join(F.broadcast(table), "__t").withColumn(name, (F.col("__off") + inside).cast("long")).drop("__t", "__off", "__m")  # a row a task
 
 
 def build_edges(occurrences: DataFrame, order: Column) -> DataFrame:
@@ -82,8 +111,8 @@ def build_edges(occurrences: DataFrame, order: Column) -> DataFrame:
 def color_table(records: DataFrame, name: str, order: str, prefix: Column | None = None) -> DataFrame:
     """(color_id, name, is_prefix): ids dense in first-seen order."""
     first = records.groupBy(F.col(name).alias("name")).agg(F.min(order).alias("__first"))
-    ids = first.withColumn("color_id", (F.row_number().over(Window.orderBy("__first", "name")) - 1).cast("int"))
-    return ids.select("color_id", "name", (F.lit(False) if prefix is None else prefix).alias("is_prefix"))
+    ids = dense_ids(first, ["__first", "name"], "color_id")
+    return ids.select(F.col("color_id").cast("int"), "name", (F.lit(False) if prefix is None else prefix).alias("is_prefix"))
 
 
 def annotate(occurrences: DataFrame, edges: DataFrame, colors: DataFrame, name: str) -> DataFrame:
@@ -147,6 +176,18 @@ def map_colors(queries: DataFrame, edges: DataFrame, annotation: DataFrame, colo
     return out.withColumn("colors", F.transform("__c", lambda x: x["color_id"])).withColumn("color_names", F.transform("__c", lambda x: x["name"])).drop("__c")
 
 
+def map_rows(queries: DataFrame, matrix: DataFrame, colors: DataFrame, k: int, kmer: str = "query") -> DataFrame:
+    """The same from rows (edge_id, kmer, colors): one join with the queries; each distinct set is named once."""
+    at = matrix.select("edge_id", F.col("kmer").alias("__kmer"), "colors")
+    valid = F.length(kmer) == k + 1
+    hits = queries.withColumn("valid", valid).join(at, F.col("valid") & (F.col(kmer) == F.col("__kmer")), "left").drop("__kmer")
+    each = matrix.select("colors").distinct().select("colors", F.explode("colors").alias("color_id")).join(colors.select("color_id", "name"), "color_id")
+    named = each.groupBy("colors").agg(F.array_sort(F.collect_list(F.struct("color_id", "name"))).alias("__n")).select("colors", F.transform("__n", lambda x: x["name"]).alias("color_names"))
+    none = F.array()
+    out = hits.join(few(named), "colors", "left")
+    return out.withColumn("colors", F.coalesce("colors", none.cast("array<int>"))).withColumn("color_names", F.coalesce("color_names", none.cast("array<string>")))
+
+
 def has_color(queries: DataFrame, edges: DataFrame, annotation: DataFrame, color_id: int) -> DataFrame:
     """Queries (kmer) whose edge carries one colour."""
     wanted = annotation.where(F.col("color_id") == color_id).join(edges, "edge_id").select("kmer")

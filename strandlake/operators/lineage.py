@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,3 +20,13 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandlake-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+#: A narrow table that is counted and found shorter than this is broadcast.
+BROADCAST_ROWS = 1 << 17
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A narrow table, written, and marked for a broadcast if it is counted and found short; a longer one is shuffled."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

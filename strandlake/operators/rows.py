@@ -96,8 +96,13 @@ def pairwise(rows: DataFrame, fold, name: str) -> DataFrame:
 
 
 def cooccurrence(annotation: DataFrame, key: str = "edge_id") -> DataFrame:
-    """(a, b, n): how many rows carry both colours, a < b; equal rows are expanded once."""
-    sets = annotation.groupBy(key).agg(F.array_sort(F.collect_set("color_id")).alias("colors")).groupBy("colors").agg(F.count("*").alias("n"))
+    """(a, b, n): how many rows carry both colours, a < b."""
+    return cooccurrence_of_sets(annotation.groupBy(key).agg(F.array_sort(F.collect_set("color_id")).alias("colors")))
+
+
+def cooccurrence_of_sets(rows: DataFrame) -> DataFrame:
+    """The same from rows with their colours; equal rows are expanded once."""
+    sets = rows.groupBy("colors").agg(F.count("*").alias("n"))
     a = sets.select("colors", "n", F.explode("colors").alias("a"))
     pairs = a.select("n", "a", F.explode(F.filter("colors", lambda c: c > F.col("a"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))

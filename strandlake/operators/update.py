@@ -17,12 +17,10 @@ def new_edges(edges: DataFrame, occurrences: DataFrame, order: Column) -> DataFr
 
 def new_colors(colors: DataFrame, records: DataFrame, name: str, order: str) -> DataFrame:
     """Colours that ``records`` add, classes (is_prefix, where records have it) among them; names that are known keep their ids."""
-    from pyspark.sql import Window
-
     prefix = F.max("is_prefix") if "is_prefix" in records.columns else F.lit(False)
     fresh = records.groupBy(F.col(name).alias("name")).agg(F.min(order).alias("__first"), prefix.alias("is_prefix")).join(colors.select("name"), "name", "left_anti")
     base = colors.agg((F.coalesce(F.max("color_id"), F.lit(-1)) + 1).alias("__base"))
-    numbered = fresh.withColumn("__i", F.row_number().over(Window.orderBy("__first", "name")) - 1)
+    numbered = dense_ids(fresh, ["__first", "name"], "__i")
     return numbered.join(F.broadcast(base)).select((F.col("__i") + F.col("__base")).cast("int").alias("color_id"), "name", "is_prefix")
 
 

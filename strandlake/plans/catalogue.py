@@ -19,7 +19,7 @@ from strandlake.operators import graph as G
 from strandlake.operators import permute as PM
 from strandlake.operators import rows as R
 from strandlake.operators import update as U
-from strandlake.operators.lineage import cut
+from strandlake.operators.lineage import cut, few
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
 from strandlake.sources import variants as V
@@ -64,8 +64,9 @@ def occurrences(spark: SparkSession, sf_dir: str, only: Column | None = None) ->
     return G.windows(found if only is None else found.where(only), K, fold=True, keep=("doc_id", "source"))
 
 
-def order() -> Column:
-    return G.occurrence_order(F.col("doc_id"), F.col("pos"))
+def order(spark: SparkSession, sf_dir: str) -> Column:
+    wide = G.wide_order(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
+    return G.occurrence_order(F.col("doc_id"), F.col("pos"), wide)
 
 
 def summary(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def summary(spark: SparkSession, sf_dir: str, only: Column | None = None) -> Dat
 
     Windows are folded by (kmer, source) first, so what is shuffled is a row per distinct pair and task.
     """
-    pairs = occurrences(spark, sf_dir, only).groupBy("kmer", "source").agg(F.min(order()).alias("first"), F.count("*").alias("n"))
+    pairs = occurrences(spark, sf_dir, only).groupBy("kmer", "source").agg(F.min(order(spark, sf_dir)).alias("first"), F.count("*").alias("n"))
     return pairs.select("kmer", "source", "first", "n")
 
 
@@ -88,11 +89,15 @@ def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.color_table(docs, "source", "doc_id", F.regexp_extract("name", r"(\d+)$", 1).cast("int") % 3 == 0)
 
 
+def color_sets(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """(kmer, first, colors): the matrix without numbers, for all that doesn't show them."""
+    named = summary(spark, sf_dir, only).join(few(colors(spark, sf_dir)), F.col("source") == F.col("name"))
+    return named.groupBy("kmer").agg(F.min("first").alias("first"), F.array_sort(F.collect_set("color_id")).alias("colors"))
+
+
 def matrix(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     """(edge_id, kmer, colors)."""
-    named = summary(spark, sf_dir, only).join(F.broadcast(colors(spark, sf_dir)), F.col("source") == F.col("name"))  # one row per source
-    sets = named.groupBy("kmer").agg(F.min("first").alias("first"), F.array_sort(F.collect_set("color_id")).alias("colors"))
-    return G.dense_ids(sets, "first", "edge_id").select("edge_id", "kmer", "colors")
+    return G.dense_ids(color_sets(spark, sf_dir, only), "first", "edge_id").select("edge_id", "kmer", "colors")
 
 
 def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,8 +234,7 @@ def prev_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(GRAPH_SQL, f"SELECT kmer, {TEXT.format('cs')} AS colors FROM mat JOIN edges ON edge_id = row_id"))
 def annotation_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = summary(spark, sf_dir).join(F.broadcast(colors(spark, sf_dir)), F.col("source") == F.col("name"))  # one row per source
-    return named.groupBy("kmer").agg(C.text(F.array_sort(F.collect_set("color_id"))).alias("colors"))
+    return color_sets(spark, sf_dir).select("kmer", C.text(F.col("colors")).alias("colors"))
 
 
 @query(_with(GRAPH_SQL, "SELECT kmer, bit_or(1::BIGINT << color_id)::VARCHAR AS words FROM anno JOIN edges USING (edge_id) GROUP BY kmer"))
@@ -248,16 +252,16 @@ def color_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colors(spark, sf_dir)
 
 
-def _pieces_of(text: DataFrame, column: str, n: int) -> DataFrame:
-    """(query): every run of n letters of whole texts, by chunks."""
-    chunk = text.where(F.length(column) >= n).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(column) - n + 1, F.lit(G.CHUNK)), lambda b: F.substring(F.col(column), b, F.lit(G.CHUNK + n - 1)))).alias("c"))
-    return chunk.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - n + 1), lambda p: F.substring(F.col("c"), p, F.lit(n)))).alias("query")).distinct()
-
-
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs of 8 letters of whole texts, as they stand and encoded, and of 7 encoded ones (a wrong length)."""
-    text = records(spark, sf_dir).select("seq", S.encode(F.col("seq"), True).alias("enc"))
-    return _pieces_of(text, "seq", 8).union(_pieces_of(text, "enc", 8)).union(_pieces_of(text, "enc", 7)).distinct()
+    text = records(spark, sf_dir)
+    pieces = F.regexp_extract_all("seq", F.lit(r"(?s).{1,%d}" % G.CHUNK), F.lit(0))  # cut once from front to back
+    following = F.transform(pieces, lambda c, i: F.concat(c, F.coalesce(F.substring(F.get(pieces, i + 1), 1, 7), F.lit(""))))
+    chunks = text.select(F.explode(following).alias("c")).where(F.length("c") >= 8)
+    runs = chunks.select("c", F.explode(F.sequence(F.lit(1), F.length("c") - 7)).alias("p")).select(F.substring("c", F.col("p"), F.lit(8)).alias("query"))
+    for n in (8, 7):
+        runs = runs.union(G.windows(text, n - 1, fold=True, rooted=True).select(F.col("kmer").alias("query")))
+    return runs.distinct()
 
 
 def _pieces_sql(column: str, n: int) -> str:
@@ -275,8 +279,7 @@ def map_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(GRAPH_SQL + ", " + PROBES_SQL, "SELECT query, edge_id, coalesce(string_agg(color_id::VARCHAR, ',' ORDER BY color_id), '') AS colors, coalesce(string_agg(name, ',' ORDER BY color_id), '') AS color_names FROM probes LEFT JOIN edges ON kmer = query LEFT JOIN anno USING (edge_id) LEFT JOIN colors USING (color_id) GROUP BY query, edge_id"))
 def map_kmer_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matrix(spark, sf_dir)
-    out = G.map_colors(_probes(spark, sf_dir), m.select("edge_id", "kmer"), m.select("edge_id", F.explode("colors").alias("color_id")), colors(spark, sf_dir), K)
+    out = G.map_rows(_probes(spark, sf_dir), matrix(spark, sf_dir), colors(spark, sf_dir), K)
     return out.select("query", "edge_id", C.text(F.col("colors")).alias("colors"), F.array_join("color_names", ",").alias("color_names"))
 
 
@@ -315,19 +318,19 @@ def row_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(GRAPH_SQL, "SELECT a.color_id AS a, b.color_id AS b, count(*) AS n FROM anno a JOIN anno b ON a.edge_id = b.edge_id AND a.color_id < b.color_id GROUP BY ALL"))
 def color_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.cooccurrence(annotation(spark, sf_dir))
+    return R.cooccurrence_of_sets(color_sets(spark, sf_dir))
 
 
 @query(_with(GRAPH_SQL, "SELECT count(*) AS n_rows, (SELECT count(*) FROM colors) AS n_cols, sum(len(cs))::BIGINT AS set_bits, 100.0::DOUBLE * sum(len(cs))::BIGINT / (count(*) * (SELECT count(*) FROM colors)) AS density, count(DISTINCT cs) AS n_unique, greatest(count(DISTINCT cs) - 1, 0) AS n_internal FROM mat"))
 def matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = colors(spark, sf_dir).agg(F.count("*").alias("__colors"))
-    bits = rows(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.size("colors")).cast("long").alias("set_bits"), F.count("*").alias("n_unique"))
+    bits = color_sets(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.size("colors")).cast("long").alias("set_bits"), F.count("*").alias("n_unique"))
     return bits.join(F.broadcast(n)).select("n_rows", F.col("__colors").alias("n_cols"), "set_bits", (F.lit(100.0) * F.col("set_bits") / (F.col("n_rows") * F.col("__colors"))).alias("density"), "n_unique", F.greatest(F.col("n_unique") - 1, F.lit(0)).alias("n_internal"))
 
 
 @query(_with(PARTS_SQL, "SELECT (SELECT count(*) FROM mat) AS n_rows, (SELECT count(DISTINCT cs) FROM mat) AS n_unique_rows, (SELECT count(DISTINCT src) FROM parts) AS n_unique_nodes"))
 def unique_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = G.with_parts(matrix(spark, sf_dir), K)
+    m = G.with_parts(color_sets(spark, sf_dir), K)
     return m.agg(F.count("*").alias("n_rows"), F.countDistinct("colors").alias("n_unique_rows"), F.countDistinct("src").alias("n_unique_nodes"))
 
 
@@ -449,12 +452,11 @@ raw AS MATERIALIZED (SELECT edge_id, color_id FROM (SELECT edge_id, m.color_id,
 )
 
 
-def _filters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matrix, bloom_meta, bloom_bits), sized by each colour's distinct k-mers; the matrix is made once."""
-    m = cut(matrix(spark, sf_dir))
+def _filters(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bloom_meta, bloom_bits) of rows with kmer and colors, sized by each colour's distinct k-mers."""
     pairs = m.select("kmer", F.explode("colors").alias("color_id"))
     meta = BL.sizes(pairs, FACTOR, HASHES)  # pairs are distinct
-    return m, meta, BL.build(pairs, meta)
+    return meta, BL.build(pairs, meta)
 
 
 def _raw(m: DataFrame, meta: DataFrame, bits: DataFrame) -> DataFrame:
@@ -484,18 +486,18 @@ def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(BLOOM_SQL, "SELECT color_id, bit FROM bits"))
 def bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filters(spark, sf_dir)[2]
+    return _filters(cut(color_sets(spark, sf_dir)))[1]
 
 
 @query(_with(BLOOM_SQL, "SELECT color_id, n_bits, count(bit) AS n_set, count(bit) / (64.0::DOUBLE * (n_bits // 64 + 1)) AS occupancy FROM meta LEFT JOIN bits USING (color_id) GROUP BY color_id, n_bits"))
 def bloom_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, meta, bits = _filters(spark, sf_dir)
-    return BL.occupancy(meta, bits)
+    return BL.occupancy(*_filters(cut(color_sets(spark, sf_dir))))
 
 
 @query(_with(BLOOM_SQL, "SELECT edge_id, string_agg(color_id::VARCHAR, ',' ORDER BY color_id) AS colors FROM raw GROUP BY edge_id"))
 def bloom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _raw(*_filters(spark, sf_dir))
+    m = matrix(spark, sf_dir)
+    raw = _raw(m, *_filters(m))
     return raw.groupBy("edge_id").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
 
 
@@ -507,8 +509,8 @@ FROM (SELECT edge_id, count(x.e) AS bits, count(*) FILTER (x.r = 1 AND x.e IS NU
 )
 def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation before and after path correction."""
-    m, meta, bits = _filters(spark, sf_dir)
-    raw = cut(_raw(m, meta, bits))
+    m = matrix(spark, sf_dir)
+    raw = cut(_raw(m, *_filters(m)))
     e = m.select("edge_id", "kmer")
     return BL.evaluation(e, m.select("edge_id", F.explode("colors").alias("color_id")), raw, BL.corrected(e, raw, K))
 
@@ -516,8 +518,8 @@ def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH RECURSIVE " + WALK_SQL + " SELECT edge_id, string_agg(color_id::VARCHAR, ',' ORDER BY color_id) AS colors FROM fixed GROUP BY edge_id")
 def bloom_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path-corrected rows, cutoff 50."""
-    m, meta, bits = _filters(spark, sf_dir)
-    fixed = BL.corrected(m.select("edge_id", "kmer"), _raw(m, meta, bits), K)
+    m = matrix(spark, sf_dir)
+    fixed = BL.corrected(m.select("edge_id", "kmer"), _raw(m, *_filters(m)), K)
     return fixed.groupBy("edge_id").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
 
 
@@ -535,11 +537,11 @@ def graph_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph of the even documents, grown by the odd ones."""
     docs = records(spark, sf_dir)
     even, odd = F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1
-    first = occurrences(spark, sf_dir, even)
-    base = G.build_edges(first, order())
+    first = summary(spark, sf_dir, even)
+    base = G.build_edges(first, F.col("first"))
     base_colors = G.color_table(docs.where(even), "source", "doc_id")
     base_rows = G.annotate(first, base, base_colors, "source")
-    all_edges, _, rows_ = U.update(base, base_colors, base_rows, docs.where(odd), occurrences(spark, sf_dir, odd), order(), "source", "doc_id")
+    all_edges, _, rows_ = U.update(base, base_colors, base_rows, docs.where(odd), summary(spark, sf_dir, odd), F.col("first"), "source", "doc_id")
     sets = rows_.groupBy("edge_id").agg(C.text(F.array_sort(F.collect_set("color_id"))).alias("colors"))
     return all_edges.join(sets, "edge_id")
 
