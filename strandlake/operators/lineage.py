@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the session names and go on from the written rows.
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, which driver and executors share.
 
     A folder of our own is used only where ``spark.checkpoint.dir`` is unset, as in local tests.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local["):
+        if named is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandlake-ckpt-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandlake-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder that the session names and go on from the written rows."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -19,10 +19,12 @@ from strandlake.operators import graph as G
 from strandlake.operators import permute as PM
 from strandlake.operators import rows as R
 from strandlake.operators import update as U
-from strandlake.operators.lineage import cut, few
+from strandlake.operators.lineage import cut, few, new_folder
+from strandlake.sources import clustered as CL
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
 from strandlake.sources import variants as V
+from strandlake.streaming import growth as GR
 
 K = 7
 E = K + 1
@@ -150,6 +152,17 @@ def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(spark, sf_dir).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+@query(_with(WINDOWS_SQL, "SELECT kmer, count(*) AS n, sum(p)::BIGINT AS places, count(DISTINCT doc_id) AS n_records FROM (SELECT doc_id, p, substr(s, (p+1)::INT, 8) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s)-7)) AS p FROM pad)) GROUP BY kmer"))
+def fasta_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as FASTA, read again as segments of 1,000 letters, and the windows of these."""
+    folder = new_folder(spark, "fasta")
+    lines = F.array_join(F.regexp_extract_all(S.encode(F.col("seq"), True), F.lit(".{1,70}"), F.lit(0)), "\n")
+    records(spark, sf_dir).select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), lines)).write.text(folder)
+    parts = SQ.read_fasta_segments(spark, folder, K, 1000)
+    found = G.segment_windows(parts, K, keep=("name",)).groupBy("kmer", "name").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+    return found.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("places").alias("places"), F.count("*").alias("n_records"))
+
+
 @query(
     r"""WITH base AS (SELECT doc_id, source, regexp_replace(translate(text,'acgtn','ACGTN'),'[^ACGTN$]','N','g') AS enc, reverse(translate(regexp_replace(translate(text,'acgtn','ACGTN'),'[^ACGTN$]','N','g'),'ACGT','TGCA')) AS rc FROM documents WHERE length(text) >= 8),
 both_ AS (SELECT 0 AS strand, repeat('$',8)||enc||'$' AS s FROM base UNION ALL SELECT 1, repeat('$',8)||rc||'$' FROM base)
@@ -546,6 +559,29 @@ def graph_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_edges.join(sets, "edge_id")
 
 
+@query(_sql["graph_update"])
+def graph_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph as versions of clustered tables: the even documents, what the odd ones add, and nothing that comes again."""
+    docs = records(spark, sf_dir).select(F.col("doc_id").alias("rec_ord"), F.col("source").alias("color"), "seq")
+    base = new_folder(spark, "graph")
+    for version, part in enumerate((F.col("rec_ord") % 2 == 0, F.col("rec_ord") % 2 == 1, F.col("rec_ord") % 2 == 1)):
+        GR.grow(spark, base, docs.where(part), version, K, fold=True)
+    t = CL.tables(spark, base)
+    sets = t["annotation"].groupBy("kmer").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
+    return t["edges"].select("edge_id", "kmer").join(sets, "kmer").select("edge_id", "kmer", "colors")
+
+
+@query(_with(GRAPH_SQL + ", asked AS (SELECT DISTINCT item_id, substr(e, p::INT, 8) AS query FROM (SELECT item_id, e, unnest(range(1, length(e) - 6)) AS p FROM (SELECT item_id, regexp_replace(translate(text,'acgtn','ACGTN'),'[^ACGTN$]','N','g') AS e FROM benchmark)))", "SELECT item_id, query, edge_id, coalesce(string_agg(color_id::VARCHAR, ',' ORDER BY color_id), '') AS colors, coalesce(string_agg(name, ',' ORDER BY color_id), '') AS color_names FROM asked LEFT JOIN edges ON kmer = query LEFT JOIN anno USING (edge_id) LEFT JOIN colors USING (color_id) GROUP BY item_id, query, edge_id"))
+def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of the benchmark's texts, looked up in clustered tables of the documents' graph."""
+    base = new_folder(spark, "graph")
+    GR.grow(spark, base, records(spark, sf_dir).select(F.col("doc_id").alias("rec_ord"), F.col("source").alias("color"), "seq"), 0, K, fold=True)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("seq"))
+    asked = G.windows(items, K, fold=True, rooted=True, keep=("item_id",)).select("item_id", F.col("kmer").alias("query")).distinct()
+    found = CL.looked_up(spark, base, asked)
+    return found.select("item_id", "query", "edge_id", C.text(F.col("colors")).alias("colors"), F.array_join("color_names", ",").alias("color_names"))
+
+
 _CONTIG = "ATGCTCGCGCGCTCTCGCGCA"
 _VARIANTS = [("test", 5, "T", "G", "PASS", "VT=SNP", "1|0 0|1 1|1 0|0"), ("test", 5, "T", "C", "PASS", "AC_AMR=2;AC_AFR=0", ""), ("test", 5, "T", "<CN2>,<CN4>", "PASS", "", ""), ("test", 9, "C", "A,<DEL>,G", "PASS", "", ""), ("test", 7, "G", "A", "q10", "", "")]
 

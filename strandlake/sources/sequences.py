@@ -6,34 +6,146 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import colorsets as C
 from strandlake.functions import sequence as S
+from strandlake.operators.lineage import few
 
-RECORDS = "file string, rec_ord long, name string, seq string"
+from .numbering import lines, numbered
 
 
 def _records(spark: SparkSession, paths: list[str] | str, separator: str) -> DataFrame:
-    """Pieces between separators with their order in each file; files are split where they can be."""
-    text = spark.read.option("lineSep", separator).text(paths)
-    placed = text.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("__block"), F.monotonically_increasing_id().alias("__i"), "value")
-    return placed.where(F.length(F.trim("value")) > 0)
+    """Pieces between separators; files are split where they can be."""
+    return lines(spark, paths, separator).where(F.length(F.trim("value")) > 0)
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
-    within = Window.partitionBy("file").orderBy("__block", "__i")
-    return rows.select("file", (F.row_number().over(within) - 1).cast("long").alias("rec_ord"), "name", "seq")
+def read_fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(file, rec_ord, name, seq); a header is a line that begins with >, the name what stands up to its first white space.
 
+    A record is a row; ``read_fasta_segments`` is for sequences that don't fit one.
+    """
+    pieces = numbered(_records(spark, paths, "\n>"), "rec_ord")
+    parts = F.split(F.regexp_replace("value", "^>", ""), r"\r?\n")
+    name = F.regexp_extract(parts[0], r"^(\S*)", 1)
+    seq = F.regexp_replace(F.array_join(F.slice(parts, 2, F.size(parts)), ""), r"\s", "")
+    return pieces.select("file", "rec_ord", name.alias("name"), seq.alias("seq"))
 
-def read_fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file, rec_ord, name, seq); a header is a line that begins with >, the name what stands up to its first white space."""
-    pieces = _records(spark, paths, "\n>")
-    lines = F.split(F.regexp_replace("value", "^>", ""), r"\r?\n")
-    name = F.regexp_extract(lines[0], r"^(\S*)", 1)
-    seq = F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")
-    return _ordered(pieces.select("file", "__block", "__i", name.alias("name"), seq.alias("seq")))
+
+#: Letters of a segment.
+SEGMENT = 1 << 16
+PIECES = "file string, block long, rec long, name string, at long, piece string, halo string, open boolean"
+
+
+def _pieces(text: DataFrame, k: int, segment: int) -> DataFrame:
+    """Each block's lines as pieces of sequences: rec counts the block's headers (0: before the first), at letters within rec.
+
+    A block's lines come in order. Every header starts a piece, every block ends with one. ``halo`` has the letters of the
+    block behind a piece, k at most; ``open`` marks pieces that the block's end leaves short of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+        waiting: list[list] = []  # the last pieces of out, whose halo isn't full
+        key, rec, name, at, held, size = None, 0, None, 0, [], 0
+
+        def add(body: str) -> None:
+            nonlocal at, waiting
+            for row in waiting:
+                row[6] += body[: k - len(row[6])]
+            waiting = [row for row in waiting if len(row[6]) < k]
+            row = [*key, rec, name, at, body, "", False]
+            out.append(row)
+            waiting.append(row)
+            at += len(body)
+
+        def put() -> None:
+            nonlocal held, size
+            body, held, size = "".join(held), [], 0
+            for lo in range(0, len(body), segment):  # a long line
+                add(body[lo : lo + segment])
+            if not body:
+                add(body)
+
+        def close() -> None:
+            nonlocal waiting
+            put()
+            for row in waiting:
+                row[7] = True
+            waiting = []
+
+        def batch() -> pa.RecordBatch:
+            nonlocal out
+            n = len(out) - len(waiting)
+            cols = list(zip(*out[:n], strict=True)) or [()] * 8
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+            out = out[n:]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+
+        for rows in batches:
+            for file, block, value in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+                if (file, block) != key:
+                    if key is not None:
+                        close()
+                    key, rec, name, at = (file, block), 0, None, 0
+                if value.startswith(">"):
+                    if rec or held or at:
+                        put()
+                    rec, name, at, waiting = rec + 1, value[1:].split(None, 1)[0] if value[1:2].strip() else "", 0, []
+                    continue
+                letters = "".join(value.split())
+                held.append(letters)
+                size += len(letters)
+                if size >= segment:
+                    put()
+            yield batch()
+        if key is not None:
+            close()
+            yield batch()
+
+    return text.select("file", "block", "value").mapInArrow(run, PIECES)
+
+
+def read_fasta_segments(spark: SparkSession, paths: list[str] | str, k: int, segment: int = SEGMENT) -> DataFrame:
+    """(file, rec_ord, name, start, seq, halo): sequences in segments of about ``segment`` letters, each with the k letters that follow.
+
+    A sequence may be longer than a row, a task or a block of the file: lines are read block by block and
+    never moved. What a block leaves open (the record that goes on into it, how long that is so far, the letters
+    beyond its end) comes from the table of blocks. ``graph.segment_windows`` makes the windows. Records without
+    letters are one empty segment; letters before a file's first header belong to no record and are left out.
+    """
+    text = lines(spark, paths)
+    pieces = _pieces(text, k, segment)
+    # one row a block: its headers, letters before the first and after the last header, and its first k letters
+    length = F.col("at") + F.length("piece")
+    front = F.when((F.col("rec") == 0) & (F.col("at") == 0), F.substring(F.concat("piece", "halo"), 1, k))
+    blocks = pieces.groupBy("file", "block").agg(
+        F.max("rec").alias("n"),
+        F.coalesce(F.max(F.when(F.col("rec") == 0, length)), F.lit(0)).alias("head"),
+        F.max(F.when(F.col("open"), length)).alias("tail"),
+        F.coalesce(F.max(front), F.lit("")).alias("opening"),
+        F.max(F.when(F.col("open"), F.col("name"))).alias("open_name"),
+    )
+    order = Window.partitionBy("file").orderBy("block")
+    earlier, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("grp", F.count_if(F.col("n") > 0).over(so_far))
+    blocks = blocks.withColumn("run", F.sum("tail").over(Window.partitionBy("file", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = F.collect_list(F.struct("n", "opening")).over(order.rowsBetween(1, max(k, 1)))  # a block has a letter or a header, so k blocks are enough
+    beyond = F.aggregate(ahead, F.struct(F.lit("").alias("s"), F.lit(True).alias("go")), lambda a, x: F.struct(F.when(a["go"], F.concat(a["s"], x["opening"])).otherwise(a["s"]).alias("s"), (a["go"] & (x["n"] == 0)).alias("go")))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.coalesce(F.lag("run").over(order), F.lit(0)).alias("carried"), F.last("open_name", ignorenulls=True).over(earlier).alias("carried_name"), beyond["s"].alias("beyond"))
+    joined = pieces.join(few(blocks), ["file", "block"])
+    first = F.col("rec") == 0
+    out = joined.select(
+        "file",
+        (F.col("before") + F.col("rec") - 1).alias("rec_ord"),
+        F.when(first, F.col("carried_name")).otherwise(F.col("name")).alias("name"),
+        (F.col("at") + F.when(first, F.col("carried")).otherwise(0)).alias("start"),
+        F.col("piece").alias("seq"),
+        F.when(F.col("open"), F.substring(F.concat("halo", "beyond"), 1, k)).otherwise(F.col("halo")).alias("halo"),
+    )
+    return out.where((F.col("rec_ord") >= 0) & ((F.col("start") == 0) | (F.length("seq") > 0)))
 
 
 def read_fastq(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -43,8 +155,8 @@ def read_fastq(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     piece it starts has no third line with a + and is left out.
     """
     pieces = _records(spark, paths, "\n@").withColumn("l", F.split(F.regexp_replace("value", "^@", ""), r"\r?\n"))
-    whole = pieces.where((F.size("l") >= 3) & F.startswith(F.get("l", F.lit(2)), F.lit("+")))
-    return _ordered(whole.select("file", "__block", "__i", F.regexp_extract(F.col("l")[0], r"^(\S*)", 1).alias("name"), F.col("l")[1].alias("seq")))
+    whole = numbered(pieces.where((F.size("l") >= 3) & F.startswith(F.get("l", F.lit(2)), F.lit("+"))), "rec_ord")
+    return whole.select("file", "rec_ord", F.regexp_extract(F.col("l")[0], r"^(\S*)", 1).alias("name"), F.col("l")[1].alias("seq"))
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -76,8 +188,7 @@ def file_colors(records: DataFrame) -> DataFrame:
 
 def read_index_lists(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(row_id, colors) of text files with the comma-separated set bits of one row a line."""
-    text = spark.read.text(paths).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("b"), F.monotonically_increasing_id().alias("i"), C.from_text(F.col("value")).alias("colors"))
-    return text.select((F.row_number().over(Window.orderBy("file", "b", "i")) - 1).cast("long").alias("row_id"), "colors")
+    return numbered(lines(spark, paths), "row_id", per_file=False).select("row_id", C.from_text(F.col("value")).alias("colors"))
 
 
 def read_raw_matrix(spark: SparkSession, paths: list[str] | str, *, swap_bytes: bool = False) -> DataFrame:

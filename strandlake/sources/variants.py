@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators.lineage import few
+
+from .numbering import lines, numbered
+
 # INFO keys that name population colours
 INFO_KEYS = ["AC_AFR", "AC_EAS", "AC_AMR", "AC_ASJ", "AC_FIN", "AC_NFE", "AC_SAS", "AC_OTH"]
 
 
 def read_vcf(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(file, rec, contig, pos, ref, alts, filters, info, samples array<struct<name, gt>>)."""
-    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("b"), F.monotonically_increasing_id().alias("i"), "value").where(~F.startswith("value", F.lit("##")))
-    heads = lines.where(F.startswith("value", F.lit("#"))).select("file", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("names"))
-    rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).withColumn("f", F.split("value", "\t"))
-    rows = rows.withColumn("rec", F.row_number().over(Window.partitionBy("file").orderBy("b", "i")) - 1).join(F.broadcast(heads), "file", "left")  # one header a file
-    info = F.map_from_entries(F.transform(F.filter(F.split(F.col("f")[7], ";"), lambda x: x != "."), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.split_part(x, F.lit("="), F.lit(2)))))
+    found = lines(spark, paths).where(~F.startswith("value", F.lit("##")))
+    heads = found.where(F.startswith("value", F.lit("#"))).select("file", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("names"))
+    rows = numbered(found.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)), "rec").withColumn("rec", F.col("rec").cast("int")).withColumn("f", F.split("value", "\t"))
+    rows = rows.join(few(heads), "file", "left")
+    entries = F.transform(F.filter(F.split(F.col("f")[7], ";"), lambda x: x != "."), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.split_part(x, F.lit("="), F.lit(2)).alias("v")))
+    keys = F.transform(entries, lambda x: x["k"])
+    info = F.map_from_entries(F.filter(entries, lambda x, i: F.array_position(keys, x["k"]) == i + 1))  # the first of repeated keys counts
     fields = F.when(F.size("f") > 9, F.slice(F.col("f"), 10, 1 << 20)).otherwise(F.array().cast("array<string>"))
     samples = F.transform(F.arrays_zip(F.coalesce("names", F.array().cast("array<string>")).alias("name"), F.transform(fields, lambda x: F.split_part(x, F.lit(":"), F.lit(1))).alias("gt")), lambda z: F.struct(z["name"].alias("name"), z["gt"].alias("gt")))
     return rows.select("file", "rec", F.col("f")[0].alias("contig"), F.col("f")[1].cast("int").alias("pos"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alts"), F.split(F.col("f")[6], ";").alias("filters"), info.alias("info"), samples.alias("samples"))

@@ -4,6 +4,7 @@ import struct
 from pyspark.sql import functions as F
 
 from strandlake.operators import graph as G
+from strandlake.sources import clustered
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
 from strandlake.sources import variants as V
@@ -82,14 +83,15 @@ def test_store_and_streamed_growth(spark, tmp_path):
     q = growth.start(spark, stream, base, str(tmp_path / "ckpt"), 3)
     q.processAllAvailable()
     q.stop()
-    tables = ST.load(spark, f"{base}/v2", growth.NAMES)
+    tables = clustered.tables(spark, base)
     df = spark.createDataFrame(recs, schema)
     occ = G.windows(df, 3, keep=("rec_ord", "color"))
     assert {r[0] for r in tables["edges"].select("kmer").collect()} == {r[0] for r in occ.select("kmer").collect()}
     assert sorted(r[0] for r in tables["edges"].select("edge_id").collect()) == list(range(tables["edges"].count()))
-    named = tables["annotation"].join(tables["edges"], "edge_id").join(tables["colors"], "color_id").select("kmer", F.col("name").alias("color"))
+    named = tables["annotation"].join(tables["colors"], "color_id").select("kmer", F.col("name").alias("color"))
     assert {tuple(r) for r in named.collect()} == {tuple(r) for r in occ.select("kmer", "color").distinct().collect()}
-    ST.write_lines(G.wide(tables["edges"], tables["annotation"]), 2, str(tmp_path / "lines"))
+    ids = tables["annotation"].join(tables["edges"], "kmer").select("edge_id", "color_id")
+    ST.write_lines(G.wide(tables["edges"], ids), 2, str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == tables["edges"].count()
 
 
