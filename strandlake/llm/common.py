@@ -172,8 +172,9 @@ def _sum_mixed(pieces: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np
     out = np.zeros(len(start), U64)
     out[some] = mix(pieces(start[some], some) ^ keys[0])
     more = np.flatnonzero(count > 1)
-    for lo in range(0, len(more), 1 << 16):
-        rows = more[lo : lo + (1 << 16)]
+    some_rows = max(1, (1 << 15) * len(more) // max(int(count[more].sum()), 1))  # about 32,768 pieces at a time
+    for lo in range(0, len(more), some_rows):
+        rows = more[lo : lo + some_rows]
         n = count[rows] - 1
         i = ranges(np.ones(len(rows), np.int64), n)
         total = np.append(U64(0), np.cumsum(mix(pieces(np.repeat(start[rows], n) + step * i, np.repeat(rows, n)) ^ keys[i])))
