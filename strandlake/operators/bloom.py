@@ -2,7 +2,7 @@
 
 bloom_meta (color_id, n_bits, num_hash)    bloom_bits (color_id, bit)
 
-Filters are sets of rows, so build is a distinct and a probe is a join; the number of hash
+Filters are sets of rows, so build is a distinct and a probe is a join by equal keys; the number of hash
 functions is kept with the filters. Sizes count all windows of a colour, or its distinct
 ones with ``sizing="distinct"``, or those of its first record with ``sizing="first"``.
 """
@@ -17,12 +17,16 @@ from strandlake.functions import bloom_math as B
 from strandlake.functions import sequence as S
 
 from .graph import degrees as graph_degrees
-from .graph import next_edges, with_parts
+from .graph import next_edges, sampled, with_parts
 from .lineage import cut
 
 
-def sizes(occurrences: DataFrame, factor: float, num_hash: int, *, color: str = "color_id", sizing: str = "windows", rec: str = "rec_ord") -> DataFrame:
-    """bloom_meta: n_bits = int(factor * elements + 1) for each colour."""
+#: Steps of the ladder of sizes: so many to a doubling, and the most different sizes that a probe takes.
+LADDER, MOST_SIZES = 4, 4096
+
+
+def sizes(occurrences: DataFrame, factor: float, num_hash: int, *, color: str = "color_id", sizing: str = "windows", rec: str = "rec_ord", ladder: bool = False) -> DataFrame:
+    """bloom_meta: n_bits = int(factor * elements + 1) for each colour; with ``ladder`` rounded up to a few common sizes."""
     if sizing == "distinct":
         n = occurrences.groupBy(color).agg(F.countDistinct("kmer").alias("n"))
     elif sizing == "first":
@@ -30,7 +34,10 @@ def sizes(occurrences: DataFrame, factor: float, num_hash: int, *, color: str =
         n = per.groupBy(color).agg(F.min_by("n", rec).alias("n"))
     else:
         n = occurrences.groupBy(color).agg(F.count("*").alias("n"))
-    return n.select(F.col(color).alias("color_id"), F.floor(F.lit(float(factor)) * F.col("n") + 1).cast("long").alias("n_bits"), F.lit(num_hash).alias("num_hash"))
+    bits = F.floor(F.lit(float(factor)) * F.col("n") + 1)
+    if ladder:
+        bits = F.ceil(F.pow(F.lit(2.0), F.ceil(F.log2(bits) * LADDER) / LADDER))
+    return n.select(F.col(color).alias("color_id"), bits.cast("long").alias("n_bits"), F.lit(num_hash).alias("num_hash"))
 
 
 def build(pairs: DataFrame, meta: DataFrame, hashed=B.portable_hash) -> DataFrame:
@@ -40,21 +47,38 @@ def build(pairs: DataFrame, meta: DataFrame, hashed=B.portable_hash) -> DataFram
     return each.select("color_id", F.pmod(hashed(F.col("kmer"), F.col("j")), F.col("n_bits")).alias("bit")).distinct()
 
 
+def sliced(meta: DataFrame, bits: DataFrame) -> DataFrame:
+    """(n_bits, num_hash, bit, colors): all filters of one size together, a row for each bit that one of them has."""
+    each = bits.join(meta, "color_id")
+    return each.groupBy("n_bits", "num_hash", "bit").agg(F.array_sort(F.collect_set("color_id")).alias("colors"))
+
+
 def probe(kmers: DataFrame, meta: DataFrame, bits: DataFrame, *, num_hash: int | None = None, colors: tuple[int, ...] | None = None, hashed=B.portable_hash) -> DataFrame:
     """(kmer, color_id) for every colour whose filter has all bits of the k-mer.
 
-    Each k-mer is hashed once for each function and then meets every filter's size; a colour without a filter never
-    matches. ``num_hash`` probes with another number of functions, ``colors`` with some filters.
+    A k-mer is asked once for each hash function and each size that filters have, by equal keys, whatever the number of
+    colours; the colour lists that it finds are intersected. A colour without a filter never matches. ``num_hash``
+    probes with another number of functions, ``colors`` with some filters. The sizes come to the driver; a graph of
+    more than MOST_SIZES different ones needs filters on the ladder (see ``sizes``).
     """
     if colors is not None:
         meta = meta.where(F.col("color_id").isin(list(colors)))
     probes = meta if num_hash is None else meta.withColumn("num_hash", F.lit(num_hash))
-    most = F.broadcast(probes.agg(F.max("num_hash").alias("most")))  # one row
-    each = kmers.select("kmer").distinct().crossJoin(most).where("most > 0").select("kmer", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("j"))
-    hashes = each.select("kmer", "j", hashed(F.col("kmer"), F.col("j")).alias("h"))
-    at = hashes.join(probes, F.col("j") < F.col("num_hash")).select("kmer", "color_id", "num_hash", F.pmod("h", "n_bits").alias("bit"))
-    hits = at.join(bits, ["color_id", "bit"]).groupBy("kmer", "color_id", "num_hash").agg(F.count("*").alias("n"))
-    return hits.where(F.col("n") == F.col("num_hash")).select("kmer", "color_id")
+    kinds = probes.where("num_hash > 0").select("n_bits", "num_hash").distinct().limit(MOST_SIZES + 1).collect()
+    if len(kinds) > MOST_SIZES:
+        raise ValueError("filters of so many sizes can't be probed together; build them with ladder=True")
+    if not kinds:
+        return kmers.select("kmer", F.lit(0).alias("color_id")).limit(0)
+    most = max(r["num_hash"] for r in kinds)
+    hashes = F.array(*[hashed(F.col("kmer"), F.lit(j)) for j in range(most)])
+    size = F.explode(F.array(*[F.struct(F.lit(r["n_bits"]).cast("long").alias("n_bits"), F.lit(r["num_hash"]).cast("int").alias("num_hash")) for r in sorted(kinds)]))
+    each = kmers.select("kmer").distinct().select("kmer", hashes.alias("h")).select("kmer", "h", size.alias("s"))
+    asked = each.select("kmer", "s.n_bits", "s.num_hash", F.posexplode(F.slice("h", F.lit(1), F.col("s.num_hash"))).alias("j", "h"))
+    at = asked.select("kmer", "n_bits", "num_hash", "j", F.pmod("h", "n_bits").alias("bit"))
+    hits = at.join(sliced(probes, bits), ["n_bits", "num_hash", "bit"]).groupBy("kmer", "n_bits", "num_hash").agg(F.collect_list("colors").alias("lists"))  # a list a hash function at most
+    full = hits.where(F.size("lists") == F.col("num_hash"))
+    both = F.aggregate("lists", F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+    return full.select("kmer", F.explode(both).alias("color_id"))
 
 
 def occupancy(meta: DataFrame, bits: DataFrame) -> DataFrame:
@@ -101,57 +125,91 @@ def chains(edges: DataFrame, k: int) -> DataFrame:
     return opened.join(marks, "up", "left").select("edge_id", F.col("up").alias("unitig"), "place", F.coalesce("c", F.lit(False)).alias("cyclic"))
 
 
-def _fold(rows: list[int], cyclic: bool, cutoff: int) -> list[int]:
-    """Corrected rows along one path; rows are bit masks."""
+#: Edges of a path that one task walks, beside those that walks can reach from them.
+SEGMENT = 4096
+
+
+def _fold(rows: list[int], cyclic: bool, cutoff: int, wanted: list[bool], entered: bool) -> list[tuple[int, int]]:
+    """Corrected rows along one path and the steps taken, where wanted; rows are bit masks.
+
+    Each try to go on is a step; backwards, the try to leave the path counts if it is ``entered`` through a node with one way.
+    """
     n, out = len(rows), []
     for i, cur in enumerate(rows):
-        for step in (1, -1) if cur else ():
+        steps = 0
+        for step in (1, -1) if cur and wanted[i] else ():
             at, quiet = i, 0
             while quiet < cutoff:
                 quiet += 1
                 at += step
                 if not 0 <= at < n:
                     if not cyclic:
+                        steps += step > 0 or entered
                         break
                     at %= n
+                steps += 1
                 new = cur & rows[at]
                 if not new:
                     break
                 if new != cur:
                     cur, quiet = new, 0
-        out.append(cur)
+        out.append((cur, steps))
     return out
 
 
-def corrected(edges: DataFrame, raw: DataFrame, k: int, cutoff: int = 50) -> DataFrame:
-    """(edge_id, color_id) after path correction with both node tests.
+def corrected_rows(edges: DataFrame, raw: DataFrame, k: int, cutoff: int = 50, starts: DataFrame | None = None, segment: int = SEGMENT) -> DataFrame:
+    """(edge_id, colors, steps) after path correction with both node tests, of all edges or of ``starts`` (edge_id).
 
-    Each edge keeps the colours that its unitig's edges share, read outwards until ``cutoff``
-    edges in a row change nothing or nothing would be left. Dummies keep none.
+    Each edge keeps the colours that its unitig's edges share, read outwards until ``cutoff`` edges in a row change nothing
+    or nothing would be left. Dummies keep none. A walk loses a colour at least every ``cutoff`` edges, so it ends
+    within cutoff times the colours of the fullest row. Unitigs are cut into segments that have so many edges more on both
+    sides; long circles are laid out with their ends repeated. Only segments with edges that are asked for are walked.
     """
-    sets = raw.groupBy("edge_id").agg(F.collect_set("color_id").alias("colors"))
-    rows = chains(edges, k).join(sets, "edge_id", "left")
+    sets = cut(raw.groupBy("edge_id").agg(F.array_sort(F.collect_set("color_id")).alias("colors")))
+    halo = cutoff * (sets.agg(F.max(F.size("colors"))).first()[0] or 0)
+    lines = cut(chains(edges, k))
+    one_way = graph_degrees(edges, k).where((F.col("out_degree") == 1) & (F.col("in_degree") == 1)).select(F.col("edge_id").alias("unitig"), F.lit(True).alias("entered"))
+    lengths = lines.groupBy("unitig").agg((F.max("place") + 1).alias("n")).join(one_way, "unitig", "left")
+    rows = lines.join(lengths, "unitig")
+    whole = (F.col("n") <= segment) | (F.col("cyclic") & (F.col("n") <= halo))
+    turns = F.when(F.col("cyclic") & ~whole, F.array(F.lit(0).cast("long"), F.col("n"), -F.col("n"))).otherwise(F.array(F.lit(0).cast("long")))
+    laid = rows.withColumn("whole", whole).withColumn("turn", F.explode(turns)).withColumn("q", F.col("place") + F.col("turn"))
+    number = lambda x: F.floor(x / segment)
+    low, high = F.greatest(F.lit(0), number(F.col("q") - halo)), F.least(number(F.col("n") - 1), number(F.col("q") + halo))
+    spread = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    parts = laid.withColumn("part", F.explode(spread)).withColumn("own", (F.col("turn") == 0) & (F.col("whole") | (number(F.col("q")) == F.col("part"))))
+    if starts is not None:
+        named = starts.select("edge_id").distinct().withColumn("named", F.lit(True))
+        parts = parts.join(named, "edge_id", "left").withColumn("own", F.col("own") & F.col("named").isNotNull())
+        parts = parts.join(parts.where("own").select("unitig", "part").distinct(), ["unitig", "part"], "left_semi")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
+        pdf = pdf.sort_values("q")
+        first = pdf.iloc[0]
         masks = [sum(1 << int(c) for c in cs) if cs is not None else 0 for cs in pdf["colors"]]
-        ids, cols = [], []
-        for e, m in zip(pdf["edge_id"], _fold(masks, bool(pdf["cyclic"].iloc[0]), cutoff), strict=True):
-            while m:
-                low = m & -m
-                ids.append(e)
-                cols.append(low.bit_length() - 1)
-                m ^= low
-        return pd.DataFrame({"edge_id": ids, "color_id": cols})
+        walked = _fold(masks, bool(first["cyclic"] and first["whole"]), cutoff, pdf["own"].tolist(), bool(first["entered"]))
+        kept = [(e, [c for c in range(m.bit_length()) if m >> c & 1], n) for e, own, (m, n) in zip(pdf["edge_id"], pdf["own"], walked, strict=True) if own]
+        return pd.DataFrame(kept, columns=["edge_id", "colors", "steps"])
 
-    return rows.groupBy("unitig").applyInPandas(walk, "edge_id long, color_id int")
+    ready = parts.join(sets, "edge_id", "left").select("unitig", "part", "edge_id", "q", "own", "cyclic", "whole", F.coalesce("entered", F.lit(False)).alias("entered"), "colors")
+    return ready.groupBy("unitig", "part").applyInPandas(walk, "edge_id long, colors array<int>, steps long")
+
+
+def corrected(edges: DataFrame, raw: DataFrame, k: int, cutoff: int = 50, segment: int = SEGMENT) -> DataFrame:
+    """(edge_id, color_id) of ``corrected_rows``."""
+    return corrected_rows(edges, raw, k, cutoff, segment=segment).select("edge_id", F.explode("colors").alias("color_id"))
 
 
 def corrected_one_way(edges: DataFrame, raw: DataFrame, k: int, cutoff: int) -> DataFrame:
-    """(edge_id, color_id) after correction that tests the way out forwards and the way in backwards only.
+    """(edge_id, color_id) of ``corrected_rows_one_way``."""
+    return corrected_rows_one_way(edges, raw, k, cutoff).select("edge_id", F.explode("colors").alias("color_id"))
+
+
+def corrected_rows_one_way(edges: DataFrame, raw: DataFrame, k: int, cutoff: int = 50, starts: DataFrame | None = None) -> DataFrame:
+    """(edge_id, colors, steps) after correction that tests the way out forwards and the way in backwards only.
 
-    Paths may merge, so every edge walks by itself: one join with the neighbour table for
-    each step, over the edges that still walk.
+    Paths may merge, so every edge (or those of ``starts``) walks by itself: one join with the neighbour table for
+    each step, over the edges that still walk. Edges without colours aren't walked and have no row.
     """
     solid = edges.where(~S.is_dummy(F.col("kmer")))
     sets = solid.select("edge_id").join(raw.groupBy("edge_id").agg(F.array_sort(F.collect_set("color_id")).alias("colors")), "edge_id")
@@ -162,24 +220,36 @@ def corrected_one_way(edges: DataFrame, raw: DataFrame, k: int, cutoff: int) ->
     parts = with_parts(solid, k)
     behind = parts.groupBy(F.col("dst").alias("src")).agg(F.min_by("edge_id", S.letter_rank(F.substring("kmer", 1, 1))).alias("to"))
     single = degree.where("in_degree = 1").select("edge_id")
-    backward = parts.join(single, "edge_id", "left_semi").join(behind, "src").select(F.col("edge_id").alias("at"), "to")
-    state = sets.select("edge_id", F.col("edge_id").alias("at"), "colors", F.lit(0).alias("quiet"))
-    for ways in (forward, backward):
-        table = ways.join(sets.select(F.col("edge_id").alias("to"), F.col("colors").alias("there")), "to", "left")
-        table = cut(table)
-        walking, finished = state.select("edge_id", F.col("edge_id").alias("at"), "colors", F.lit(0).alias("quiet")), None
+    backward = parts.join(single, "edge_id", "left_semi").join(behind, "src", "left").select(F.col("edge_id").alias("at"), "to")
+    state = sets if starts is None else sets.join(starts.select("edge_id").distinct(), "edge_id", "left_semi")
+    state = state.select("edge_id", F.col("edge_id").alias("at"), "colors", F.lit(0).cast("long").alias("steps"))
+    for ways, counted in ((forward, F.lit(True)), (backward, F.col("known").isNotNull())):
+        table = cut(ways.join(sets.select(F.col("edge_id").alias("to"), F.col("colors").alias("there")), "to", "left").withColumn("known", F.lit(True)))
+        walking, finished = state.select("edge_id", F.col("edge_id").alias("at"), "colors", F.lit(0).alias("quiet"), "steps"), None
         while True:
             seen = walking.join(table, "at", "left")
             new = F.array_intersect("colors", F.coalesce("there", F.array().cast("array<int>")))
-            seen = seen.withColumn("new", new).withColumn("stop", (F.col("quiet") >= cutoff) | F.col("to").isNull() | (F.size("new") == 0))
+            tries = (F.col("quiet") < cutoff) & counted
+            seen = seen.withColumn("new", new).withColumn("stop", (F.col("quiet") >= cutoff) | F.col("to").isNull() | (F.size("new") == 0)).withColumn("steps", F.col("steps") + tries.cast("long"))
             seen = cut(seen)
-            ended = seen.where("stop").select("edge_id", "colors")
+            ended = seen.where("stop").select("edge_id", "colors", "steps")
             finished = ended if finished is None else finished.unionByName(ended)
-            walking = seen.where("not stop").select("edge_id", F.col("to").alias("at"), F.array_sort("new").alias("colors"), F.when(F.size("new") < F.size("colors"), 0).otherwise(F.col("quiet") + 1).alias("quiet"))
+            walking = seen.where("not stop").select("edge_id", F.col("to").alias("at"), F.array_sort("new").alias("colors"), F.when(F.size("new") < F.size("colors"), 0).otherwise(F.col("quiet") + 1).alias("quiet"), "steps")
             if walking.isEmpty():
                 break
         state = finished
-    return state.select("edge_id", F.explode("colors").alias("color_id"))
+    return state.select("edge_id", "colors", "steps")
+
+
+def evaluated(edges: DataFrame, exact: DataFrame, raw: DataFrame, k: int, n: int, cutoff: int = 50, both: bool = True) -> DataFrame:
+    """``evaluation`` of about n edges at even steps (dummies left out), and the steps that correcting them takes.
+
+    Only walks from these edges are made.
+    """
+    some = cut(sampled(edges, n))
+    rows = cut(corrected_rows(edges, raw, k, cutoff, some) if both else corrected_rows_one_way(edges, raw, k, cutoff, some))
+    report = evaluation(some, exact, raw, rows.select("edge_id", F.explode("colors").alias("color_id")))
+    return report.join(F.broadcast(rows.agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("n_steps"))))  # one row each
 
 
 def evaluation(edges: DataFrame, exact: DataFrame, raw: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -190,5 +260,5 @@ def evaluation(edges: DataFrame, exact: DataFrame, raw: DataFrame, fixed: DataFr
     pairs = solid.join(all_pairs, "edge_id").select("edge_id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("e", "r", "c")])
     by_edge = pairs.groupBy("edge_id").agg(F.sum("e").alias("bits"), F.sum(F.expr("int(r = 1 and e = 0)")).alias("fp_pre"), F.sum(F.expr("int(c = 1 and e = 0)")).alias("fp_post"), F.sum(F.expr("int(c = 0 and e = 1)")).alias("fn_post"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    out = solid.join(by_edge, "edge_id", "left").agg(F.count("*").alias("n_edges"), total("bits").alias("n_bits_exact"), total("fp_pre").alias("fp_bits_pre"), total("fp_post").alias("fp_bits_post"), total("fn_post").alias("fn_bits_post"), F.count_if(F.col("fp_pre") > 0).alias("fp_edges_pre"), F.count_if(F.col("fp_post") > 0).alias("fp_edges_post"))
+    out = solid.join(by_edge, "edge_id", "left").agg(F.count("*").alias("n_edges"), total("bits").alias("n_bits_exact"), total("fp_pre").alias("fp_bits_pre"), total("fp_post").alias("fp_bits_post"), total("fn_post").alias("fn_bits_post"), F.count_if(F.col("fp_pre") > 0).alias("fp_edges_pre"), F.count_if(F.col("fp_post") > 0).alias("fp_edges_post"), F.count_if(F.col("fn_post") > 0).alias("fn_edges_post"))
     return out.withColumn("fp_per_edge_pre", F.col("fp_bits_pre") / F.col("n_edges")).withColumn("fp_per_edge_post", F.col("fp_bits_post") / F.col("n_edges"))

@@ -517,7 +517,7 @@ def bloom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH RECURSIVE "
     + WALK_SQL
-    + """ SELECT count(*) AS n_edges, sum(bits)::BIGINT AS n_bits_exact, sum(pre)::BIGINT AS fp_bits_pre, sum(post)::BIGINT AS fp_bits_post, sum(fn)::BIGINT AS fn_bits_post, count(*) FILTER (pre > 0) AS fp_edges_pre, count(*) FILTER (post > 0) AS fp_edges_post, sum(pre)::BIGINT / count(*)::DOUBLE AS fp_per_edge_pre, sum(post)::BIGINT / count(*)::DOUBLE AS fp_per_edge_post
+    + """ SELECT count(*) AS n_edges, sum(bits)::BIGINT AS n_bits_exact, sum(pre)::BIGINT AS fp_bits_pre, sum(post)::BIGINT AS fp_bits_post, sum(fn)::BIGINT AS fn_bits_post, count(*) FILTER (pre > 0) AS fp_edges_pre, count(*) FILTER (post > 0) AS fp_edges_post, count(*) FILTER (fn > 0) AS fn_edges_post, sum(pre)::BIGINT / count(*)::DOUBLE AS fp_per_edge_pre, sum(post)::BIGINT / count(*)::DOUBLE AS fp_per_edge_post
 FROM (SELECT edge_id, count(x.e) AS bits, count(*) FILTER (x.r = 1 AND x.e IS NULL) AS pre, count(*) FILTER (x.c = 1 AND x.e IS NULL) AS post, count(*) FILTER (x.e = 1 AND x.c IS NULL) AS fn FROM solid LEFT JOIN (SELECT edge_id, color_id, e, r, c FROM (SELECT *, 1 AS e FROM anno) FULL JOIN (SELECT *, 1 AS r FROM raw) USING (edge_id, color_id) FULL JOIN (SELECT *, 1 AS c FROM fixed) USING (edge_id, color_id)) x USING (edge_id) GROUP BY edge_id)"""
 )
 def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,11 +528,31 @@ def bloom_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BL.evaluation(e, m.select("edge_id", F.explode("colors").alias("color_id")), raw, BL.corrected(e, raw, K))
 
 
+SAMPLE = 500
+#: Tries of a walk: its moves, and one more where it didn't end for want of change; backwards only through a node with one way in and out.
+STEPS_SQL = f""", chosen AS MATERIALIZED (SELECT edge_id FROM solid WHERE edge_id % greatest(1, (SELECT count(*) FROM edges) // {SAMPLE}) = 0),
+tries AS (SELECT e, max(i) + (CASE WHEN arg_max(quiet, i) < 50 THEN 1 ELSE 0 END) AS n FROM ahead GROUP BY e UNION ALL SELECT e, n + (CASE WHEN q < 50 AND d.out_degree = 1 AND d.in_degree = 1 THEN 1 ELSE 0 END) AS n FROM (SELECT e, max(i) AS n, arg_max(quiet, i) AS q, arg_max(here, i) AS h FROM back GROUP BY e) b JOIN degree d ON d.edge_id = b.h)"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + WALK_SQL
+    + STEPS_SQL
+    + """ SELECT count(*) AS n_edges, sum(bits)::BIGINT AS n_bits_exact, sum(pre)::BIGINT AS fp_bits_pre, sum(post)::BIGINT AS fp_bits_post, sum(fn)::BIGINT AS fn_bits_post, count(*) FILTER (pre > 0) AS fp_edges_pre, count(*) FILTER (post > 0) AS fp_edges_post, count(*) FILTER (fn > 0) AS fn_edges_post, sum(pre)::BIGINT / count(*)::DOUBLE AS fp_per_edge_pre, sum(post)::BIGINT / count(*)::DOUBLE AS fp_per_edge_post, (SELECT sum(n)::BIGINT FROM tries JOIN chosen ON edge_id = e) AS n_steps
+FROM (SELECT edge_id, count(x.e) AS bits, count(*) FILTER (x.r = 1 AND x.e IS NULL) AS pre, count(*) FILTER (x.c = 1 AND x.e IS NULL) AS post, count(*) FILTER (x.e = 1 AND x.c IS NULL) AS fn FROM chosen LEFT JOIN (SELECT edge_id, color_id, e, r, c FROM (SELECT *, 1 AS e FROM anno) FULL JOIN (SELECT *, 1 AS r FROM raw) USING (edge_id, color_id) FULL JOIN (SELECT *, 1 AS c FROM fixed) USING (edge_id, color_id)) x USING (edge_id) GROUP BY edge_id)"""
+)
+def bloom_sampled_fpp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation at even steps through the edges, with the steps that the walks take."""
+    m = matrix(spark, sf_dir)
+    raw = cut(_raw(m, *_filters(m)))
+    return BL.evaluated(m.select("edge_id", "kmer"), m.select("edge_id", F.explode("colors").alias("color_id")), raw, K, SAMPLE)
+
+
 @query("WITH RECURSIVE " + WALK_SQL + " SELECT edge_id, string_agg(color_id::VARCHAR, ',' ORDER BY color_id) AS colors FROM fixed GROUP BY edge_id")
 def bloom_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path-corrected rows, cutoff 50."""
     m = matrix(spark, sf_dir)
-    fixed = BL.corrected(m.select("edge_id", "kmer"), _raw(m, *_filters(m)), K)
+    fixed = BL.corrected(m.select("edge_id", "kmer"), _raw(m, *_filters(m)), K, segment=8)  # so that paths of this graph are cut, too
     return fixed.groupBy("edge_id").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
 
 

@@ -70,7 +70,7 @@ def _order():
 def _filters(records: DataFrame, colors: DataFrame, k: int, bits: float, hashes: int) -> dict[str, DataFrame]:
     """Filters hold the windows of the sequences themselves, without padding."""
     inner = G.windows(records, k, rooted=True, keep=("rec_ord", "color")).join(F.broadcast(colors.select("color_id", F.col("name").alias("color"))), "color")  # one row per colour
-    meta = BL.sizes(inner, bits, hashes)
+    meta = BL.sizes(inner, bits, hashes, ladder=True)
     return {"bloom_meta": meta, "bloom_bits": BL.build(inner, meta)}
 
 
@@ -113,7 +113,7 @@ def update(spark: SparkSession, base: str, files: list[str], out: str, **options
         inner = G.windows(records, k, rooted=True, keep=("rec_ord", "color")).join(saved["colors"].select("color_id", F.col("name").alias("color")), "color")
         known = f["bloom_meta"].select("color_id")
         hashes = f["bloom_meta"].agg(F.max("num_hash")).first()[0]
-        fresh = BL.sizes(inner.join(known, "color_id", "left_anti"), hashes / 0.6931471805599453, hashes)  # bits for each element that suit so many functions
+        fresh = BL.sizes(inner.join(known, "color_id", "left_anti"), hashes / 0.6931471805599453, hashes, ladder=True)  # bits for each element that suit so many functions
         meta = f["bloom_meta"].unionByName(fresh)
         ST.save({"bloom_meta": meta, "bloom_bits": f["bloom_bits"].unionByName(BL.build(inner, meta)).distinct()}, out)
     if _has(spark, base, "rows"):
@@ -138,9 +138,14 @@ def corrected(spark: SparkSession, base: str, cutoff: int = 50) -> DataFrame:
     return raw if cutoff == 0 else BL.corrected(t["edges"], raw, k, cutoff)
 
 
-def evaluate(spark: SparkSession, base: str, cutoff: int = 50) -> DataFrame:
-    """False positives and negatives of the filters before and after correction."""
+def evaluate(spark: SparkSession, base: str, cutoff: int = 50, *, n: int | None = None, both: bool = True) -> DataFrame:
+    """False positives and negatives of the filters before and after correction, of all edges or about ``n``.
+
+    With ``n`` the steps of the walks are counted, and ``both`` says whether nodes are tested both ways (as for variants).
+    """
     t = ST.load(spark, base, ["edges", "annotation"])
+    if n is not None:
+        return BL.evaluated(t["edges"], t["annotation"], corrected(spark, base, 0), k_of(spark, base), n, cutoff, both)
     return BL.evaluation(t["edges"], t["annotation"], corrected(spark, base, 0), corrected(spark, base, cutoff))
 
 
@@ -186,6 +191,8 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--bloom-false-pos-prob", type=float)
     p.add_argument("--bloom-bits-per-edge", type=float)
     p.add_argument("--bloom-hash-functions", type=int)
+    p.add_argument("--bloom-test-num-kmers", type=int, help="evaluate about so many edges at even steps, and count the steps of their walks")
+    p.add_argument("--one-way", action="store_true", help="test nodes one way only when evaluating a sample")
     p.add_argument("--num-permutations", type=int, default=0)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName(f"strandlake {a.command}").getOrCreate()
@@ -197,7 +204,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "compress":
         compress(spark, a.input)
     else:
-        shown = {"map": lambda: map_kmers(spark, a.input, a.inputs, bloom=a.bloom), "permutation": lambda: permutation(spark, a.input, a.num_permutations), "stats": lambda: stats(spark, a.input), "query": lambda: query(spark, a.input, bloom=a.bloom), "evaluate": lambda: evaluate(spark, a.input)}
+        shown = {"map": lambda: map_kmers(spark, a.input, a.inputs, bloom=a.bloom), "permutation": lambda: permutation(spark, a.input, a.num_permutations), "stats": lambda: stats(spark, a.input), "query": lambda: query(spark, a.input, bloom=a.bloom), "evaluate": lambda: evaluate(spark, a.input, n=a.bloom_test_num_kmers, both=not a.one_way)}
         out = shown[a.command]()
         print("\t".join(out.columns))
         for row in out.toLocalIterator():  # every row, a partition at a time

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,80 @@ def test_sizes():
         assert (got[1], round(got[2], 5)) == (h, p)
     with pytest.raises(ValueError, match="hash"):
         B.by_bits(5, 0)
+
+
+def walked(rows, links, starts, cutoff):
+    """Plain walks: (colours, steps) of each start; ``links`` has (before, after) and the edges entered by one way."""
+    before, after, entered = links
+    out = {}
+    for e in starts:
+        cur, steps = rows.get(e, frozenset()), 0
+        for ways, forward in ((after, True), (before, False)) if cur else ():
+            at, quiet = e, 0
+            while quiet < cutoff and (forward or at in entered):
+                quiet, steps = quiet + 1, steps + 1
+                at = ways.get(at)
+                new = cur & rows.get(at, frozenset())
+                if not new:
+                    break
+                if new != cur:
+                    cur, quiet = new, 0
+        out[e] = (sorted(cur), steps)
+    return out
+
+
+@pytest.mark.parametrize(("segment", "cutoff"), [(3, 50), (8, 3), (4096, 1)])
+def test_segments_and_steps_equal_plain_walks(spark, segment, cutoff):
+    rng = np.random.default_rng(cutoff)
+    line, ring = "".join(rng.choice(list("ACGT"), 70)), "".join(rng.choice(list("ACGT"), 41))
+    recs = spark.createDataFrame([(0, line), (1, line[20:45] + "GG"), (2, line[40:])], "rec_ord long, seq string")
+    occ = G.windows(recs, 6, keep=("rec_ord",)).unionByName(G.windows(spark.createDataFrame([(3, ring + ring[:6])], recs.schema), 6, rooted=True, keep=("rec_ord",)))
+    edges = G.build_edges(occ, G.occurrence_order(F.col("rec_ord"), F.col("pos"))).persist()
+    d = {r["edge_id"]: r for r in G.degrees(edges, 6).collect()}
+    ids = {r["kmer"]: r["edge_id"] for r in edges.collect()}
+    solid = [e for kmer, e in ids.items() if "$" not in kmer]
+    entered = {e for e in solid if d[e]["out_degree"] == 1 and d[e]["in_degree"] == 1}
+    after = {r["edge_id"]: r["next_id"] for r in G.next_edges(edges.where(~F.contains("kmer", F.lit("$"))), 6).collect() if r["next_id"] in entered}
+    before = {b: a for a, b in after.items()}
+    pairs = [(e, c) for e in solid for c in range(4) if rng.random() < (0.97 if c < 2 else 0.8)]
+    rows = {}
+    for e, c in pairs:
+        rows.setdefault(e, set()).add(c)
+    raw = spark.createDataFrame(pairs, "edge_id long, color_id int")
+    want = walked({e: frozenset(c) for e, c in rows.items()}, (before, after, entered), solid, cutoff)
+    got = {r["edge_id"]: (list(r["colors"]), r["steps"]) for r in BL.corrected_rows(edges, raw, 6, cutoff, segment=segment).collect()}
+    assert got == want
+    some = spark.createDataFrame([(e,) for e in solid[::7]], "edge_id long")
+    got = {r["edge_id"]: (list(r["colors"]), r["steps"]) for r in BL.corrected_rows(edges, raw, 6, cutoff, some, segment).collect()}
+    assert got == {e: want[e] for e in solid[::7]}
+
+
+def test_sampled_evaluation_counts_steps(spark, graph):
+    edges, inner, exact = graph
+    meta = BL.sizes(inner, 1.4427, 1)
+    raw = BL.probe(edges.where(~F.col("kmer").contains("$")).select("kmer"), meta, BL.build(inner, meta)).join(edges, "kmer").select("edge_id", "color_id").persist()
+    report = BL.evaluated(edges, exact, raw, K, 267).first()
+    assert (report["n_edges"], report["fp_bits_pre"], report["fp_bits_post"], report["fn_bits_post"]) == (248, 315, 15, 0)
+    assert report["n_steps"] > 248
+    few = BL.evaluated(edges, exact, raw, K, 20, 2, both=False).first()
+    assert few["n_edges"] == sum("$" not in r["kmer"] for r in edges.collect() if r["edge_id"] % 13 == 0)
+    assert few["fn_bits_post"] == 0 and few["n_steps"] > 0
+
+
+def test_probes_ask_sizes_and_not_colours(spark):
+    rows = [(f"{i:05d}", c) for i in range(120) for c in range(40) if (i * 7 + c) % 5 == 0]
+    pairs = spark.createDataFrame(rows, "kmer string, color_id int")
+    meta = BL.sizes(pairs, 12.0, 5, ladder=True)
+    assert meta.select("n_bits").distinct().count() < 4
+    bits = BL.build(pairs, meta)
+    found = BL.probe(pairs.select("kmer"), meta, bits)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {tuple(r) for r in found.collect()}
+    assert set(rows) <= got
+    have, sizes = {(r["color_id"], r["bit"]) for r in bits.collect()}, {r["color_id"]: r["n_bits"] for r in meta.collect()}
+    hashed = {(r[0], r[1]): r[2] for r in pairs.select("kmer").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("kmer", "j", B.portable_hash(F.col("kmer"), F.col("j"))).collect()}
+    assert got == {(k, c) for k in {k for k, _ in hashed} for c in sizes if all((c, hashed[k, j] % sizes[c]) in have for j in range(5))}
+    some = {tuple(r) for r in BL.probe(pairs.select("kmer"), meta, bits, colors=(3, 7)).collect()}
+    assert some == {x for x in got if x[1] in (3, 7)}
+    assert BL.probe(pairs.select("kmer"), meta.limit(0), bits).count() == 0
