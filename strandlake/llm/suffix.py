@@ -142,8 +142,8 @@ def kernel(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = []
     group, sizes = part["group"], np.cumsum([len(b) for b in part["bodies"]])
     lo = 0
-    while lo < len(group):  # whole anchors of about a megabyte at a time
-        hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 20), side="right"))
+    while lo < len(group):  # whole anchors of about half a megabyte at a time
+        hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + (1 << 19), side="right"))
         hi = int(np.searchsorted(group, group[max(hi, lo + 1) - 1], side="right"))
         own, spot, reach, _, _ = bucket_repeats(part["bodies"][lo:hi], part["doc"][lo:hi], WINDOW, part["start"][lo:hi])
         hit = reach > 0

@@ -371,7 +371,7 @@ def bucket_spans(cfg: Windows, rows: DataFrame, kernel: Kernel) -> DataFrame:
                     rest.append(batch.filter(pa.array(~string)))
                     return
 
-        for table in whole_runs(strings(), ("key",), 8192):
+        for table in whole_runs(strings(), ("key",), 4096):
             yield from buckets(table)
         equal = _Equal(cfg.keep_first)
         for batch in itertools.chain(rest, batches):
