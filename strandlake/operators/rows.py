@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import colorsets as C
 
 from .graph import dense_ids
+from .lineage import cut, few
 
 
 def compress(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +26,34 @@ def decode(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.join(sets, "set_id").select("row_id", "colors")
 
 
+def merge(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(rows, color_sets) of several such tables, one behind the other; rows are never expanded.
+
+    Only the dictionaries meet: equal sets become one, numbered by the first row that has it, and rows get the
+    new numbers. The tables' sizes come to the driver, a number each.
+    """
+    firsts, numbered, before = None, None, 0
+    for part, (rows, sets) in enumerate(parts):
+        placed = rows.select(F.lit(part).alias("part"), (F.col("row_id") + before).alias("row_id"), F.col("set_id").alias("old"))
+        first = placed.groupBy("part", "old").agg(F.min("row_id").alias("__first")).join(sets.select(F.col("set_id").alias("old"), "colors"), "old")
+        firsts = first if firsts is None else firsts.unionByName(first)
+        numbered = placed if numbered is None else numbered.unionByName(placed)
+        before += rows.count()
+    if firsts is None or numbered is None:
+        raise ValueError("nothing to merge")
+    firsts = cut(firsts)
+    sets = cut(dense_ids(firsts.groupBy("colors").agg(F.min("__first").alias("__first")), "__first", "set_id").select("set_id", "colors"))
+    mapped = few(firsts.join(sets, "colors").select("part", "old", "set_id"))
+    return numbered.join(mapped, ["part", "old"]).select("row_id", "set_id"), sets
+
+
+def verified(rows: DataFrame, sets: DataFrame, originals: DataFrame) -> DataFrame:
+    """One row: how many rows there are, are missing, are too many, and have other colours than the originals (row_id, colors)."""
+    back = decode(rows, sets).withColumnRenamed("colors", "__got")
+    both = originals.select("row_id", F.array_sort("colors").alias("__want")).join(back, "row_id", "full")
+    return both.agg(F.count("__want").alias("n_rows"), F.count_if(F.col("__got").isNull()).alias("n_missing"), F.count_if(F.col("__want").isNull()).alias("n_extra"), F.count_if(F.col("__got") != F.col("__want")).alias("n_different"))
+
+
 def at(rows: DataFrame, row_id: int, before: int | None = None) -> DataFrame:
     """One row, or its colours below ``before``."""
     one = rows.where(F.col("row_id") == row_id)
@@ -95,6 +124,15 @@ def pairwise(rows: DataFrame, fold, name: str) -> DataFrame:
     return rows.join(other, "row_id").select("row_id", fold(F.col("colors"), F.col("__b")).alias(name))
 
 
+def folded(rows: DataFrame, key: str, how: str) -> DataFrame:
+    """(key, colors): colours that all rows of a group have (``how`` "and"), or that any has ("or"), by counting and not by lists."""
+    each = rows.select(key, F.explode("colors").alias("c"))
+    groups = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    kept = each.groupBy(key, "c").agg(F.count("*").alias("__m")).join(groups, key).where(F.lit(how == "or") | (F.col("__m") == F.col("__n")))
+    sets = kept.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("colors"))
+    return groups.select(key).join(sets, key, "left").withColumn("colors", F.coalesce("colors", F.array().cast("array<int>")))
+
+
 def cooccurrence(annotation: DataFrame, key: str = "edge_id") -> DataFrame:
     """(a, b, n): how many rows carry both colours, a < b."""
     return cooccurrence_of_sets(annotation.groupBy(key).agg(F.array_sort(F.collect_set("color_id")).alias("colors")))

@@ -18,6 +18,7 @@ from strandlake.operators import bloom as BL
 from strandlake.operators import graph as G
 from strandlake.operators import permute as PM
 from strandlake.operators import rows as R
+from strandlake.operators import trie as T
 from strandlake.operators import update as U
 from strandlake.operators.lineage import cut, few, new_folder
 from strandlake.sources import clustered as CL
@@ -354,6 +355,23 @@ def rows_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(R.decode(coded, sets))
 
 
+@query(_with(GRAPH_SQL + ", parts AS (SELECT row_id // 2 AS row_id, cs FROM mat WHERE row_id % 2 = 0 UNION ALL SELECT row_id // 2 + (SELECT count(*) FROM mat WHERE row_id % 2 = 0), cs FROM mat WHERE row_id % 2 = 1 UNION ALL SELECT row_id + (SELECT count(*) FROM mat), cs FROM mat), sets AS (SELECT cs, row_number() OVER (ORDER BY min(row_id)) - 1 AS set_id FROM parts GROUP BY cs)", f"SELECT row_id, set_id, {TEXT.format('cs')} AS colors FROM parts JOIN sets USING (cs)"))
+def rows_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even rows, odd rows and all rows, each with a dictionary of its own, merged by their dictionaries."""
+    r = cut(rows(spark, sf_dir))
+    half = lambda odd: r.where(F.col("row_id") % 2 == odd).select(F.floor(F.col("row_id") / 2).alias("row_id"), "colors")
+    coded, sets = R.merge([R.compress(part) for part in (half(0), half(1), r)])
+    return coded.join(sets, "set_id").select("row_id", "set_id", C.text(F.col("colors")).alias("colors"))
+
+
+@query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('cs')} AS colors FROM mat"))
+def trie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row read from the prefix tree, going down from its place by ranks."""
+    coded, sets = R.compress(rows(spark, sf_dir))
+    coded, sets = cut(coded), cut(sets)
+    return shown(T.at(T.build(coded, sets), coded.select("row_id")))
+
+
 @query(_with(GRAPH_SQL, "SELECT row_id * 20 + c AS bit FROM (SELECT row_id, unnest(cs) AS c FROM mat)"))
 def matrix_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.flatten(rows(spark, sf_dir), 20)
@@ -453,6 +471,21 @@ def perm_trie_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PM.trie_sizes(annotation(spark, sf_dir), PM.random_permutations(colors(spark, sf_dir), 5))
 
 
+@query(_with(GRAPH_SQL + ", " + TRIE_SQL, "SELECT 2 * l.n - 1 AS n_nodes, l.n AS n_leaves, (SELECT count(*) FROM mat) AS n_rows, 0::BIGINT AS n_wrong, i.n::BIGINT AS beta_bits FROM (SELECT count(*) AS n FROM leaf WHERE perm = 0) l, (SELECT sum(n) AS n FROM inner_nodes WHERE perm = 0) i"))
+def trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix tree's nodes and bits, and whether they agree with each other."""
+    coded, sets = R.compress(rows(spark, sf_dir))
+    return T.check(T.build(cut(coded), cut(sets)))
+
+
+@query(_with(GRAPH_SQL + ", each AS (SELECT substr(kmer, 1, 7) AS src, edge_id, color_id FROM edges JOIN anno USING (edge_id)), n AS (SELECT src, count(DISTINCT edge_id) AS n FROM each GROUP BY src), m AS (SELECT src, color_id, count(*) AS m FROM each GROUP BY ALL)", "SELECT src, coalesce(string_agg(color_id::VARCHAR, ',' ORDER BY color_id) FILTER (m = n), '') AS in_all, string_agg(color_id::VARCHAR, ',' ORDER BY color_id) AS in_any FROM m JOIN n USING (src) GROUP BY src"))
+def node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the edges out of each node, folded by and and by or."""
+    m = cut(color_sets(spark, sf_dir).select(S.source_node(F.col("kmer"), K).alias("src"), "colors"))
+    every, some = (R.folded(m, "src", how).withColumnRenamed("colors", name) for how, name in (("and", "a"), ("or", "o")))
+    return every.join(some, "src").select("src", C.text(F.col("a")).alias("in_all"), C.text(F.col("o")).alias("in_any"))
+
+
 # --- Bloom filters ----------------------------------------------------------
 
 HASHES, FACTOR = 3, 5.0

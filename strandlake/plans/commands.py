@@ -157,6 +157,23 @@ def compress(spark: SparkSession, base: str) -> None:
     ST.save({"rows": rows, "color_sets": sets}, base, "overwrite")
 
 
+def merge(spark: SparkSession, bases: list[str], out: str) -> None:
+    """Rows of several bases one behind the other, with one dictionary, below ``out``."""
+    parts = [ST.load(spark, b, ["rows", "color_sets"]) for b in bases]
+    rows, sets = R.merge([(t["rows"], t["color_sets"]) for t in parts])
+    ST.save({"rows": rows, "color_sets": sets}, out)
+
+
+def compress_lists(spark: SparkSession, files: list[str], out: str, *, verify: bool = False) -> DataFrame | None:
+    """Index-list files, each compressed by itself and then merged, below ``out``; with ``verify`` the result's differences from the files."""
+    rows, sets = R.merge([R.compress(SQ.read_index_lists(spark, f)) for f in files])
+    ST.save({"rows": rows, "color_sets": sets}, out)
+    if not verify:
+        return None
+    saved = ST.load(spark, out, ["rows", "color_sets"])
+    return R.verified(saved["rows"], saved["color_sets"], R.concat([SQ.read_index_lists(spark, f) for f in files]))
+
+
 def stats(spark: SparkSession, base: str) -> DataFrame:
     t = ST.load(spark, base, ["edges", "annotation", "colors"])
     matrix = G.wide(t["edges"], t["annotation"]).select(F.col("edge_id").alias("row_id"), "colors")
@@ -179,7 +196,7 @@ def query(spark: SparkSession, base: str, *, bloom: bool = False) -> DataFrame:
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["build", "update", "map", "permutation", "stats", "compress", "query", "evaluate"])
+    p.add_argument("command", choices=["build", "update", "map", "permutation", "stats", "compress", "query", "evaluate", "merge", "compress-lists"])
     p.add_argument("inputs", nargs="*")
     p.add_argument("-i", "--input")
     p.add_argument("-o", "--output")
@@ -193,6 +210,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--bloom-hash-functions", type=int)
     p.add_argument("--bloom-test-num-kmers", type=int, help="evaluate about so many edges at even steps, and count the steps of their walks")
     p.add_argument("--one-way", action="store_true", help="test nodes one way only when evaluating a sample")
+    p.add_argument("--verify", action="store_true", help="compare compressed rows with their files")
     p.add_argument("--num-permutations", type=int, default=0)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName(f"strandlake {a.command}").getOrCreate()
@@ -203,6 +221,12 @@ def main(args: list[str] | None = None) -> None:
         update(spark, a.input, a.inputs, a.output, **files)
     elif a.command == "compress":
         compress(spark, a.input)
+    elif a.command == "merge":
+        merge(spark, a.inputs, a.output)
+    elif a.command == "compress-lists":
+        report = compress_lists(spark, a.inputs, a.output, verify=a.verify)
+        if report is not None:
+            print(report.first().asDict())
     else:
         shown = {"map": lambda: map_kmers(spark, a.input, a.inputs, bloom=a.bloom), "permutation": lambda: permutation(spark, a.input, a.num_permutations), "stats": lambda: stats(spark, a.input), "query": lambda: query(spark, a.input, bloom=a.bloom), "evaluate": lambda: evaluate(spark, a.input, n=a.bloom_test_num_kmers, both=not a.one_way)}
         out = shown[a.command]()
