@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import bloom_math as B
 from strandlake.functions import colorsets as C
+from strandlake.functions import sequence as S
 from strandlake.operators import bloom as BL
 from strandlake.operators import graph as G
 from strandlake.operators import permute as PM
 from strandlake.operators import rows as R
 from strandlake.operators import update as U
+from strandlake.operators.lineage import few
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
 from strandlake.sources import variants as V
@@ -31,8 +33,12 @@ def _kind(path: str) -> str:
 
 
 def coloured_records(spark: SparkSession, files: list[str], *, reference: str | None = None, k: int, delimiter: str | None = None, reverse: bool = False) -> DataFrame:
-    """(rec_ord, color, is_prefix, rooted, seq) of all files, rec_ord in the order of files, records and strands."""
+    """(rec_ord, color, is_prefix, rooted, start, seq, halo) of all files, rec_ord in the order of files, records and strands.
+
+    Variants come as segments of their colour's joined sequences (see ``variants.joined_segments``), other records whole.
+    """
     parts = []
+    both = lambda df: G.with_reverse(df) if reverse else df.withColumn("strand", F.lit(0))
     for i, path in enumerate(files):
         kind = _kind(path)
         if kind == "vcf":
@@ -40,27 +46,34 @@ def coloured_records(spark: SparkSession, files: list[str], *, reference: str |
                 raise ValueError("a VCF file needs a reference")
             found = V.variant_sequences(V.read_vcf(spark, path), SQ.read_fasta(spark, reference), k)
             contigs = found.select(F.col("colors")[0].alias("color")).distinct().withColumn("is_prefix", F.lit(True))
-            joined = V.joined_by_color(found).join(contigs, "color", "left")
-            ordered = joined.withColumn("rec_ord", F.row_number().over(Window.partitionBy("file").orderBy(F.col("is_prefix").desc_nulls_last(), "color")) - 1)
-            recs = ordered.select("rec_ord", "color", F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"), F.lit(True).alias("rooted"), "seq")
+            named = V.joined_segments(found, k).join(few(contigs), "color", "left").withColumn("is_prefix", F.coalesce("is_prefix", F.lit(False)))
+            whole = named.withColumn("text", F.concat("seq", "halo"))
+            forth = whole.select("file", "color", "is_prefix", F.lit(0).alias("strand"), "rec", "allele", "seq", "halo")
+            back = whole.select("file", "color", "is_prefix", F.lit(1).alias("strand"), (-F.col("rec")).alias("rec"), (-F.col("allele")).alias("allele"), S.reverse_complement(F.col("text")).alias("seq"), F.lit("").alias("halo"))
+            pieces = (forth.unionByName(back) if reverse else forth).withColumn("later", ~F.col("is_prefix"))
+            recs = G.dense_ids(pieces, ["file", "later", "color", "strand", "rec", "allele"], "rec_ord").select("rec_ord", "color", "is_prefix", F.lit(True).alias("rooted"), "seq", "halo")
         else:
             recs = SQ.file_colors(SQ.read_fastq(spark, path)) if kind == "fastq" else SQ.header_colors(SQ.read_fasta(spark, path), delimiter)
-            recs = recs.select("rec_ord", "color", "is_prefix", F.lit(False).alias("rooted"), "seq")
+            recs = both(recs).select((F.col("rec_ord") * 2 + F.col("strand")).alias("rec_ord"), "color", "is_prefix", F.lit(False).alias("rooted"), "seq", F.lit("").alias("halo"))
         parts.append(recs.withColumn("file_ord", F.lit(i)))
-    both = parts[0]
+    every = parts[0]
     for p in parts[1:]:
-        both = both.unionByName(p)
-    both = G.with_reverse(both) if reverse else both.withColumn("strand", F.lit(0))
-    sizes = both.groupBy("file_ord").agg((F.max("rec_ord") + 1).alias("n"))
+        every = every.unionByName(p)
+    sizes = every.groupBy("file_ord").agg((F.max("rec_ord") + 1).alias("n"))
     before = sizes.select("file_ord", F.coalesce(F.sum("n").over(Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = both.join(F.broadcast(before), "file_ord")  # one row per file
-    return placed.select(((F.col("base") + F.col("rec_ord")) * 2 + F.col("strand")).alias("rec_ord"), "color", "is_prefix", "rooted", "seq").where(F.length("seq") > k)
+    placed = every.join(F.broadcast(before), "file_ord")  # one row per file
+    return placed.select((F.col("base") + F.col("rec_ord")).alias("rec_ord"), "color", "is_prefix", "rooted", F.lit(0).cast("long").alias("start"), "seq", "halo").where(F.length("seq") + F.length("halo") > k)
 
 
 def _windows(records: DataFrame, k: int) -> DataFrame:
     keep = ("rec_ord", "color")
     padded = G.windows(records.where("not rooted"), k, keep=keep)
-    return padded.unionByName(G.windows(records.where("rooted"), k, rooted=True, keep=keep))
+    return padded.unionByName(G.segment_windows(records.where("rooted"), k, rooted=True, keep=keep))
+
+
+def _inner_windows(records: DataFrame, k: int) -> DataFrame:
+    """Windows of the sequences themselves, without padding."""
+    return G.segment_windows(records, k, rooted=True, keep=("rec_ord", "color"))
 
 
 def _order():
@@ -69,7 +82,7 @@ def _order():
 
 def _filters(records: DataFrame, colors: DataFrame, k: int, bits: float, hashes: int) -> dict[str, DataFrame]:
     """Filters hold the windows of the sequences themselves, without padding."""
-    inner = G.windows(records, k, rooted=True, keep=("rec_ord", "color")).join(F.broadcast(colors.select("color_id", F.col("name").alias("color"))), "color")  # one row per colour
+    inner = _inner_windows(records, k).join(few(colors.select("color_id", F.col("name").alias("color"))), "color")
     meta = BL.sizes(inner, bits, hashes, ladder=True)
     return {"bloom_meta": meta, "bloom_bits": BL.build(inner, meta)}
 
@@ -80,7 +93,7 @@ def build(spark: SparkSession, files: list[str], base: str, k: int, *, reference
     occ = _windows(records, k)
     edges = G.build_edges(occ, _order())
     first = records.groupBy(F.col("color").alias("name")).agg(F.min("rec_ord").alias("o"), F.max("is_prefix").alias("is_prefix"))
-    colors = first.select((F.row_number().over(Window.orderBy("o", ~F.col("is_prefix"), "name")) - 1).cast("int").alias("color_id"), "name", "is_prefix")
+    colors = G.dense_ids(first.withColumn("later", ~F.col("is_prefix")), ["o", "later", "name"], "color_id").select(F.col("color_id").cast("int"), "name", "is_prefix")
     ST.save({"graph_meta": ST.graph_meta(spark, k), "edges": edges, "colors": colors}, base)
     saved = ST.load(spark, base, ["edges", "colors"])
     ST.save({"annotation": G.annotate(occ, saved["edges"], saved["colors"], "color")}, base)
@@ -110,7 +123,7 @@ def update(spark: SparkSession, base: str, files: list[str], out: str, **options
     saved = ST.load(spark, out, ["colors"])
     if _has(spark, base, "bloom_meta"):
         f = ST.load(spark, base, ["bloom_meta", "bloom_bits"])
-        inner = G.windows(records, k, rooted=True, keep=("rec_ord", "color")).join(saved["colors"].select("color_id", F.col("name").alias("color")), "color")
+        inner = _inner_windows(records, k).join(saved["colors"].select("color_id", F.col("name").alias("color")), "color")
         known = f["bloom_meta"].select("color_id")
         hashes = f["bloom_meta"].agg(F.max("num_hash")).first()[0]
         fresh = BL.sizes(inner.join(known, "color_id", "left_anti"), hashes / 0.6931471805599453, hashes, ladder=True)  # bits for each element that suit so many functions

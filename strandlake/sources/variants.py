@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.lineage import few
@@ -81,3 +81,26 @@ def joined_by_color(variants: DataFrame) -> DataFrame:
     each = variants.select("file", "rec", "allele", "seq", F.explode("colors").alias("color"))
     sorted_ = F.array_sort(F.collect_list(F.struct("rec", "allele", "seq")))
     return each.groupBy("file", "color").agg(F.array_join(F.transform(sorted_, lambda x: x["seq"]), "$").alias("seq"))
+
+
+#: Records whose sequences are ordered in one task, for each colour.
+BAND = 4096
+
+
+def joined_segments(variants: DataFrame, k: int, band: int = BAND) -> DataFrame:
+    """(file, color, rec, allele, start, seq, halo): the strings of ``joined_by_color``, a row for each of their sequences.
+
+    ``seq`` has the $ that follows, ``halo`` the k letters after it, so ``graph.segment_windows`` (rooted) gives the windows
+    of the joined strings; no row or task has a colour's sequences together. They are ordered within bands of
+    records, and what a band's end leaves open comes from the bands behind it.
+    """
+    reach, rows_ahead = k + 1, k // 2 + 1  # a sequence is a letter and a $ at least
+    each = variants.select("file", "rec", "allele", "seq", F.explode("colors").alias("color"), F.floor(F.col("rec") / band).alias("band"))
+    inside = Window.partitionBy("file", "color", "band").orderBy("rec", "allele")
+    after = F.array_join(F.collect_list(F.concat(F.lit("$"), F.substring("seq", 1, reach))).over(inside.rowsBetween(1, rows_ahead)), "")
+    placed = each.withColumn("after", F.substring(after, 1, reach)).withColumn("i", F.row_number().over(inside))
+    begins = placed.where("i = 1").select("file", "color", "band", F.substring(F.concat(F.lit("$"), "seq", "after"), 1, reach).alias("opening"))
+    behind = Window.partitionBy("file", "color").orderBy("band").rowsBetween(1, rows_ahead)
+    bands = begins.select("file", "color", "band", F.array_join(F.collect_list("opening").over(behind), "").alias("beyond"))  # a row a band
+    whole = placed.join(few(bands), ["file", "color", "band"]).withColumn("after", F.substring(F.concat("after", "beyond"), 1, reach))
+    return whole.select("file", "color", "rec", "allele", F.lit(0).cast("long").alias("start"), F.concat("seq", F.substring("after", 1, 1)).alias("seq"), F.substring("after", 2, k).alias("halo"))

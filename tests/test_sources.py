@@ -1,4 +1,5 @@
 import gzip
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -100,3 +101,20 @@ def test_fasta_header_with_a_sign(spark, tmp_path):
     path.write_text(">one maps a->b\nACGT\nAC>GT\n>two\nGG\n")
     got = [(r["rec_ord"], r["name"], r["seq"]) for r in SQ.read_fasta(spark, str(path)).orderBy("rec_ord").collect()]
     assert got == [(0, "one", "ACGTAC>GT"), (1, "two", "GG")]
+
+
+def test_variants_as_segments_give_the_windows_of_joined_strings(spark):
+    rng = random.Random(3)
+    rows = [("f", i, a, "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 5, 30]))), ["c", *[x for x in "AB" if rng.random() < 0.3]]) for i in range(60) for a in range(rng.choice([1, 1, 3]))]
+    found = spark.createDataFrame(rows, "file string, rec int, allele int, seq string, colors array<string>").repartition(3)
+    joined = V.joined_by_color(found)
+    for k, band in ((3, 2), (9, 7), (20, 4096)):
+        want = G.windows(joined, k, rooted=True, keep=("color",)).groupBy("color", "kmer").count().collect()
+        parts = V.joined_segments(found, k, band)
+        got = G.segment_windows(parts, k, rooted=True, keep=("color", "rec", "allele"))
+        assert sorted(map(tuple, got.groupBy("color", "kmer").count().collect())) == sorted(map(tuple, want))
+        order = {r["color"]: r["seq"] for r in joined.collect()}
+        text = {}
+        for r in parts.orderBy("rec", "allele").collect():
+            text[r["color"]] = text.get(r["color"], "") + r["seq"]
+        assert text == order
