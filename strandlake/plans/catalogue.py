@@ -635,17 +635,30 @@ def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "query", "edge_id", C.text(F.col("colors")).alias("colors"), F.array_join("color_names", ",").alias("color_names"))
 
 
-_CONTIG = "ATGCTCGCGCGCTCTCGCGCA"
-_VARIANTS = [("test", 5, "T", "G", "PASS", "VT=SNP", "1|0 0|1 1|1 0|0"), ("test", 5, "T", "C", "PASS", "AC_AMR=2;AC_AFR=0", ""), ("test", 5, "T", "<CN2>,<CN4>", "PASS", "", ""), ("test", 9, "C", "A,<DEL>,G", "PASS", "", ""), ("test", 7, "G", "A", "q10", "", "")]
+#: Variants that are derived from documents: a substitution in each at a place that its number gives, in one of four forms.
+ALTS = ["G", "<CN2>,<CN4>", "A,<DEL>,G", "C"]
 
 
 @query(
-    f"""WITH v(rec, contig, pos, ref, alts, filter, amr, carriers) AS (VALUES (0,'test',5,'T',['G'],'PASS',0,['A','B','C']), (1,'test',5,'T',['C'],'PASS',2,[]), (2,'test',5,'T',['<CN2>','<CN4>'],'PASS',0,[]), (3,'test',9,'C',['A'],'PASS',0,[]), (4,'test',7,'G',['A'],'q10',0,[])),
-a AS (SELECT rec, contig, pos, ref, amr, carriers, unnest(range(0, len(alts))) AS allele, alts FROM v WHERE filter = 'PASS')
-SELECT rec::INT AS rec, allele::INT AS allele, substr('{_CONTIG}', greatest(pos - 3, 1), least(3, pos - 1)) || CASE WHEN alts[allele+1] LIKE '<CN%' THEN repeat(ref, regexp_extract(alts[allele+1], '^<CN(\\d+)', 1)::INT) ELSE alts[allele+1] END || substr('{_CONTIG}', pos + length(ref), 3) AS seq, array_to_string(list_concat(list_concat([contig], CASE WHEN amr <> 0 THEN ['AC_AMR'] ELSE [] END), carriers), ',') AS colors FROM a"""
+    _with(
+        RECORDS_SQL
+        + """, v AS (SELECT doc_id, enc, doc_id % length(enc) + 1 AS pos, [['G'], ['<CN2>', '<CN4>'], ['A'], ['C']][(doc_id % 4 + 1)::INT] AS alts FROM rec WHERE doc_id % 5 <> 0),
+a AS (SELECT *, substr(enc, pos::INT, 1) AS ref, unnest(range(0, len(alts))) AS allele FROM v)""",
+        """SELECT 'd' || doc_id AS contig, allele::INT AS allele, substr(enc, greatest(pos - 3, 1)::INT, least(3, pos - 1)::INT) || CASE WHEN alts[allele + 1] LIKE '<CN%' THEN repeat(ref, regexp_extract(alts[allele + 1], '^<CN(\\d+)', 1)::INT) ELSE alts[allele + 1] END || substr(enc, (pos + 1)::INT, 3) AS seq, array_to_string(list_concat(list_concat(['d' || doc_id], CASE WHEN doc_id % 3 = 0 THEN ['AC_AMR'] ELSE [] END), list_concat(CASE WHEN doc_id % 2 = 0 THEN ['A'] ELSE [] END, CASE WHEN doc_id % 7 < 3 THEN ['B'] ELSE [] END)), ',') AS colors FROM a""".replace("\\\\", "\\"),
+    )
 )
 def vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [(i, c, p, r, a.split(","), [f], dict(x.split("=") for x in info.split(";") if x), [{"name": n, "gt": g} for n, g in zip("ABCD", gt.split(), strict=False)]) for i, (c, p, r, a, f, info, gt) in enumerate(_VARIANTS)]
-    vcf = spark.createDataFrame(lines, "rec int, contig string, pos int, ref string, alts array<string>, filters array<string>, info map<string,string>, samples array<struct<name:string,gt:string>>").withColumn("file", F.lit("inline"))
-    reference = spark.createDataFrame([("test", _CONTIG)], "name string, seq string")
-    return V.variant_sequences(vcf, reference, 3).select("rec", "allele", "seq", F.array_join("colors", ",").alias("colors"))
+    """Variants of documents written as VCF files, read again and set into their reference's bases."""
+    contigs = records(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), S.encode(F.col("seq"), True).alias("seq"))
+    d = F.col("doc_id")
+    pos = d % F.length("seq") + 1
+    gt = lambda yes, a, b: F.when(yes, a).otherwise(b)
+    fields = ["name", pos.cast("string"), F.lit("."), F.substring("seq", pos.cast("int"), F.lit(1)), F.get(F.array(*map(F.lit, ALTS)), (d % 4).cast("int")), F.lit("."), gt(d % 5 == 0, "q10", "PASS"), gt(d % 3 == 0, "AC_AMR=2;AC_AFR=0", "."), F.lit("GT"), gt(d % 2 == 0, "1|0", "0|0"), gt(d % 7 < 3, "0|1", "0/1")]
+    files = 8
+    rows = contigs.select((d % files).alias("g"), F.concat_ws("\t", *fields).alias("value"))
+    head = spark.range(files).select(F.col("id").alias("g"), F.lit("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB").alias("value"))
+    folder = new_folder(spark, "vcf")
+    rows.unionByName(head).repartition(files, "g").write.partitionBy("g").text(folder)  # a file has its head, wherever that lies
+    vcf = V.read_vcf(spark, folder)
+    found = V.variant_sequences(vcf, contigs.select("name", "seq"), 3)
+    return found.select(F.get("colors", F.lit(0)).alias("contig"), "allele", "seq", F.array_join("colors", ",").alias("colors"))
