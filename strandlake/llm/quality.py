@@ -163,7 +163,13 @@ def score(docs: DataFrame, machine: dict) -> DataFrame:
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's digest: labels learned only from rows whose remainder is not 2."""
+    """The contract's digest: labels learned only from rows whose remainder is not 2.
+
+    Every label row of 0 or 1 is an example with its document, repeated and contradictory ones too; others aren't. Null and
+    empty texts are scored as texts without words, long ones whole; rows that are alike score alike. A null doc_id has no
+    remainder: its held_out is null and no label is its own. Without any example scores mean nothing. Other columns
+    are not read; an empty table gives no rows.
+    """
     held = hash_share(F.col("doc_id"), 4) == 2
     allowed = labels.select("doc_id", "quality").where(~held)
     machine = fit(docs.select("doc_id", "text", "n_chars").join(allowed, "doc_id"))

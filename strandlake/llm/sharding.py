@@ -107,7 +107,11 @@ def uniform_shards(df: DataFrame, identity: list[Column], n_shards: int = 16, se
 
 
 def op10(docs: DataFrame) -> DataFrame:
-    """The contract's digest: law ``rows``; texts themselves are not shuffled, only their size and checksum."""
+    """The contract's digest: law ``rows``; texts themselves are not shuffled, only their size and checksum.
+
+    Texts are measured whole, however long; a null one counts as empty. Repeated rows and rows without a doc_id are placed
+    one by one. Other columns are not read; an empty table gives no rows.
+    """
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = uniform_shards(narrow, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])

@@ -93,3 +93,18 @@ def test_matrix_margins_and_law():
     rng = np.random.default_rng(0)
     big = [sharding.hypergeometric(rng, 10**9, 10**9, 1000) for _ in range(400)]
     assert abs(np.mean(big) - 500) < 4
+
+
+def test_shards_of_long_texts_clashing_columns_and_an_empty_table(spark):
+    rows = [(i, "é" * 300_000 if i == 3 else f"t{i % 5}", "x", 1, 2) for i in range(40)] + [(None, None, "x", 1, 2), (7, "t2", "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int, size int")
+    found = sharding.op10(docs).collect()
+    assert len(found) == 42
+    assert {r["size"] for r in found if r["doc_id"] == 3} == {600_001}
+    assert [(r["size"], r["text_crc32"]) for r in found if r["doc_id"] is None] == [(1, 0)]
+    per_shard = {}
+    for r in found:
+        per_shard.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in per_shard.values())
+    assert max(map(len, per_shard.values())) - min(map(len, per_shard.values())) <= 1
+    assert sharding.op10(docs.limit(0)).count() == 0
