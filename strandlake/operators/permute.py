@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import few
+
 
 def prefix_first(colors: DataFrame) -> DataFrame:
     """(color_id, new_id): prefix colours ascending, then the others in their order."""
@@ -14,7 +16,7 @@ def prefix_first(colors: DataFrame) -> DataFrame:
 
 def apply(annotation: DataFrame, permutation: DataFrame) -> DataFrame:
     """annotation with permuted colour ids."""
-    return annotation.join(F.broadcast(permutation), "color_id").select("edge_id", F.col("new_id").alias("color_id"))  # one row per colour
+    return annotation.join(few(permutation), "color_id").select("edge_id", F.col("new_id").alias("color_id"))
 
 
 def random_permutations(colors: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -372,9 +372,9 @@ def trie_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(T.at(T.build(coded, sets), coded.select("row_id")))
 
 
-@query(_with(GRAPH_SQL, "SELECT row_id * 20 + c AS bit FROM (SELECT row_id, unnest(cs) AS c FROM mat)"))
+@query(_with(GRAPH_SQL, "SELECT row_id * (SELECT count(*) FROM colors) + c AS bit FROM (SELECT row_id, unnest(cs) AS c FROM mat)"))
 def matrix_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.flatten(rows(spark, sf_dir), 20)
+    return R.flatten(rows(spark, sf_dir), colors(spark, sf_dir).count())
 
 
 @query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('list_filter(cs, lambda c: c < 9)')} AS below_9, list_min(list_filter(cs, lambda c: c >= 5)) AS next_from_5, list_max(cs) AS highest, list_min(cs) AS lowest, list_contains(cs, 4) AS has_4 FROM mat"))

@@ -94,11 +94,13 @@ def build(spark: SparkSession, files: list[str], base: str, k: int, *, reference
     edges = G.build_edges(occ, _order())
     first = records.groupBy(F.col("color").alias("name")).agg(F.min("rec_ord").alias("o"), F.max("is_prefix").alias("is_prefix"))
     colors = G.dense_ids(first.withColumn("later", ~F.col("is_prefix")), ["o", "later", "name"], "color_id").select(F.col("color_id").cast("int"), "name", "is_prefix")
-    ST.save({"graph_meta": ST.graph_meta(spark, k), "edges": edges, "colors": colors}, base)
-    saved = ST.load(spark, base, ["edges", "colors"])
-    ST.save({"annotation": G.annotate(occ, saved["edges"], saved["colors"], "color")}, base)
+    size, h = None, None
     if fpp is not None or bits is not None:
         size, h, _ = B.by_rate(fpp) if fpp is not None else B.by_bits(bits, hashes)
+    ST.save({"graph_meta": ST.graph_meta(spark, k, size, h), "edges": edges, "colors": colors}, base)
+    saved = ST.load(spark, base, ["edges", "colors"])
+    ST.save({"annotation": G.annotate(occ, saved["edges"], saved["colors"], "color")}, base)
+    if size is not None and h is not None:
         ST.save(_filters(records, saved["colors"], k, size, h), base)
 
 
@@ -114,7 +116,7 @@ def _has(spark: SparkSession, base: str, table: str) -> bool:
 def update(spark: SparkSession, base: str, files: list[str], out: str, **options) -> None:
     """The graph below ``base`` with more files, written below ``out``, and its filters and rows where it has them.
 
-    Filters keep their sizes; those of new colours get the bits for each window that suit the same number of functions.
+    Filters keep their sizes; those of new colours get as many bits for each window as the graph was built with.
     """
     k, t = k_of(spark, base), ST.load(spark, base, GRAPH)
     records = coloured_records(spark, files, k=k, **options)
@@ -125,8 +127,8 @@ def update(spark: SparkSession, base: str, files: list[str], out: str, **options
         f = ST.load(spark, base, ["bloom_meta", "bloom_bits"])
         inner = _inner_windows(records, k).join(saved["colors"].select("color_id", F.col("name").alias("color")), "color")
         known = f["bloom_meta"].select("color_id")
-        hashes = f["bloom_meta"].agg(F.max("num_hash")).first()[0]
-        fresh = BL.sizes(inner.join(known, "color_id", "left_anti"), hashes / 0.6931471805599453, hashes, ladder=True)  # bits for each element that suit so many functions
+        made = t["graph_meta"].first()
+        fresh = BL.sizes(inner.join(known, "color_id", "left_anti"), made["bloom_bits"], made["bloom_hashes"], ladder=True)
         meta = f["bloom_meta"].unionByName(fresh)
         ST.save({"bloom_meta": meta, "bloom_bits": f["bloom_bits"].unionByName(BL.build(inner, meta)).distinct()}, out)
     if _has(spark, base, "rows"):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import colorsets as C
+from strandlake.operators.lineage import few
 
 # Tables that a saved graph may have
 TABLES = ["graph_meta", "edges", "colors", "annotation", "bloom_meta", "bloom_bits", "rows", "color_sets"]
@@ -25,8 +26,9 @@ def load(spark: SparkSession, base: str, names: list[str]) -> dict[str, DataFram
     return {n: spark.read.parquet(f"{base}/{n}") for n in names}
 
 
-def graph_meta(spark: SparkSession, k: int) -> DataFrame:
-    return spark.createDataFrame([(k,)], "k int")
+def graph_meta(spark: SparkSession, k: int, bits: float | None = None, hashes: int | None = None) -> DataFrame:
+    """k, and what filters of the graph are made with: bits for each element and hash functions, null without filters."""
+    return spark.createDataFrame([(k, bits, hashes)], "k int, bloom_bits double, bloom_hashes int")
 
 
 def from_precise(edges: DataFrame, rows: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def from_precise(edges: DataFrame, rows: DataFrame) -> DataFrame:
 def export_words(matrix: DataFrame, n_colors: int, path: str, permutation: DataFrame | None = None) -> None:
     """Rows in id order as packed words, columns permuted if asked for."""
     if permutation is not None:
-        moved = matrix.select("edge_id", F.explode_outer("colors").alias("color_id")).join(F.broadcast(permutation), "color_id", "left")
+        moved = matrix.select("edge_id", F.explode_outer("colors").alias("color_id")).join(few(permutation), "color_id", "left")
         matrix = moved.groupBy("edge_id").agg(F.array_sort(F.collect_list("new_id")).alias("colors"))
     matrix.select("edge_id", C.words(F.col("colors"), n_colors).alias("words")).repartitionByRange("edge_id").sortWithinPartitions("edge_id").write.parquet(path)
 

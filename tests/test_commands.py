@@ -33,6 +33,10 @@ def test_from_files_to_answers(spark, tmp_path):
     CM.update(spark, base, [str(fb)], out)
     more = {r["query"]: r["colors"] for r in CM.map_kmers(spark, out, ["ACGTA", "TTTTG"]).collect()}
     assert more == {"ACGTA": "|x,two", "TTTTG": "three"}
+    bits = spark.read.parquet(f"{out}/bloom_meta").join(spark.read.parquet(f"{out}/colors"), "color_id").where("name = 'three'").first()
+    assert (bits["n_bits"], bits["num_hash"]) == (54, 5)  # 8 windows of 6.24 bits, and the next size of the ladder
+    sample = CM.evaluate(spark, out, n=10, both=False).first()
+    assert sample["fn_bits_post"] == 0 and 0 < sample["n_edges"] <= 20
     edges = spark.read.parquet(f"{out}/edges")
     assert sorted(r[0] for r in edges.select("edge_id").collect()) == list(range(edges.count()))
     assert CM.evaluate(spark, out).first()["fn_bits_post"] == 0
