@@ -167,12 +167,10 @@ def vector_classes(rows: DataFrame, k: int) -> DataFrame:
 
 #: Scores by matrix products differ from the exact ones by less than this.
 NEAR = 1e-9
-#: Decimals of a score; vectors that point the same way tie whatever their lengths.
-DECIMALS = 12
 
 
 def best_rows(query: np.ndarray, q: np.ndarray, ids: list, x: np.ndarray, at_q: np.ndarray, at_x: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest (query, id, cosine to DECIMALS) of each query among candidate pairs, ties by id.
+    """The k nearest (query, id, cosine) of each query among candidate pairs, ties by id.
 
     All candidates that the product's error leaves among the nearest get their exact score; of
     index rows that score alike those with the smallest ids are enough.
@@ -184,7 +182,7 @@ def best_rows(query: np.ndarray, q: np.ndarray, ids: list, x: np.ndarray, at_q:
     floor = score[np.minimum(first + k, last - 1)] - NEAR  # one more than k: a query's own row may be among them
     keep = score >= floor
     at_q, at_x = at_q[keep], at_x[keep]
-    exact = np.concatenate([np.zeros(0), *(cosines(q[at_q[lo : lo + 65536]], x[at_x[lo : lo + 65536]]) for lo in range(0, len(at_q), 65536))]).round(DECIMALS)
+    exact = np.concatenate([np.zeros(0), *(cosines(q[at_q[lo : lo + 65536]], x[at_x[lo : lo + 65536]]) for lo in range(0, len(at_q), 65536))])
     least = np.fromiter((ids[j][0] for j in at_x), np.int64, len(at_x))
     order = np.lexsort((least, -exact, at_q))
     rank = np.arange(len(order)) - np.searchsorted(at_q[order], at_q[order], side="left")
@@ -303,7 +301,7 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, setting: Setting | No
     """The k nearest found of each vector whose vec_id is divisible by ``every``.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; rows
-    without vec_id neither. Ties go to the smaller vec_id; equal rows count once; where a vec_id has several vectors each
+    without vec_id neither. Scores are cosines as doubles, not rounded further; where these are equal the smaller vec_id comes first; equal rows count once; where a vec_id has several vectors each
     is a query and the answers are merged; other columns are not read; an empty
     table gives no rows. A query that finds fewer than k is scored against everything.
     """

@@ -42,6 +42,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosine of x[i] and y[i] in double precision, always summed in the same order."""
-    x, y = _scaled(x), _scaled(y)
-    return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+    """Cosine of x[i] and y[i]: worked out in the widest floats at hand, then rounded once to double precision.
+
+    So the order of sums doesn't show, and two pairs are equal only if their cosines are the same double.
+    """
+    x, y = _scaled(x).astype(np.longdouble), _scaled(y).astype(np.longdouble)
+    lengths = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+    return (np.einsum("ij,ij->i", x, y) / lengths).astype(np.float64)

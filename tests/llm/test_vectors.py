@@ -1,3 +1,6 @@
+import math
+from decimal import Decimal, localcontext
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -60,6 +63,18 @@ def test_ties_scale_and_clashing_columns(spark):
     assert all(rows[i] == (59, 0) for i in range(60))
 
 
+def test_scores_are_not_rounded(spark):
+    """Neighbours 1e-13 apart are ranked by their cosine, not by id; scores are the doubles next to the true cosines."""
+    angles = {0: 0.0, 9: 0.5, 8: 0.5 + 2e-13, 7: 0.5 + 4e-13, 6: 0.5 + 6e-13}
+    x = {i: [math.cos(a), math.sin(a), 0.0] for i, a in angles.items()} | {5: [0.0, 0.0, -3.0]}
+    rows = ann.op2(spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in rows] == [9, 8, 7, 6, 5]
+    dot = lambda a, b: sum((Decimal(p) * Decimal(q) for p, q in zip(a, b, strict=True)), Decimal(0))
+    with localcontext() as c:
+        c.prec = 60
+        assert [r["score"] for r in rows] == [float(dot(x[0], x[i]) / (dot(x[0], x[0]).sqrt() * dot(x[i], x[i]).sqrt())) for i in (9, 8, 7, 6, 5)]
+
+
 def test_split_groups_and_recall(spark, monkeypatch):
     """Groups split on both sides give what whole ones give; recall on the driver's table."""
     df, _, _ = table(spark, 400)
