@@ -146,8 +146,17 @@ def cooccurrence_of_sets(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows of each table and rows (with repeats) that only one has; both go through one exchange."""
+    sides = a.select("*", F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(b.select("*", F.lit(0).alias("__l"), F.lit(1).alias("__r")))
+    each = sides.groupBy(*a.columns).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
+    more = lambda x, y: F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0)))
+    sums = {"n_left": F.sum("__l"), "n_right": F.sum("__r"), "only_left": more("__l", "__r"), "only_right": more("__r", "__l")}
+    return each.agg(*[F.coalesce(x, F.lit(0)).cast("long").alias(name) for name, x in sums.items()])
+
+
 def same_table(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return set(a.columns) == set(b.columns) and difference(a, b).where("only_left + only_right > 0").isEmpty()
 
 
 def flatten(rows: DataFrame, n_colors: int) -> DataFrame:

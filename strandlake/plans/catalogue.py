@@ -21,6 +21,7 @@ from strandlake.operators import rows as R
 from strandlake.operators import trie as T
 from strandlake.operators import update as U
 from strandlake.operators.lineage import cut, few, new_folder
+from strandlake.sources import binary as BI
 from strandlake.sources import clustered as CL
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
@@ -394,6 +395,15 @@ def bit_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("row_id", C.text(C.insert_zeros(v, F.lit(3), F.lit(2))).alias("zeros_in"), C.text(C.remove_range(v, F.lit(5), F.lit(9))).alias("range_out"), C.text(C.rearrange_bits(v, F.sequence(F.lit(19), F.lit(0), F.lit(-1)))).alias("turned"))
 
 
+@query(_with(GRAPH_SQL + BITS_SQL, f"SELECT row_id, {TEXT.format('list_concat(list_concat(b[1:3], [1,0,1]), b[4:20])')} AS range_in, {TEXT.format('list_concat(list_concat(b[1:2], b[4:5]), list_concat(b[7:7], b[9:20]))')} AS bits_out, {TEXT.format('list_concat(list_concat(b[1:1], b[5:5]), list_concat(b[3:4], list_concat(b[2:2], b[6:20])))')} AS swapped FROM bits"))
+def bit_splices_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range put in, single bits taken out, two bits exchanged."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.array_contains("colors", i.cast("int")).cast("int"))
+    b = rows(spark, sf_dir).select("row_id", bits.alias("b"))
+    v, places, more = F.col("b"), F.array(*map(F.lit, (2, 5, 7))), F.array(*map(F.lit, (1, 0, 1)))
+    return b.select("row_id", C.text(C.insert_range(v, F.lit(3), more)).alias("range_in"), C.text(C.remove_bits(v, places)).alias("bits_out"), C.text(C.swap_bits(v, F.lit(1), F.lit(4))).alias("swapped"))
+
+
 @query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('cs')} AS colors FROM mat UNION ALL SELECT row_id + (SELECT count(*) FROM mat), {TEXT.format('cs')} FROM mat"))
 def rows_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir)
@@ -547,6 +557,15 @@ def bloom_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.groupBy("edge_id").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
 
 
+@query(_with(BLOOM_SQL, "SELECT kmer, string_agg(color_id::VARCHAR, ',' ORDER BY color_id) AS colors FROM raw JOIN edges USING (edge_id) WHERE color_id % 3 = 0 GROUP BY kmer"))
+def bloom_query_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third filter asked alone."""
+    m = cut(color_sets(spark, sf_dir))
+    some = tuple(range(0, colors(spark, sf_dir).count(), 3))
+    raw = BL.probe(m.select("kmer"), *_filters(m), colors=some)
+    return raw.groupBy("kmer").agg(C.text(F.array_sort(F.collect_list("color_id"))).alias("colors"))
+
+
 @query(
     "WITH RECURSIVE "
     + WALK_SQL
@@ -639,26 +658,140 @@ def clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALTS = ["G", "<CN2>,<CN4>", "A,<DEL>,G", "C"]
 
 
-@query(
-    _with(
-        RECORDS_SQL
-        + """, v AS (SELECT doc_id, enc, doc_id % length(enc) + 1 AS pos, [['G'], ['<CN2>', '<CN4>'], ['A'], ['C']][(doc_id % 4 + 1)::INT] AS alts FROM rec WHERE doc_id % 5 <> 0),
-a AS (SELECT *, substr(enc, pos::INT, 1) AS ref, unnest(range(0, len(alts))) AS allele FROM v)""",
-        """SELECT 'd' || doc_id AS contig, allele::INT AS allele, substr(enc, greatest(pos - 3, 1)::INT, least(3, pos - 1)::INT) || CASE WHEN alts[allele + 1] LIKE '<CN%' THEN repeat(ref, regexp_extract(alts[allele + 1], '^<CN(\\d+)', 1)::INT) ELSE alts[allele + 1] END || substr(enc, (pos + 1)::INT, 3) AS seq, array_to_string(list_concat(list_concat(['d' || doc_id], CASE WHEN doc_id % 3 = 0 THEN ['AC_AMR'] ELSE [] END), list_concat(CASE WHEN doc_id % 2 = 0 THEN ['A'] ELSE [] END, CASE WHEN doc_id % 7 < 3 THEN ['B'] ELSE [] END)), ',') AS colors FROM a""".replace("\\\\", "\\"),
-    )
+VCF_SQL = (
+    RECORDS_SQL
+    + """, v AS (SELECT doc_id, enc, doc_id % length(enc) + 1 AS pos, [['G'], ['<CN2>', '<CN4>'], ['A'], ['C']][(doc_id % 4 + 1)::INT] AS alts FROM rec WHERE doc_id % 5 <> 0),
+a AS (SELECT *, substr(enc, pos::INT, 1) AS ref, unnest(range(0, len(alts))) AS allele FROM v),
+vs AS (SELECT doc_id, 'd' || doc_id AS contig, allele::INT AS allele, substr(enc, greatest(pos - 3, 1)::INT, least(3, pos - 1)::INT) || CASE WHEN alts[allele + 1] LIKE '<CN%' THEN repeat(ref, regexp_extract(alts[allele + 1], '^<CN(\\d+)', 1)::INT) ELSE alts[allele + 1] END || substr(enc, (pos + 1)::INT, 3) AS seq, list_concat(list_concat(['d' || doc_id], CASE WHEN doc_id % 3 = 0 THEN ['AC_AMR'] ELSE [] END), list_concat(CASE WHEN doc_id % 2 = 0 THEN ['A'] ELSE [] END, CASE WHEN doc_id % 7 < 3 THEN ['B'] ELSE [] END)) AS cl FROM a)"""
 )
-def vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants of documents written as VCF files, read again and set into their reference's bases."""
+VCF_FILES = 8
+
+
+def _vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as VCF files, read again and set into their reference's bases, with 3 on both sides."""
     contigs = records(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), S.encode(F.col("seq"), True).alias("seq"))
     d = F.col("doc_id")
     pos = d % F.length("seq") + 1
     gt = lambda yes, a, b: F.when(yes, a).otherwise(b)
     fields = ["name", pos.cast("string"), F.lit("."), F.substring("seq", pos.cast("int"), F.lit(1)), F.get(F.array(*map(F.lit, ALTS)), (d % 4).cast("int")), F.lit("."), gt(d % 5 == 0, "q10", "PASS"), gt(d % 3 == 0, "AC_AMR=2;AC_AFR=0", "."), F.lit("GT"), gt(d % 2 == 0, "1|0", "0|0"), gt(d % 7 < 3, "0|1", "0/1")]
-    files = 8
-    rows = contigs.select((d % files).alias("g"), F.concat_ws("\t", *fields).alias("value"))
-    head = spark.range(files).select(F.col("id").alias("g"), F.lit("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB").alias("value"))
+    lines = contigs.select((d % VCF_FILES).alias("g"), "doc_id", F.concat_ws("\t", *fields).alias("value"))
+    head = spark.range(VCF_FILES).select(F.col("id").alias("g"), F.lit(-1).cast("long").alias("doc_id"), F.lit("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB").alias("value"))
     folder = new_folder(spark, "vcf")
-    rows.unionByName(head).repartition(files, "g").write.partitionBy("g").text(folder)  # a file has its head, wherever that lies
-    vcf = V.read_vcf(spark, folder)
-    found = V.variant_sequences(vcf, contigs.select("name", "seq"), 3)
-    return found.select(F.get("colors", F.lit(0)).alias("contig"), "allele", "seq", F.array_join("colors", ",").alias("colors"))
+    lines.unionByName(head).repartition(VCF_FILES, "g").sortWithinPartitions("g", "doc_id").drop("doc_id").write.partitionBy("g").text(folder)  # a file has its head first and its records in order
+    return V.variant_sequences(V.read_vcf(spark, folder), contigs.select("name", "seq"), 3)
+
+
+@query(_with(VCF_SQL, "SELECT contig, allele, seq, array_to_string(cl, ',') AS colors FROM vs"))
+def vcf_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vcf_variants(spark, sf_dir).select(F.get("colors", F.lit(0)).alias("contig"), "allele", "seq", F.array_join("colors", ",").alias("colors"))
+
+
+@query(_with(VCF_SQL + f", j AS (SELECT g, color, string_agg(seq, '$' ORDER BY doc_id, allele) AS s FROM (SELECT doc_id % {VCF_FILES} AS g, doc_id, allele, seq, unnest(cl) AS color FROM vs) GROUP BY g, color)", "SELECT g, color, kmer, count(*) AS n FROM (SELECT g::INT AS g, color, substr(s, p::INT, 4) AS kmer FROM (SELECT g, color, s, unnest(range(1, length(s) - 2)) AS p FROM j)) GROUP BY ALL"))
+def vcf_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 4 letters of each colour's variants in a file, one behind the other with $ between them."""
+    parts = V.joined_segments(_vcf_variants(spark, sf_dir), 3, band=16).withColumn("g", F.regexp_extract("file", r"g=(\d+)", 1).cast("int"))
+    return G.segment_windows(parts, 3, rooted=True, keep=("g", "color")).groupBy("g", "color", "kmer").agg(F.count("*").alias("n"))
+
+
+# --- files written and read again -------------------------------------------
+
+
+def _fasta(found: DataFrame) -> DataFrame:
+    """Records (name, enc) as FASTA text, 70 letters a line."""
+    lines = F.array_join(F.regexp_extract_all("enc", F.lit(".{1,70}"), F.lit(0)), "\n")
+    return found.select(F.concat(F.lit(">"), "name", F.lit(" a > b\n"), lines).alias("value"))
+
+
+def _fastq(found: DataFrame, *keep: str) -> DataFrame:
+    """Records (name, enc) as FASTQ text; qualities of every second one begin with @."""
+    quality = F.repeat(F.when(F.col("name").cast("long") % 2 == 0, "@").otherwise("I"), F.length("enc"))
+    return found.select(*keep, F.concat(F.lit("@"), "name", F.lit(" x\n"), "enc", F.lit("\n+\n"), quality).alias("value"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("doc_id", "source", F.col("doc_id").cast("string").alias("name"), S.encode(F.col("seq"), True).alias("enc"))
+
+
+@query(_with(RECORDS_SQL, "SELECT (doc_id % 3 = 1)::INT AS file_ord, strand, doc_id::VARCHAR AS name, md5(CASE WHEN strand = 0 THEN enc ELSE reverse(translate(enc,'ACGT','TGCA')) END) AS seq_md5, length(enc) AS n_letters FROM rec, (VALUES (0), (1)) t(strand)"))
+def sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA files of two thirds of the documents and FASTQ files of the rest, read together, both strands."""
+    folder, fastq = new_folder(spark, "files"), F.col("doc_id") % 3 == 1
+    _fasta(_named(spark, sf_dir).where(~fastq)).write.text(f"{folder}/some.fa")
+    _fastq(_named(spark, sf_dir).where(fastq)).write.text(f"{folder}/some.fq")
+    found = G.with_reverse(SQ.read_sequences(spark, [f"{folder}/some.fa", f"{folder}/some.fq"]))
+    return found.select("file_ord", "strand", "name", F.md5("seq").alias("seq_md5"), F.length("seq").cast("long").alias("n_letters"))
+
+
+@query(_with(WINDOWS_SQL, "SELECT source AS color, kmer, n FROM win"))
+def fastq_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A FASTQ folder for each source; the files name the colours of their windows."""
+    folder = new_folder(spark, "reads")
+    _fastq(_named(spark, sf_dir), "source").write.partitionBy("source").text(folder)
+    found = SQ.file_colors(SQ.read_fastq(spark, folder)).withColumn("color", F.regexp_extract("color", "source=([^/]*)", 1))
+    return G.windows(found, K, keep=("color",)).groupBy("color", "kmer").agg(F.count("*").alias("n"))
+
+
+@query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('cs')} AS colors FROM mat"))
+def index_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as lists of set bits in text files; a row's number is its line's."""
+    folder = new_folder(spark, "lists")
+    ST.write_index_lists(rows(spark, sf_dir), folder)
+    return shown(SQ.read_index_lists(spark, folder))
+
+
+@query(_sql["index_list_files"])
+def raw_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows packed into binary matrices of 512 rows, and read from these."""
+    files = BI.packed_matrix(rows(spark, sf_dir), colors(spark, sf_dir).count(), 512)
+    part = F.regexp_extract("file", r"(\d+)$", 1).cast("long")
+    return shown(BI.matrix_rows(files).withColumn("row_id", part * 512 + F.col("row_id")))
+
+
+@query(_with(GRAPH_SQL, f"SELECT kmer, {TEXT.format('cs')} AS colors FROM mat JOIN edges ON edge_id = row_id"))
+def string_set_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mers with their colours packed into binary string sets of 512 rows, and read from these."""
+    m = matrix(spark, sf_dir).withColumnRenamed("edge_id", "row_id")
+    named = colors(spark, sf_dir)
+    files = BI.packed_strings(m, named.count(), [r[0] for r in named.where("is_prefix").select("color_id").collect()], 512)
+    return BI.string_rows(files).select("kmer", C.text(F.col("colors")).alias("colors"))
+
+
+@query(_sql["index_list_files"])
+def rows_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of rows that were packed into words."""
+    packed = R.packed(rows(spark, sf_dir), colors(spark, sf_dir).count())
+    return shown(packed.select("row_id", C.from_words(F.col("words")).alias("colors")))
+
+
+@query(_with(GRAPH_SQL + ", " + PERMUTATION_SQL + ", n AS (SELECT count(*) AS n FROM colors), word AS (SELECT edge_id, new_id // 64 AS w, bit_or(1::UBIGINT << (new_id % 64)::UBIGINT) AS word FROM anno JOIN perm USING (color_id) GROUP BY ALL), place AS (SELECT edge_id, unnest(range(0, ((n + 63) // 64)::BIGINT)) AS w FROM edges, n)", "SELECT edge_id, string_agg(coalesce(word, 0)::VARCHAR, ',' ORDER BY w) AS words FROM place LEFT JOIN word USING (edge_id, w) GROUP BY edge_id"))
+def words_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows with class colours first, exported and read again."""
+    folder, named = new_folder(spark, "words"), cut(colors(spark, sf_dir))
+    ST.export_words(matrix(spark, sf_dir), named.count(), folder, PM.prefix_first(named))
+    return spark.read.parquet(folder).select("edge_id", C.words_text(F.col("words")).alias("words"))
+
+
+@query(_with(GRAPH_SQL, f"SELECT row_id, {TEXT.format('cs')} AS colors FROM mat WHERE row_id < 1000"))
+def first_rows_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1,000 rows of a table with a dictionary."""
+    coded, sets = R.compress(rows(spark, sf_dir))
+    return shown(R.decode(R.first_rows(coded, 1000), sets))
+
+
+SAVED = {"graph_meta": "1", "edges": "(SELECT count(*) FROM edges)", "colors": "(SELECT count(*) FROM colors)", "annotation": "(SELECT count(*) FROM anno)", "bloom_meta": "(SELECT count(*) FROM meta)", "bloom_bits": "(SELECT count(*) FROM bits)", "rows": "(SELECT count(*) FROM mat)", "color_sets": "(SELECT count(DISTINCT cs) FROM mat)"}
+
+
+@query(_with(BLOOM_SQL, " UNION ALL ".join(f"SELECT '{name}' AS name, {n}::BIGINT AS n_left, {n}::BIGINT AS n_right, 0::BIGINT AS only_left, 0::BIGINT AS only_right" for name, n in SAVED.items())))
+def saved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of a graph, saved, loaded, and compared with what they were."""
+    m = cut(matrix(spark, sf_dir))
+    meta, bits = _filters(m)
+    coded, sets = R.compress(m.select(F.col("edge_id").alias("row_id"), "colors"))
+    kept = {"graph_meta": ST.graph_meta(spark, K, FACTOR, HASHES), "edges": m.select("edge_id", "kmer"), "colors": colors(spark, sf_dir), "annotation": m.select("edge_id", F.explode("colors").alias("color_id")), "bloom_meta": meta, "bloom_bits": bits, "rows": coded, "color_sets": sets}
+    base = new_folder(spark, "saved")
+    ST.save(kept, base)
+    found = None
+    for name, df in ST.load(spark, base, list(SAVED)).items():
+        one = R.difference(kept[name], df).select(F.lit(name).alias("name"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -191,45 +189,5 @@ def read_index_lists(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return numbered(lines(spark, paths), "row_id", per_file=False).select("row_id", C.from_text(F.col("value")).alias("colors"))
 
 
-def read_raw_matrix(spark: SparkSession, paths: list[str] | str, *, swap_bytes: bool = False) -> DataFrame:
-    """(file, row_id, colors) of binary files: a row count, then for each row its word count and words, all 64-bit."""
-    order = "<" if swap_bytes else ">"
-
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                at, out = 8, []
-                (n,) = struct.unpack_from(order + "Q", raw, 0)
-                for row in range(n):
-                    (k,) = struct.unpack_from(order + "Q", raw, at)
-                    words = struct.unpack_from(f"{order}{k}Q", raw, at + 8)
-                    at += 8 + 8 * k
-                    out.append((path, row, [64 * i + b for i, w in enumerate(words) for b in range(64) if w >> b & 1]))
-                yield pd.DataFrame(out, columns=["file", "row_id", "colors"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(parse, "file string, row_id long, colors array<int>")
-
-
-def read_string_sets(spark: SparkSession, paths: list[str] | str, limit: int | None = None) -> DataFrame:
-    """(file, kmer, colors) of binary files: big-endian prefix list, column and row counts, then (count, indices, NUL-ended string) rows."""
-
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
-                number = lambda at: struct.unpack_from(">Q", raw, at)[0]
-                at = 8 + 8 * number(0)
-                rows, at, out = number(at + 8), at + 16, []
-                for _ in range(rows if limit is None else min(rows, limit)):
-                    n = number(at)
-                    colors = sorted(struct.unpack_from(f">{n}Q", raw, at + 8))
-                    at += 8 + 8 * n
-                    end = raw.index(b"\0", at)
-                    out.append((path, raw[at:end].decode(), colors))
-                    at = end + 1
-                yield pd.DataFrame(out, columns=["file", "kmer", "colors"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(parse, "file string, kmer string, colors array<int>")
-
-
 def typed_files(names: DataFrame, column: str = "name") -> DataFrame:
     return names.withColumn("file_type", S.file_type(F.col(column)))

@@ -11,7 +11,7 @@ def norm(rows):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else int(x) if isinstance(x, bool) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["annotation_exact", "edge_degrees", "map_kmer_colors", "rows_insert", "bloom_fpp", "bloom_corrected", "perm_trie_size", "graph_update", "vcf_variants", "header_colors", "matrix_stats"])
+@pytest.mark.parametrize("name", ["annotation_exact", "edge_degrees", "map_kmer_colors", "rows_insert", "bloom_fpp", "bloom_corrected", "perm_trie_size", "graph_update", "vcf_variants", "vcf_windows", "sequence_files", "fastq_colors", "index_list_files", "raw_matrix_rows", "string_set_rows", "words_exported", "saved_tables", "bloom_query_columns", "bit_splices_inner", "header_colors", "matrix_stats"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -101,3 +101,12 @@ def test_cooccurrence(data):
             for b in r[i + 1 :]:
                 want[a, b] = want.get((a, b), 0) + 1
     assert got == want
+
+
+def test_difference_counts_repeats(spark):
+    schema = "row_id long, colors array<int>, __x string"
+    a = spark.createDataFrame([(0, [1], "a"), (0, [1], "a"), (1, None, None), (2, [], "b")], schema)
+    b = spark.createDataFrame([("a", [1], 0), (None, None, 1), ("b", [2], 2)], "__x string, colors array<int>, row_id long")
+    assert tuple(R.difference(a, b).first()) == (4, 3, 2, 1)
+    assert tuple(R.difference(a.limit(0), b.limit(0)).first()) == (0, 0, 0, 0)
+    assert R.same_table(a, a.repartition(3)) and not R.same_table(a, a.distinct()) and not R.same_table(a, a.drop("__x"))

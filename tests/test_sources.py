@@ -5,7 +5,7 @@ import struct
 from pyspark.sql import functions as F
 
 from strandlake.operators import graph as G
-from strandlake.sources import clustered
+from strandlake.sources import binary, clustered
 from strandlake.sources import sequences as SQ
 from strandlake.sources import store as ST
 from strandlake.sources import variants as V
@@ -69,9 +69,28 @@ def test_matrix_files(spark, tmp_path):
     ST.write_index_lists(lists, str(tmp_path / "out"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1,3", "", "64"]
     (tmp_path / "m.bin").write_bytes(struct.pack(">6Q", 2, 1, 5, 2, 0, 1))
-    assert [list(r["colors"]) for r in SQ.read_raw_matrix(spark, str(tmp_path / "m.bin")).orderBy("row_id").collect()] == [[0, 2], [64]]
+    assert [list(r["colors"]) for r in binary.read_raw_matrix(spark, str(tmp_path / "m.bin")).orderBy("row_id").collect()] == [[0, 2], [64]]
     (tmp_path / "s.bin").write_bytes(struct.pack(">3Q", 0, 8, 2) + struct.pack(">3Q", 2, 1, 7) + b"ACGT\0" + struct.pack(">Q", 0) + b"GG\0")
-    assert {(r["kmer"], tuple(r["colors"])) for r in SQ.read_string_sets(spark, str(tmp_path / "s.bin")).collect()} == {("ACGT", (1, 7)), ("GG", ())}
+    assert {(r["kmer"], tuple(r["colors"])) for r in binary.read_string_sets(spark, str(tmp_path / "s.bin")).collect()} == {("ACGT", (1, 7)), ("GG", ())}
+
+
+def test_binary_tables_in_batches(spark, monkeypatch):
+    """Rows of different widths and empty ones, more than a batch of them, no rows at all, bytes the other way round."""
+    rng = random.Random(5)
+    rows = [(i, sorted(rng.sample(range(200), rng.choice([0, 1, 7, 60])))) for i in range(300)]
+    monkeypatch.setattr(binary, "BATCH_WORDS", 40)
+    monkeypatch.setattr(binary, "BATCH_ROWS", 17)
+    want = {(i, tuple(c)) for i, c in rows}
+    df = spark.createDataFrame(rows, "row_id long, colors array<int>").repartition(3)
+    files = binary.packed_matrix(df, 200, 64)
+    got = binary.matrix_rows(files).withColumn("row_id", F.col("row_id") + 64 * F.substring("file", -3, 3).cast("int"))
+    assert files.count() == 5 and {(r["row_id"], tuple(r["colors"])) for r in got.collect()} == want
+    named = df.withColumn("kmer", F.concat(F.lit("k"), F.col("row_id").cast("string")))
+    assert {(int(r["kmer"][1:]), tuple(r["colors"])) for r in binary.string_rows(binary.packed_strings(named, 200, [3, 9], 64)).collect()} == want
+    assert binary.string_rows(binary.packed_strings(named, 200, [], 64), 2).count() == 10
+    assert binary.matrix_rows(binary.packed_matrix(df.limit(0), 200)).collect() == []
+    odd = spark.createDataFrame([("a", struct.pack("<7Q", 3, 0, 2, 1 << 63, 4, 1, 0)), ("b", struct.pack("<Q", 0))], "path string, content binary")
+    assert [(r["file"], r["row_id"], list(r["colors"])) for r in binary.matrix_rows(odd, swap_bytes=True).orderBy("row_id").collect()] == [("a", 0, []), ("a", 1, [63, 66]), ("a", 2, [])]
 
 
 def test_store_and_streamed_growth(spark, tmp_path):
