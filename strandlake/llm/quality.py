@@ -103,11 +103,17 @@ def with_dense(m: dict, n: int, d: np.ndarray, b: np.ndarray, x: np.ndarray, den
 
 
 def fit(labelled: DataFrame) -> dict:
-    """Machine from rows with doc_id, text, n_chars and quality (0 or 1)."""
-    rows = labelled.where(F.col("quality").isin(0, 1))
+    """Machine from rows with doc_id, text, n_chars and quality (0 or 1).
+
+    A hash of doc_id and text chooses the sample. Rows that share these and the label are one example, so however often
+    one comes, the sample has TRAIN_DOCUMENTS of them at most (about).
+    """
+    rows = labelled.where(F.col("quality").isin(0, 1)).withColumn("__text", F.xxhash64("text"))
     total = rows.count()
     share = min(1.0, TRAIN_DOCUMENTS / max(total, 1))
-    sample = pack(rows.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(23), "doc_id", "__text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    alike = chosen.groupBy("doc_id", "__text", "quality")
+    sample = pack(alike.agg(F.min("text").alias("text"), F.min("n_chars").alias("n_chars")))
     rng = np.random.default_rng(3)
     m = {"w0": 0.0, "w": np.zeros(BUCKETS + STRUCTURE, np.float32), "v": rng.normal(0, 0.02, (BUCKETS + STRUCTURE, FACTORS)).astype(np.float32), "mean": np.zeros(STRUCTURE), "std": np.ones(STRUCTURE), "scale": 0.5}
     if not sample:
@@ -165,7 +171,7 @@ def score(docs: DataFrame, machine: dict) -> DataFrame:
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's digest: labels learned only from rows whose remainder is not 2.
 
-    Every label row of 0 or 1 is an example with its document, repeated and contradictory ones too; others aren't. Null and
+    A label of 0 or 1 and its document are an example, once however often they come; contradictory labels are two; other labels aren't any. Null and
     empty texts are scored as texts without words, long ones whole; rows that are alike score alike. A null doc_id has no
     remainder: its held_out is null and no label is its own. Without any example scores mean nothing. Other columns
     are not read; an empty table gives no rows.

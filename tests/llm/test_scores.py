@@ -121,3 +121,17 @@ def test_quality_of_ties_repeats_and_long_texts(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 2}) == 1
     assert all(0 <= r["score"] <= 1 for r in got)
     assert quality.op5(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_repeated_labels_are_one_example(spark, monkeypatch):
+    """A document whose label comes thousands of times fills neither the sample nor the driver."""
+    seen = []
+    pack = quality.pack
+    monkeypatch.setattr(quality, "pack", lambda rows: seen.append(pack(rows)) or seen[-1])
+    monkeypatch.setattr(quality, "TRAIN_DOCUMENTS", 2500)
+    schema = "doc_id long, text string, n_chars int, quality int"
+    hot = [(7, "always the same words", 21, 1)] * 2000 + [(7, "always the same words", 21, 0)] * 3
+    quality.fit(spark.createDataFrame(hot + [(i, f"text {i}", 7, i % 2) for i in range(100, 400)], schema))
+    assert len(seen[0]) == 302
+    quality.fit(spark.createDataFrame([(7, f"text {i}", 7, 1) for i in range(20000)], schema))
+    assert 2200 < len(seen[1]) < 2800
