@@ -46,10 +46,23 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether Spark removes a query's shuffle files when it ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows."""
+    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
+
+    What was shuffled for it is never read again and leaves the disks at once.
+    """
     ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")  # holds for queries made from here on
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 #: A narrow table that is counted and found shorter than this is broadcast (some 16 bytes a row); a longer one is shuffled.

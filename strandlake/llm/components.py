@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, whole_runs
@@ -15,28 +15,29 @@ MAX_ROUNDS = 60
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (large star) or smaller (small star) neighbours to its least neighbour."""
-    if large:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    """Link each node's larger (large star) or smaller (small star) neighbours to its least neighbour.
+
+    One exchange by the node: a node's repeated neighbours meet there, and so does its least one, so no
+    more rows leave than distinct edges came.
+    """
+    way = F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    back = F.struct(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    met = edges.select(F.inline(F.array(way, back) if large else F.array(way))).repartition("u").dropDuplicates(["u", "v"])
+    met = met.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+        return met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    # the row of the least neighbour stands for the node itself
+    return met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id reachable from each id that has a link.
 
-    ``links`` has longs a and b; loops and repeats don't matter. Each round is two joins on
-    the node, whose skewed side holds only links, and ends written in the checkpoint folder;
+    ``links`` has longs a and b and is read once; loops and repeats don't matter. Each round is two exchanges by
+    the node of rows of two numbers, and ends written in the checkpoint folder;
     the number of rounds grows with the logarithm of the number of nodes.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = links.where("a <> b").select("a", "b")
     state = None
     for _ in range(MAX_ROUNDS):
         edges = cut(_stars(_stars(edges, True), False))

@@ -283,15 +283,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, per_cent: int = 80) ->
     buckets = banded.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
     members = cut(banded.join(buckets, "key"))
     stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(cut(likely_pairs(stars, classes, per_cent)), docs, size, per_cent))
-    found = components(links)
+    found = components(confirmed(cut(likely_pairs(stars, classes, per_cent)), docs, size, per_cent))
     # buckets of three or more that aren't one component yet: compare across components
     named = members.where("n > 2").join(found, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     split = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("key")
     rest = cut(named.join(split, "key", "left_semi").join(classes.select("id", "n_shingles", "sketch"), "id"))
     more = cut(links_across(rest, docs, size, per_cent))
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = classes.select("s1", "s2", "n_shingles", "first", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
     leads = of_class.groupBy("component").agg(F.min("first").alias("lead"))
     of_class = of_class.drop("first").join(leads, "component")
