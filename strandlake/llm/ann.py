@@ -13,7 +13,8 @@ anything else, need most of the table at any setting.
 
 Index rows and probes meet in groups of a table and the leading cells of a code; groups are
 split on both sides, so no task holds more than GROUP_ROWS index rows and GROUP_QUERIES
-queries. Equal vectors are one index row with their few smallest ids.
+queries. Equal vectors are one index row with their few smallest ids. Inside a group scores are worked out a tile at a time and
+only candidates that can still be among the nearest are held, so a task's memory doesn't follow what a cell holds.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import column, cut
+from .common import column, cut, few
 from .vectors import cosines, matrix, unit, usable_rows
 
 TABLES = 6
@@ -45,9 +47,13 @@ PROBE_COST = 8
 #: Cells of one projection are numbered -REACH..REACH, the outer ones being open.
 REACH = 3
 GROUP_ROWS = 20_000
-GROUP_QUERIES = 4096
+GROUP_QUERIES = 16_384
 #: Queries scored against everything at once where an exact pass is needed.
 BLOCK = 2048
+#: Scores worked out at once, candidates held before those that fell behind are dropped, and pairs whose exact score is worked out at once.
+TILE = 1 << 19
+HELD = 1 << 18
+EXACT = 1 << 13
 SEED = 29
 
 _CELLS = 2 * REACH + 1
@@ -169,20 +175,26 @@ def vector_classes(rows: DataFrame, k: int) -> DataFrame:
 NEAR = 1e-9
 
 
+def near_best(at_q: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates that the product's error leaves among the k+1 best of their query, in order of query and score; and each one's query's floor."""
+    order = np.lexsort((-score, at_q))
+    at_q, score = at_q[order], score[order]
+    first = np.searchsorted(at_q, at_q, side="left")
+    last = np.searchsorted(at_q, at_q, side="right")
+    floor = score[np.minimum(first + k, last - 1)]  # one more than k: a query's own row may be among them
+    keep = score >= floor - NEAR
+    return order[keep], (last - first)[keep], floor[keep]
+
+
 def best_rows(query: np.ndarray, q: np.ndarray, ids: list, x: np.ndarray, at_q: np.ndarray, at_x: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """The k nearest (query, id, cosine) of each query among candidate pairs, ties by id.
 
     All candidates that the product's error leaves among the nearest get their exact score; of
     index rows that score alike those with the smallest ids are enough.
     """
-    order = np.lexsort((-score, at_q))
-    at_q, at_x, score = at_q[order], at_x[order], score[order]
-    first = np.searchsorted(at_q, at_q, side="left")
-    last = np.searchsorted(at_q, at_q, side="right")
-    floor = score[np.minimum(first + k, last - 1)] - NEAR  # one more than k: a query's own row may be among them
-    keep = score >= floor
+    keep, _, _ = near_best(at_q, score, k)
     at_q, at_x = at_q[keep], at_x[keep]
-    exact = np.concatenate([np.zeros(0), *(cosines(q[at_q[lo : lo + 65536]], x[at_x[lo : lo + 65536]]) for lo in range(0, len(at_q), 65536))])
+    exact = np.concatenate([np.zeros(0), *(cosines(q[at_q[lo : lo + EXACT]], x[at_x[lo : lo + EXACT]]) for lo in range(0, len(at_q), EXACT))])
     least = np.fromiter((ids[j][0] for j in at_x), np.int64, len(at_x))
     order = np.lexsort((least, -exact, at_q))
     rank = np.arange(len(order)) - np.searchsorted(at_q[order], at_q[order], side="left")
@@ -193,6 +205,80 @@ def best_rows(query: np.ndarray, q: np.ndarray, ids: list, x: np.ndarray, at_q:
     return [(own, v, -s) for rows in found.values() for s, v, own in sorted(set(rows))[:k]]
 
 
+class Candidates:
+    """Candidate pairs of queries ``q`` and index rows ``x``, of which only those that can be among the k nearest are held.
+
+    Scores come in tiles of TILE at most. Below ``floor`` k+1 better ones of a query were met, and what lies there goes at
+    once; if HELD / 2 pairs are left, as with many equal cosines, their k nearest are worked out and the rest goes. So memory
+    is bounded however many rows and queries share a cell.
+    """
+
+    def __init__(self, query: np.ndarray, q: np.ndarray, ids: list, x: np.ndarray, k: int) -> None:
+        self.query, self.q, self.ids, self.x, self.k = query, q, ids, x, k
+        self.uq, self.ux = unit(q), unit(x)
+        self.best = np.full((len(q), k + 1), -np.inf)
+        self.floor = np.full(len(q), -np.inf)
+        self.at_q: list[np.ndarray] = []
+        self.at_x: list[np.ndarray] = []
+        self.score: list[np.ndarray] = []
+        self.held = 0
+        self.out: list[tuple[int, int, float]] = []
+
+    def meet(self, some: np.ndarray, lo: int, hi: int) -> None:
+        """Queries ``some`` (each once) meet index rows lo to hi."""
+        for a in range(lo, hi, 2048):
+            b = min(a + 2048, hi)
+            step = max(1, TILE // (b - a))
+            for c in range(0, len(some), step):
+                self._tile(some[c : c + step], a, b)
+
+    def _tile(self, some: np.ndarray, a: int, b: int) -> None:
+        s = self.uq[some] @ self.ux[a:b].T
+        if s.size <= 4096:  # not worth a look at what falls behind
+            self._hold(np.repeat(some, b - a), np.tile(np.arange(a, b), len(some)), s.ravel())
+            return
+        most = s.max(axis=1)
+        better = np.flatnonzero(most > self.floor[some])
+        if len(better):
+            rows = s[better]
+            if rows.shape[1] > self.k + 1:
+                rows = np.partition(rows, rows.shape[1] - self.k - 1, axis=1)[:, -self.k - 1 :]
+            both = np.concatenate([self.best[some[better]], rows], axis=1)
+            both.sort(axis=1)
+            self.best[some[better]] = both[:, -self.k - 1 :]
+            self.floor[some[better]] = np.maximum(self.floor[some[better]], both[:, -self.k - 1])
+        floor = self.floor[some] - NEAR
+        left = np.flatnonzero(most >= floor)
+        i, j = np.nonzero(s[left] >= floor[left, None])
+        i = left[i]
+        self._hold(some[i], a + j, s[i, j])
+
+    def _hold(self, at_q: np.ndarray, at_x: np.ndarray, score: np.ndarray) -> None:
+        self.at_q.append(at_q)
+        self.at_x.append(at_x)
+        self.score.append(score)
+        self.held += len(score)
+        if self.held > HELD:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        at_q, at_x, score = np.concatenate(self.at_q), np.concatenate(self.at_x), np.concatenate(self.score)
+        some = np.flatnonzero(score >= self.floor[at_q] - NEAR)
+        keep, met, floor = near_best(at_q[some], score[some], self.k)
+        at_q, at_x, score = at_q[some][keep], at_x[some][keep], score[some][keep]
+        enough = met > self.k
+        self.floor[at_q[enough]] = np.maximum(self.floor[at_q[enough]], floor[enough])
+        if len(score) > HELD // 2:
+            self.out += best_rows(self.query, self.q, self.ids, self.x, at_q, at_x, score, self.k)
+            at_q, at_x, score = at_q[:0], at_x[:0], score[:0]
+        self.at_q, self.at_x, self.score, self.held = [at_q], [at_x], [score], len(score)
+
+    def nearest(self) -> list[tuple[int, int, float]]:
+        if self.held:
+            self.out += best_rows(self.query, self.q, self.ids, self.x, np.concatenate(self.at_q), np.concatenate(self.at_x), np.concatenate(self.score), self.k)
+        return self.out
+
+
 PAIR_SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -231,10 +317,11 @@ def hashed_candidates(queries: DataFrame, classes: DataFrame, k: int, setting: S
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), column(batch, "vec_id").take(take), column(batch, "embedding").take(take), pa.array(keys, pa.binary())], names=["g", "query_id", "embedding", "keys"])
 
-    indexed = classes.mapInArrow(index, "g long, key long, ids array<long>, embedding array<double>")
-    visits = queries.select("vec_id", "embedding").mapInArrow(visit, "g long, query_id long, embedding array<double>, keys binary")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    indexed = classes.mapInArrow(index, f"g long, key long, ids array<long>, embedding {kind}")
+    visits = queries.select("vec_id", "embedding").mapInArrow(visit, f"g long, query_id long, embedding {kind}, keys binary")
     size = lambda rows, most, name: rows.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    sizes = size(indexed, GROUP_ROWS, "parts").join(size(visits, GROUP_QUERIES, "blocks"), "g")
+    sizes = few(size(indexed, GROUP_ROWS, "parts").join(size(visits, GROUP_QUERIES, "blocks"), "g"))  # broadcast, so vectors move once
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = indexed.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")).withColumn("block", each("blocks")).drop("parts", "blocks")
     right = visits.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("part", each("parts")).drop("parts", "blocks")
@@ -252,24 +339,12 @@ def hashed_candidates(queries: DataFrame, classes: DataFrame, k: int, setting: S
         flat = np.concatenate(wanted)
         by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
-        ux, uq = unit(x), unit(q)
         cells = np.intersect1d(key, flat)
         bounds = [np.searchsorted(a, cells, side=s) for a in (key, flat) for s in ("left", "right")]
-        qs, xs, ss, out, held = [], [], [], [], 0
-        query = probing.column("query_id").to_numpy()
+        found = Candidates(probing.column("query_id").to_numpy(), q, ids, x, k)
         for a, b, c, d in zip(*bounds, strict=True):
-            some = owner[c:d]
-            s = uq[some] @ ux[a:b].T
-            qs.append(np.repeat(some, b - a))
-            xs.append(np.tile(np.arange(a, b), d - c))
-            ss.append(s.ravel())
-            held += s.size
-            if held > 4_000_000:
-                out += best_rows(query, q, ids, x, np.concatenate(qs), np.concatenate(xs), np.concatenate(ss), k)
-                qs, xs, ss, held = [], [], [], 0
-        if qs:
-            out += best_rows(query, q, ids, x, np.concatenate(qs), np.concatenate(xs), np.concatenate(ss), k)
-        return _pairs(out)
+            found.meet(owner[c:d], a, b)
+        return _pairs(found.nearest())
 
     return left.groupBy("g", "part", "block").cogroup(right.groupBy("g", "part", "block")).applyInArrow(meet, PAIR_SCHEMA)
 
@@ -284,9 +359,9 @@ def exact_candidates(queries: list, classes: DataFrame, k: int) -> DataFrame:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
                 x = matrix(column(batch, "embedding"))
-                s = unit(q) @ unit(x).T
-                rows = best_rows(ids_q, q, column(batch, "ids").to_pylist(), x, np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q)), s.ravel(), k)
-                yield from _pairs(rows).to_batches()
+                found = Candidates(ids_q, q, column(batch, "ids").to_pylist(), x, k)
+                found.meet(np.arange(len(q)), 0, len(x))
+                yield from _pairs(found.nearest()).to_batches()
 
     return classes.mapInArrow(run, PAIR_SCHEMA)
 
@@ -306,8 +381,11 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, setting: Setting | No
     table gives no rows. A query that finds fewer than k is scored against everything.
     """
     rows = usable_rows(table)
+    stored = table.schema["embedding"].dataType
+    if isinstance(stored, ArrayType) and isinstance(stored.elementType, FloatType):
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<float>"))  # as they came: half of what is shipped
     classes = cut(vector_classes(rows, k))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "h1", "h2").dropDuplicates(["vec_id", "h1", "h2"]).drop("h1", "h2")
+    queries = cut(rows.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "h1", "h2").dropDuplicates(["vec_id", "h1", "h2"]).drop("h1", "h2"))
     total = classes.count()
     setting = setting or fitted(queries, classes, k, total)
     found = cut(hashed_candidates(queries, classes, k, setting, total))

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from decimal import Decimal, localcontext
 
 import numpy as np
@@ -88,6 +89,32 @@ def test_split_groups_and_recall(spark, monkeypatch):
     assert ann.recall(vectors, ann.op2(vectors)) >= 0.95
 
 
+def test_candidates_of_a_full_cell_in_bounded_memory():
+    """A cell where 2,000 queries meet 6,000 rows (96 MB of scores), a third of them with equal cosines: the k nearest by cosine and id, in bounded memory."""
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(2000, 8)), rng.normal(size=(6000, 8))
+    x[2000:4000] = x[0] * 2.0 ** rng.integers(-3, 4, 2000)[:, None]
+    q[::2] = x[0] + rng.normal(size=(1000, 8)) * 0.01
+    ids = [[int(i)] for i in rng.permutation(6000)]
+    least = np.array([i[0] for i in ids])
+    query = np.arange(2000) + 10**6
+    tracemalloc.start()
+    found = ann.Candidates(query, q, ids, x, 5)
+    for lo in range(0, 6000, 2000):
+        found.meet(np.arange(2000), lo, lo + 2000)
+    rows = found.nearest()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120 << 20
+    got = {}
+    for own, v, score in set(rows):
+        got.setdefault(own, []).append((-score, v))
+    for i in range(0, 2000, 37):
+        exact = ann.cosines(np.repeat(q[i : i + 1], 6000, axis=0), x)
+        order = np.lexsort((least, -exact))[:5]
+        assert sorted(got[int(query[i])])[:5] == [(-float(exact[j]), int(least[j])) for j in order]
+
+
 def test_few_or_no_vectors(spark):
     assert ann.op2(spark.createDataFrame([], SCHEMA)).collect() == []
     few = spark.createDataFrame([(50, [1.0, 0.0], 1), (3, [0.5, 0.5], 1), (7, [-1.0, 0.0], 1)], SCHEMA)
