@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import colorsets as C
 from strandlake.functions import sequence as S
 
-from .lineage import cut, few
+from .lineage import cut, few, short
 
 #: Characters of a sequence that one row carries to the window generator.
 CHUNK = 256
@@ -161,8 +161,9 @@ def previous_edges(edges: DataFrame, k: int) -> DataFrame:
 
 
 def map_kmers(queries: DataFrame, edges: DataFrame, k: int, kmer: str = "query") -> DataFrame:
-    """Add valid (length k+1) and edge_id (null on a miss). Queries are looked up as they stand."""
+    """Add valid (length k+1) and edge_id (null on a miss). Queries are looked up as they stand; where edges are few they stay where they are."""
     at = edges.select(F.col("edge_id"), F.col("kmer").alias("__kmer"))
+    at = F.broadcast(at) if short(at) else at
     valid = F.length(kmer) == k + 1
     return queries.withColumn("valid", valid).join(at, F.col("valid") & (F.col(kmer) == F.col("__kmer")), "left").drop("__kmer")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1 << 17
 
 
+def short(rows: DataFrame, weight: Column | None = None) -> bool:
+    """Whether a table that is written already has BROADCAST_ROWS rows at most, and ``weight`` of them (say, sizes of lists) adds up to eight times that at most."""
+    if rows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    return weight is None or (rows.agg(F.sum(weight)).first()[0] or 0) <= 8 * BROADCAST_ROWS
+
+
 def few(rows: DataFrame) -> DataFrame:
     """A narrow table, written, and marked for a broadcast if it is counted and found short; a longer one is shuffled."""
     rows = cut(rows)

@@ -18,6 +18,7 @@ from strandlake.operators import bloom as BL
 from strandlake.operators import graph as G
 from strandlake.operators import permute as PM
 from strandlake.operators import rows as R
+from strandlake.operators import runs as RU
 from strandlake.operators import trie as T
 from strandlake.operators import update as U
 from strandlake.operators.lineage import cut, few, new_folder
@@ -68,18 +69,16 @@ def occurrences(spark: SparkSession, sf_dir: str, only: Column | None = None) ->
     return G.windows(found if only is None else found.where(only), K, fold=True, keep=("doc_id", "source"))
 
 
-def order(spark: SparkSession, sf_dir: str) -> Column:
-    wide = G.wide_order(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
-    return G.occurrence_order(F.col("doc_id"), F.col("pos"), wide)
-
-
 def summary(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     """(kmer, first, colours by name): the one pass over all windows that most queries start from.
 
     Windows are folded by (kmer, source) first, so what is shuffled is a row per distinct pair and task.
     """
-    pairs = occurrences(spark, sf_dir, only).groupBy("kmer", "source").agg(F.min(order(spark, sf_dir)).alias("first"), F.count("*").alias("n"))
-    return pairs.select("kmer", "source", "first", "n")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    if G.wide_order(docs, "doc_id"):  # numbers beyond 64 bits
+        return occurrences(spark, sf_dir, only).groupBy("kmer", "source").agg(F.min(G.occurrence_order(F.col("doc_id"), F.col("pos"), True)).alias("first"), F.count("*").alias("n"))
+    found = records(spark, sf_dir)
+    return RU.folded_windows(found if only is None else found.where(only), E, rec_ord="doc_id", name="source")
 
 
 def edges(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
@@ -269,14 +268,7 @@ def color_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs of 8 letters of whole texts, as they stand and encoded, and of 7 encoded ones (a wrong length)."""
-    text = records(spark, sf_dir)
-    pieces = F.regexp_extract_all("seq", F.lit(r"(?s).{1,%d}" % G.CHUNK), F.lit(0))  # cut once from front to back
-    following = F.transform(pieces, lambda c, i: F.concat(c, F.coalesce(F.substring(F.get(pieces, i + 1), 1, 7), F.lit(""))))
-    chunks = text.select(F.explode(following).alias("c")).where(F.length("c") >= 8)
-    runs = chunks.select("c", F.explode(F.sequence(F.lit(1), F.length("c") - 7)).alias("p")).select(F.substring("c", F.col("p"), F.lit(8)).alias("query"))
-    for n in (8, 7):
-        runs = runs.union(G.windows(text, n - 1, fold=True, rooted=True).select(F.col("kmer").alias("query")))
-    return runs.distinct()
+    return RU.distinct_runs(records(spark, sf_dir), (E,), (E, K))
 
 
 def _pieces_sql(column: str, n: int) -> str:
