@@ -178,14 +178,20 @@ def map_colors(queries: DataFrame, edges: DataFrame, annotation: DataFrame, colo
 
 
 def map_rows(queries: DataFrame, matrix: DataFrame, colors: DataFrame, k: int, kmer: str = "query") -> DataFrame:
-    """The same from rows (edge_id, kmer, colors): one join with the queries; each distinct set is named once."""
+    """The same from rows (edge_id, kmer, colors): one join with the queries; each distinct set is named once.
+
+    Few rows of few colours get their names first, and queries stay where they are.
+    """
     at = matrix.select("edge_id", F.col("kmer").alias("__kmer"), "colors")
     valid = F.length(kmer) == k + 1
-    hits = queries.withColumn("valid", valid).join(at, F.col("valid") & (F.col(kmer) == F.col("__kmer")), "left").drop("__kmer")
     each = matrix.select("colors").distinct().select("colors", F.explode("colors").alias("color_id")).join(colors.select("color_id", "name"), "color_id")
     named = each.groupBy("colors").agg(F.array_sort(F.collect_list(F.struct("color_id", "name"))).alias("__n")).select("colors", F.transform("__n", lambda x: x["name"]).alias("color_names"))
     none = F.array()
-    out = hits.join(few(named), "colors", "left")
+    match = F.col("valid") & (F.col(kmer) == F.col("__kmer"))
+    if short(matrix, F.size("colors")):
+        out = queries.withColumn("valid", valid).join(F.broadcast(at.join(named, "colors", "left")), match, "left").drop("__kmer")
+    else:
+        out = queries.withColumn("valid", valid).join(at, match, "left").drop("__kmer").join(few(named), "colors", "left")
     return out.withColumn("colors", F.coalesce("colors", none.cast("array<int>"))).withColumn("color_names", F.coalesce("color_names", none.cast("array<string>")))
 
 
