@@ -187,9 +187,9 @@ def distinct_runs(texts: DataFrame, plain: tuple[int, ...], encoded: tuple[int,
         folded, last = Folded(), None
         for batch in batches:
             for bucket, kind, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if bucket != last:
+                if bucket != last and folded.held > ROWS:  # small buckets go out together
                     yield from (pa.RecordBatch.from_arrays([strings], names=[name]) for strings in folded.strings())
-                    last = bucket
+                last = bucket
                 rows = np.frombuffer(runs.as_buffer(), "<u8")
                 folded.add(kind, rows.reshape(-1, -(-kind // 3)) if kind else rows)
                 if folded.held > 2 * HELD:
